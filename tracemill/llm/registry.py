@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, mixing, quality_rules, url_rules
+from tracemill.llm import chat, jaccard, mixing, quality_rules, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op7_mixing": mixing.op7_mixing,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_chat_prefix": chat.op10_chat_prefix,
