@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, decontaminate, jaccard, mixing, quality_rules, url_rules
+from tracemill.llm import chat, decontaminate, jaccard, mixing, quality_model, quality_rules, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality_model": quality_model.op8_quality_model,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_chat_prefix": chat.op10_chat_prefix,
 }
