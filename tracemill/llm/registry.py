@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, decontaminate, jaccard, mixing, quality_model, quality_rules, url_rules
+from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, quality_model, quality_rules, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mixing": mixing.op7_mixing,
