@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, quality_model, quality_rules, url_rules
+from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, quality_model, quality_rules, url_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_url_rules": url_rules.OP9_SQL,
     "op10_chat_prefix": chat.OP10_SQL,
