@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,20 @@ def distinct_name(df: DataFrame, base: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+class Shipped:
+    """A broadcast object of this package's own classes, which executors need not be able to import."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._sent.value)
+        return self._value
