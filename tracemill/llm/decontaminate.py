@@ -14,11 +14,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions.workspace import Shipped
+
 #: The automaton of so many item words takes under 1 GB; larger benchmarks are to be called in parts.
 MAX_ITEM_WORDS = 1_000_000
 WINDOW = 10
@@ -155,7 +156,7 @@ def build_automaton(benchmark: DataFrame, item: str = "item_id", text: str = "te
     if words > 2 * MAX_ITEM_WORDS:
         raise ValueError(f"the benchmark has more than {MAX_ITEM_WORDS} words; decontaminate against it in parts")
     items = [(r["item"] or "", item_words(r["text"])) for r in rows.toLocalIterator()]
-    return benchmark.sparkSession.sparkContext.broadcast(SuffixAutomaton(sorted(items), window))
+    return Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(items), window))
 
 
 def _scan(automaton):

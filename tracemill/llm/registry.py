@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, quality_model, quality_rules, url_rules, warc
+from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, pii, quality_model, quality_rules, url_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_warc": warc.op2_warc,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_pii_spans": pii.op5_pii_spans,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_model": quality_model.op8_quality_model,
