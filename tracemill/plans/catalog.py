@@ -1,8 +1,17 @@
 """The catalogue of registered queries of the engine's own operators."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+from tracemill.plans import ledger_queries
+
+_PARTS = (ledger_queries,)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt-time recall, end to end."""
+    return QUERIES["ledger_project_stats"](spark, sf_dir)
