@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import ledger_queries
+from tracemill.plans import episode_queries, ledger_queries
 
-_PARTS = (ledger_queries,)
+_PARTS = (ledger_queries, episode_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
