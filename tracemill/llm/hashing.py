@@ -101,11 +101,26 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h + np.uint64(width))
 
 
+def portions(texts: pa.Array, most: int = 2 << 20):
+    """Yield (first, last + 1) of runs of texts with about ``most`` bytes, one text at least."""
+    _, offsets = buffers(texts)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def shingle_sets(texts: pa.Array, width: int = 5, separators: np.ndarray = ASCII_SPACE):
     """Yield, per text, the sorted distinct hashes of its shingles.
 
     Fewer words than ``width`` count as one shingle of all of them; no words give an empty set.
     """
+    for low, high in portions(texts):
+        yield from _shingle_sets(texts.slice(low, high - low), width, separators)
+
+
+def _shingle_sets(texts: pa.Array, width: int, separators: np.ndarray):
     data, offsets = buffers(texts)
     starts, ends, at = word_spans(data, offsets, separators)
     words = word_hashes(data, starts, ends)

@@ -35,6 +35,8 @@ from tracemill.llm.hashing import shingle_sets
 SKETCH_BITS, SLICES = 20, 64
 #: Candidate sets in one prefix tree.
 TREE = 256
+#: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
+MAX_WANTED = 500_000
 
 
 def required_overlap(n: int, m: int, threshold: float) -> int:
@@ -113,14 +115,11 @@ def _measure(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            sizes, classes, parts = [], [], []
+            sizes, classes = [], []
             for s in shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 classes.append(fingerprint(s) if len(s) else None)
-                parts.append(s)
-            if parts:
-                every = np.concatenate(parts) & np.uint64((1 << SKETCH_BITS) - 1)
-                sketch += np.bincount(every.astype(np.int64), minlength=1 << SKETCH_BITS)
+                np.add.at(sketch, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.binary())],
@@ -159,30 +158,36 @@ def _frequency_classes(measured: DataFrame) -> np.ndarray:
 
 
 def _prefixes(width: int, threshold: float, classes):
+    """Rows (key, class, size << 32 | place) of the rarest shingles of every set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, owners, sizes, places = [], [], [], []
+            keys, owners, places, held = [], [], [], 0
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
                 if not n or (owner := fingerprint(s)) in seen:
                     continue
                 seen.add(owner)
-                p = n - required_prefix(n, threshold) + 1
-                keys.append(ordered_keys(s, classes.value)[::-1][:p])
+                keys.append(ordered_keys(s, classes.value)[::-1][: n - required_prefix(n, threshold) + 1])
                 p = len(keys[-1])
                 owners.append(np.full(p, owner))
-                sizes.append(np.full(p, n, dtype=np.int32))
-                places.append(np.arange(p, dtype=np.int32))
+                places.append(np.arange(p) + (n << 32))
+                held += p
+                if held > 1 << 17:
+                    yield _prefix_batch(keys, owners, places)
+                    keys, owners, places, held = [], [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], owners, sizes, places)],
-                    names=["key", "class", "n", "place"],
-                )
+                yield _prefix_batch(keys, owners, places)
 
     return run
 
 
+def _prefix_batch(keys, owners, places) -> pa.RecordBatch:
+    columns = [np.concatenate([k.view(np.int64) for k in keys]), np.concatenate(owners), np.concatenate(places)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", "size_place"])
+
+
 def required_prefix(n: int, threshold: float) -> int:
     """The least overlap that any partner of a set of n needs."""
     num, den = _ratio(threshold)
@@ -254,6 +259,10 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return rows.mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _unpacked(column: str, prefix: str):
+    return F.shiftright(column, 32).cast("int").alias(f"{prefix}n"), F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"{prefix}place")
+
+
 def _can_reach(a: str, b: str, threshold: float):
     """Size and position filter for a pair that meets at a shared shingle of its prefixes."""
     num, den = _ratio(threshold)
@@ -279,12 +288,13 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = spark.sparkContext.broadcast(_frequency_classes(measured))
 
     by_key = Window.partitionBy("key")
-    prefixes = pairs_in.select("text").mapInArrow(_prefixes(width, threshold, classes), "key long, class long, n int, place int")
+    prefixes = pairs_in.select("text").mapInArrow(_prefixes(width, threshold, classes), "key long, class long, size_place long")
+    first = F.min(F.struct("class", "size_place"))
     shared = (
-        prefixes.withColumn("first", F.min(F.struct("class", "n", "place")).over(by_key))
+        prefixes.withColumn("first", first.over(by_key))
         .withColumn("last", F.max("class").over(by_key))
         .where("first.class <> last")
-        .select("key", "class", "n", "place", F.col("first.class").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.place").alias("lead_place"))
+        .select("key", "class", *_unpacked("size_place", ""), F.col("first.class").alias("lead"), *_unpacked("first.size_place", "lead_"))
     )
     shared = work.table("shared", shared)
     leads = work.table(
@@ -295,10 +305,17 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
     by_class = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    wanted = work.table("wanted", by_class.join(shared.select("class").distinct(), "class", "left_semi").select("doc_id", "class"))
-    sets = pairs_in.join(wanted, "doc_id").select("text", "class").mapInArrow(_full_sets(width, classes), "class long, keys binary")
-    sets = work.table("sets", sets.dropDuplicates(["class"]))
+    def sets_of(name: str, classes_in: DataFrame) -> DataFrame:
+        """The sets of some classes, each from the text of its smallest row."""
+        wanted = work.table(f"{name}-rows", by_class.join(classes_in, "class", "left_semi").select("doc_id", "class"))
+        few = wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+        texts = pairs_in.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "class")
+        return work.table(name, texts.mapInArrow(_full_sets(width, classes), "class long, keys binary"))
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
 
+    sets = sets_of("sets", sides(leads))
     links = work.table("links", verify_pairs(leads, sets, threshold))
     linked = connected_components(links, work, "led")
     named = shared.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
@@ -321,6 +338,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .join(leads, ["a", "b"], "left_anti")
     )
     rest = work.table("rest", rest)
+    sets = sets.unionByName(sets_of("rest-sets", sides(rest).join(sides(leads), "class", "left_anti")))
     more = work.table("more", verify_pairs(rest, sets, threshold))
     if more.limit(1).count():
         linked = connected_components(links.unionByName(more), work, "all")
