@@ -5,9 +5,11 @@
    documents keeps the join exact; a good one puts frequent shingles where they cost little.
 2. *Prefixes.* Two sets that are similar enough share one of their rarest shingles (the first
    ``n - ceil(t n) + 1``). Only these are shuffled, keyed by shingle, for the classes of equal sets. Shingles
-   of one class alone, nearly all, end here.
-3. *Leaders.* Each shared shingle links its members to its smallest class, and these candidates are verified.
-   What proves similar merges into components, so a group of n near copies costs about n checks.
+   of one class alone, nearly all, end here, and so do members with none of a fitting size beside them.
+   Shingles with the same members then count once.
+3. *Leaders.* In each of two rounds a class is held against one leader, the first class of another component
+   that it shares a shingle with. What proves similar merges into components, so a group of n near copies
+   costs about n checks.
 4. *Rest.* Shingles whose members still lie in different components pair these members (size and position
    permitting), and the pairs are verified too. So no link between different texts is lost.
 
@@ -37,6 +39,8 @@ SKETCH_BITS, SLICES = 20, 64
 TREE = 256
 #: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
 MAX_WANTED = 500_000
+#: Rounds in which each class is held against one leader, before the rest is paired.
+LEADER_ROUNDS = 2
 
 
 def required_overlap(n: int, m: int, threshold: float) -> int:
@@ -259,6 +263,12 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return rows.mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _near_size(small: str, large: str, threshold: float):
+    """Whether the smaller of two packed sizes is large enough for the larger; null sizes are not."""
+    num, den = _ratio(threshold)
+    return F.coalesce(F.shiftright(small, 32) * den >= F.shiftright(large, 32) * num, F.lit(False))
+
+
 def _unpacked(column: str, prefix: str):
     return F.shiftright(column, 32).cast("int").alias(f"{prefix}n"), F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"{prefix}place")
 
@@ -289,20 +299,19 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     by_key = Window.partitionBy("key")
     prefixes = pairs_in.select("text").mapInArrow(_prefixes(width, threshold, classes), "key long, class long, size_place long")
-    first = F.min(F.struct("class", "size_place"))
+    in_size = by_key.orderBy("size_place")
     shared = (
-        prefixes.withColumn("first", first.over(by_key))
-        .withColumn("last", F.max("class").over(by_key))
-        .where("first.class <> last")
-        .select("key", "class", *_unpacked("size_place", ""), F.col("first.class").alias("lead"), *_unpacked("first.size_place", "lead_"))
-    )
-    shared = work.table("shared", shared)
-    leads = work.table(
-        "leads",
-        shared.where((F.col("class") != F.col("lead")) & _can_reach("", "lead_", threshold))
-        .select(F.col("lead").alias("a"), F.col("class").alias("b"))
-        .distinct(),
+        prefixes.withColumn("low", F.min("class").over(by_key))
+        .withColumn("high", F.max("class").over(by_key))
+        .where("low <> high")
+        .withColumn("smaller", F.lag("size_place").over(in_size))
+        .withColumn("larger", F.lead("size_place").over(in_size))
+        .where(_near_size("smaller", "size_place", threshold) | _near_size("size_place", "larger", threshold))
+        .withColumn("group", F.struct(F.bit_xor(F.xxhash64("class")).over(by_key).alias("x"), F.count("*").over(by_key).alias("n")))
+        .groupBy(F.xxhash64("group.x", "group.n").alias("key"), "class")
+        .agg(F.min("size_place").alias("size_place"))
     )
+    shared = work.table("shared", shared.select("key", "class", *_unpacked("size_place", "")))
 
     by_class = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     def sets_of(name: str, classes_in: DataFrame) -> DataFrame:
@@ -315,15 +324,39 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def sides(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
 
-    sets = sets_of("sets", sides(leads))
-    links = work.table("links", verify_pairs(leads, sets, threshold))
-    linked = connected_components(links, work, "led")
-    named = shared.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
-        "key", "class", "n", "place", F.coalesce("component", "class").alias("component")
-    )
+    def named(linked: DataFrame | None) -> DataFrame:
+        if linked is None:
+            return shared.withColumn("component", F.col("class"))
+        found = shared.join(linked.select(F.col("node").alias("class"), "component"), "class", "left")
+        return found.withColumn("component", F.coalesce("component", "class"))
+
+    linked = links = sets = tested = None
+    for k in range(LEADER_ROUNDS):
+        leader = F.min(F.struct("component", "class", "n", "place")).over(by_key)
+        leads = (
+            named(linked)
+            .withColumn("lead", leader)
+            .select("class", "n", "place", "component", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("component", "class", "n", "place")])
+            .where((F.col("component") != F.col("lead_component")) & _can_reach("", "lead_", threshold))
+            .select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"), "class")
+        )
+        leads = leads if tested is None else leads.join(tested, ["a", "b"], "left_anti")
+        # one leader for each class and round, so links stay as few as classes
+        leads = leads.groupBy("class").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
+        leads = work.table(f"leads-{k}", leads)
+        if not leads.limit(1).count():
+            tested = leads if tested is None else tested
+            break
+        new = sides(leads) if tested is None else sides(leads).join(sides(tested), "class", "left_anti")
+        fetched = sets_of(f"sets-{k}", new)
+        sets = fetched if sets is None else sets.unionByName(fetched)
+        proved = work.table(f"links-{k}", verify_pairs(leads, sets, threshold))
+        links = proved if links is None else links.unionByName(proved)
+        tested = leads if tested is None else tested.unionByName(leads)
+        linked = connected_components(links, work, f"led-{k}")
     open_keys = work.table(
         "open",
-        named.withColumn("low", F.min("component").over(by_key))
+        named(linked).withColumn("low", F.min("component").over(by_key))
         .withColumn("high", F.max("component").over(by_key))
         .where("low <> high")
         .select("key", "class", "n", "place", "component"),
@@ -335,13 +368,18 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .where((F.col("a_component") < F.col("b_component")) & _can_reach("a_", "b_", threshold))
         .select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
         .distinct()
-        .join(leads, ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     )
     rest = work.table("rest", rest)
-    sets = sets.unionByName(sets_of("rest-sets", sides(rest).join(sides(leads), "class", "left_anti")))
-    more = work.table("more", verify_pairs(rest, sets, threshold))
-    if more.limit(1).count():
-        linked = connected_components(links.unionByName(more), work, "all")
+    if rest.limit(1).count():
+        fetched = sets_of("rest-sets", sides(rest).join(sides(tested), "class", "left_anti"))
+        sets = fetched if sets is None else sets.unionByName(fetched)
+        more = work.table("more", verify_pairs(rest, sets, threshold))
+        links = more if links is None else links.unionByName(more)
+        if more.limit(1).count():
+            linked = connected_components(links, work, "all")
+    if linked is None:
+        linked = spark.createDataFrame([], "node long, component long")
 
     grouped = by_class.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
         "class", "doc_id", "copies", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked")

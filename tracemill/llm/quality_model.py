@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.hashing import ASCII_SPACE, buffers, mix, word_hashes, word_spans
+from tracemill.functions.workspace import Shipped
+from tracemill.llm.hashing import ASCII_SPACE, buffers, mix, portions, word_hashes, word_spans
 
 #: Dimensions of the word vectors, and entries that are not zero in an index vector.
 DIMENSIONS, ENTRIES = 96, 4
@@ -56,15 +57,10 @@ def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 def document_vectors(texts: pa.Array) -> np.ndarray:
     """(texts, N_FEATURES) float32: pooled word vector, log length, norm, repeats, mean word length."""
-    data, offsets = buffers(texts)
-    starts, ends, at = word_spans(data, offsets, ASCII_SPACE)
-    n_docs = len(offsets) - 1
-    out = np.zeros((n_docs, N_FEATURES), dtype=np.float32)
-    low = 0
-    while low < n_docs:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK_WORDS, "right")) - 1)
-        out[low:high] = _pooled(data, starts, ends, at[low : high + 1])
-        low = high
+    out = np.zeros((len(texts), N_FEATURES), dtype=np.float32)
+    for low, high in portions(texts):
+        data, offsets = buffers(texts.slice(low, high - low))
+        out[low:high] = _pooled(data, *word_spans(data, offsets, ASCII_SPACE))
     return out
 
 
@@ -74,8 +70,8 @@ def _pooled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
     sums = np.zeros((n, DIMENSIONS))
     repeats = np.zeros(n)
     length = np.zeros(n)
-    for a in range(int(at[0]), int(at[-1]), 4 * CHUNK_WORDS):  # one very long text comes in pieces
-        b = min(a + 4 * CHUNK_WORDS, int(at[-1]))
+    for a in range(int(at[0]), int(at[-1]), CHUNK_WORDS):  # one very long text comes in pieces
+        b = min(a + CHUNK_WORDS, int(at[-1]))
         s, e = starts[a:b], ends[a:b]
         owner = np.repeat(np.arange(n), np.diff(np.clip(at, a, b)))
         words = word_hashes(data, s, e, _IDENTITY)
@@ -193,7 +189,7 @@ def _score(model, place: int):
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 appended (a column of that name is replaced); empty texts too."""
     kept = docs.drop(score)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept.schema], T.StructField(score, T.DoubleType())])
     return kept.mapInArrow(_score(sent, kept.columns.index(text)), schema)
 
