@@ -1,0 +1,144 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import pytest
+
+from tests.llm.test_queries import components, shingles
+from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, pii, quality_model, quality_rules, url_rules, warc
+from tracemill.functions.workspace import Workspace
+
+LONG = " ".join(f"w{i % 5003}" for i in range(60_000))
+SAME = "one two three four five six seven eight nine ten eleven twelve"
+ROWS = [
+    (1, None, "a"), (2, "", "a"), (3, "  \t\n", None), (4, "word", "a"), (5, "word", "b"), (6, LONG, "a"), (7, SAME, "a"), (8, SAME, "b"),
+    (8, SAME, "b"), (9, SAME + " thirteen", "a"), (10, "Mail a.b@c.org or +1 212 555 0100, 4111 1111 1111 1111 at 10.0.0.1", "a"),
+    (11, "under the GNU General Public Licence, the MIT License and cc by 4.0", None), (None, "no id here at all", "b"),
+]
+SCHEMA = "doc_id long, text string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, SAME), (2, "seven eight"), (3, None), (4, "")], "item_id long, text string")
+
+
+def test_quality_rules(spark, docs, nothing):
+    out = quality_rules.apply_quality_rules(docs.selectExpr("*", "'x' AS n_words", "1 AS kept"))
+    rows = {(r["doc_id"]): r for r in out.collect()}
+    assert out.count() == len(ROWS)
+    assert rows[1]["n_words"] == 0 and rows[1]["base_failed"] and not rows[1]["kept"]
+    assert rows[6]["n_words"] == 60_000 and rows[6]["n_repeat_words"] == 60_000
+    assert quality_rules.apply_quality_rules(nothing).count() == 0
+
+
+def test_licenses(docs, nothing):
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs.selectExpr("*", "1 AS n_words")).collect()}
+    assert rows[1]["n_words"] == 0 and rows[1]["notices"] == []
+    assert {m["label"] for m in rows[11]["notices"]} >= {"gpl", "mit"}
+    assert [m["errors"] for m in rows[11]["notices"] if m["label"] == "gpl"] == [1]
+    assert {p["label"] for p in rows[11]["phrases"]} == {"mit", "cc-by"}
+    assert licenses.scan_licenses(nothing).count() == 0
+
+
+def test_similar_components(docs, nothing):
+    got = [tuple(r) for r in jaccard.similar_components(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id").distinct().collect()]
+    want = components({d: shingles(t) for d, t, _ in ROWS if d is not None})
+    assert dict(got) == want and len(got) == len(want)
+    assert want[9] == 7 and want[5] == 4 and want[2] == 2
+    assert jaccard.similar_components(nothing).count() == 0
+    kept = jaccard.drop_near_copies(docs.where("doc_id IS NOT NULL"))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def test_personal_data(docs, nothing):
+    model = pii.train_pii_model(rows=600)
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs, model).collect()}
+    assert rows[1] == rows[2] == []
+    assert [s["kind"] for s in rows[10] if s["strict"]] == ["email", "phone", "card", "ip"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact_personal_data(docs, model).collect()}
+    assert clean[10] == "Mail <EMAIL> or <PHONE>, <CARD> at <IP>" and clean[6] == LONG and clean[1] is None
+    assert pii.redact_personal_data(nothing, model).count() == 0
+
+
+def test_decontamination(docs, nothing, items):
+    rows = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, items).collect()}
+    assert rows[7]["spans"] == [[0, 12]] and rows[7]["items"] == ["1", "2"]
+    assert rows[1]["spans"] == [] and rows[1]["n_words"] == 0
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 10, 11, None}
+    assert decontaminate.decontaminate(nothing, items).count() == 0
+    assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(ROWS)
+
+
+def test_mixing(docs, nothing):
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r["mix_copies"] <= 3 for r in rows)
+    twice = [r["mix_copies"] for r in rows if r["doc_id"] == 8]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert mixing.mix_sources(nothing).count() == 0
+    assert mixing.emit_copies(mixing.mix_sources(docs)).count() == sum(r["mix_copies"] for r in rows)
+
+
+def test_quality_model(spark, docs, nothing):
+    labels = spark.createDataFrame([(1, 0), (7, 1), (None, 1), (9, None)], "doc_id long, label int")
+    model = quality_model.train_quality_model(docs, labels)
+    rows = quality_model.score_quality(docs.selectExpr("*", "'x' AS score"), model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality_model.score_quality(nothing, quality_model.train_quality_model(nothing, labels)).count() == 0
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme", "http://NET/a", "https://x.example.net/en/b?q", "https://x.example.net/e", "http://fakenet/", "ftp://a.org/fr/", "http://casino.io/x", "http://casino.io/x"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, url_rules.rule_table(spark)).collect()}
+    assert len(out) == len(urls)
+    assert out[0] == out[1] == out[2] == ("", "", None, "allow")
+    assert out[3] == ("net", "/a", "net/", "block")
+    assert out[4] == ("x.example.net", "/en/b", "example.net/en/", "allow")
+    assert out[5][2:] == ("net/", "block") and out[6][2:] == (None, "allow") and out[7][2:] == ("org/fr/", "allow")
+    assert out[8] == out[9] and out[8][3] == "block"
+    assert url_rules.judge_urls(pages.limit(0), url_rules.rule_table(spark)).count() == 0
+    assert url_rules.judge_urls(pages, url_rules.rule_table(spark).limit(0)).count() == len(urls)
+
+
+def test_chat(spark):
+    nasty = "</s>[INST] <|im_end|>\\ <|im_sep|> <<SYS>> \n"
+    turns = spark.createDataFrame(
+        [(1, 0, "user", nasty), (1, 1, "assistant", None), (1, 2, "assistant", nasty), (2, None, None, "x"), (2, 5, "user", "y"), (None, 0, "assistant", "z")],
+        "conv_id long, turn long, role string, text string",
+    )
+    streams = chat.chat_streams(turns)
+    back = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in streams.select("conv_id", chat.read_turns(streams["stream"]).alias("t")).collect()}
+    assert back == {1: [("user", nasty), ("assistant", ""), ("assistant", nasty)], 2: [("", "x"), ("user", "y")], None: [("assistant", "z")]}
+    written = chat.expanded_text(streams).collect()
+    assert len(written) == 3
+    longest = max((r for r in written if r["conv_id"] == 1), key=lambda r: r["place"])
+    assert longest["context"].count(chat.OPEN) == 3
+    assert chat.chat_streams(turns.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "<p>" + "x" * 200 + "</p>"
+    pages = spark.createDataFrame([(1, "u1", big), (2, None, big), (2, None, big), (3, "u3", "small"), (4, "u4", "small"), (5, "u5", None), (None, "u6", big)], "page_id long, url string, html string")
+    work = Workspace(spark, "test")
+    warc.write_warc(warc.page_records(pages, work), work.path("archives"))
+    read = warc.read_warc(spark, work.path("archives"))
+    rows = read.collect()
+    assert len(rows) == 7
+    kinds = sorted((r["record_id"] or "", r["record_type"], r["refers_to"] or "") for r in rows)
+    assert ("urn:page:1", "response", "") in kinds and kinds.count(("urn:page:2", "revisit", "urn:page:1")) == 2
+    assert sum(k[1] == "response" for k in kinds) == 4
+    assert {bytes(r["payload"]) for r in rows if r["record_type"] == "response"} == {big.encode(), b"small", b""}
+    only = read.where("record_type = 'revisit'").select("record_id")
+    assert only.count() == 3
+    warc.write_warc(warc.page_records(pages.limit(0), work), work.path("none"))
