@@ -1,0 +1,160 @@
+"""Keeping a store clean: noise, signal, classes, secrets, duplicates and what a prune would retire."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Cue phrases of the classes of a chunk, in order of precedence.
+CUES = {
+    "bugfix": r"(?i)\b(fixed|root cause|the bug was|resolved by|regression)\b",
+    "decision": r"(?i)\b(decided to|we chose|going with|instead of|trade-?off)\b",
+    "lesson": r"(?i)\b(lesson|learned that|next time|turns out|remember to)\b",
+}
+#: Texts of these forms are noise whatever their length.
+NOISE = (
+    r"^\s*<(command|local-command|system)-",
+    r"(?i)^\s*(caveat:|\[request interrupted)",
+    r"[A-Za-z0-9+/=]{200,}",
+    r"(?i)^\s*(ok|okay|thanks|thank you|yes|no|continue|go on|done)[.!]?\s*$",
+)
+MIN_TOKENS = 8
+#: Token shapes that carry credentials.
+SECRETS = {
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
+    "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._-]{20,}",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "assigned": "(?i)\\b(token|secret|password|api_?key)\\s*[=:]\\s*[\"']?[A-Za-z0-9_/+-]{16,}",
+}
+
+
+def is_noise(text: Column, tokens: Column) -> Column:
+    return reduce(lambda a, p: a | text.rlike(p), NOISE, tokens < MIN_TOKENS)
+
+
+def classify(text: Column) -> Column:
+    """The first class whose cue stands in the text; long texts with code are snippets, others extracts."""
+    found = reduce(lambda c, kv: c.when(text.rlike(kv[1]), kv[0]), list(CUES.items())[1:], F.when(text.rlike(CUES["bugfix"]), "bugfix"))
+    return found.when(text.contains("```") & (F.length(text) > 200), "snippet").otherwise("extract")
+
+
+def signal(text: Column, role: Column, tokens: Column) -> Column:
+    """0 for noise; users get 1 from six tokens on, assistants 2 per class of cue, 1 for code, or 0.5 for length."""
+    cues = sum((F.when(text.rlike(p), 2.0).otherwise(0.0) for p in CUES.values()), F.lit(0.0))
+    cues = cues + F.when(text.contains("```") & (tokens >= 40), 1.0).otherwise(0.0)
+    assistant = F.when((cues == 0) & (tokens >= 100), 0.5).otherwise(cues)
+    return F.when(is_noise(text, tokens), 0.0).when(role == "user", F.when(tokens >= 6, 1.0).otherwise(0.0)).otherwise(assistant)
+
+
+def secret_kinds(text: Column) -> Column:
+    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in SECRETS.items()]), lambda k: k.isNotNull())
+
+
+def redacted(text: Column) -> Column:
+    return reduce(lambda t, kv: F.regexp_replace(t, kv[1], f"[REDACTED:{kv[0]}]"), SECRETS.items(), text)
+
+
+def content_key(text: Column) -> Column:
+    """Equal for texts that differ in white space only."""
+    return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n]+", " ")))
+
+
+def duplicates(store: DataFrame) -> DataFrame:
+    """Rows that repeat the content of an earlier row of their kind and project, with the id that stays.
+
+    The first row of a group is found by an aggregate that combines before the shuffle; groups of any size
+    are joined back by key, so none has to be sorted in one task.
+    """
+    keyed = store.select("id", "kind", "project", "created_at", content_key(F.col("text")).alias("content_key"))
+    by = ["kind", "project", "content_key"]
+    first = keyed.groupBy(*by).agg(F.min(F.struct("created_at", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = reduce(lambda a, c: a & F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")), by, F.lit(True))
+    return (
+        keyed.alias("k").join(first.alias("f"), same).where(F.col("k.id") != F.col("f.first.id"))
+        .select("k.id", F.col("f.first.id").alias("kept_id"), "k.kind", "k.project")
+    )
+
+
+def noise_rows(store: DataFrame) -> DataFrame:
+    return store.where(F.col("kind") == "session_chunk").where(is_noise(F.col("text"), F.col("token_count"))).select("id", "project")
+
+
+def prune_report(store: DataFrame) -> DataFrame:
+    """Counts of what a prune would retire: noise, and duplicates that are no noise."""
+    noise = noise_rows(store).select("id")
+    copies = duplicates(store).select("id").join(noise, "id", "left_anti")
+    total = store.agg(F.count("*").alias("active"))
+    counts = noise.agg(F.count("*").alias("noise")).join(copies.agg(F.count("*").alias("duplicates")))
+    return total.join(counts).select(
+        "active", "noise", "duplicates",
+        F.round(100.0 * (F.col("noise") + F.col("duplicates")) / F.greatest(F.col("active"), F.lit(1)), 3).alias("retired_pct"),
+    )
+
+
+def split_at_headings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Markdown sections: a heading opens a section and stays with its body; blank sections go."""
+    parts = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?m)(?=^#{1,6} )"))
+    split = rows.select(key, parts.alias("_at", "_part")).select(key, "_at", F.trim("_part").alias("section")).where("section <> ''")
+    return split.select(
+        key, F.col("_at").cast("long").alias("place"), F.substring(F.sha1("section"), 1, 8).alias("digest"), "section",
+        F.greatest(F.lit(1), F.floor(F.length("section") / 4)).cast("long").alias("token_count"),
+    )
+
+
+def complexity(query: Column) -> Column:
+    """0 to 1 from length, identifiers, paths, a question mark and error words."""
+    n = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != "")).cast("double")
+    ids = F.least(F.regexp_count(query, F.lit(r"\b[a-z0-9]+_[a-z0-9_]+\b")) / 3, F.lit(1.0))
+    paths = F.least(F.regexp_count(query, F.lit(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+")) / 2, F.lit(1.0))
+    return F.round(
+        0.45 * n * n / (n * n + 36) + 0.2 * ids + 0.2 * paths + F.when(query.contains("?"), 0.1).otherwise(0.0)
+        + F.when(query.rlike(r"(?i)\b(error|exception|traceback|failed|crash)\b"), 0.15).otherwise(0.0), 9
+    )
+
+
+def route(score: Column) -> Column:
+    return F.when(score < 0.05, "skip").when(score < 0.45, "light").otherwise("full")
+
+
+def tfidf_scores(rows: DataFrame, terms: Column) -> DataFrame:
+    """(session_id, id) -> sum of tf / length * ln((n + 1) / (df + 1)) over the session's rows.
+
+    Documents without terms score 0. Terms are counted before the shuffle; a session of any size spreads over
+    its terms.
+    """
+    split = rows.select("session_id", "id", terms.alias("t"))
+    n = split.groupBy("session_id").agg(F.count("*").alias("n"))
+    tf = split.select("session_id", "id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("session_id", "id", "length", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("session_id", "term").agg(F.count("*").alias("df"))
+    part = F.col("tf") / F.col("length") * F.log((F.col("n") + 1) / (F.col("df") + 1))
+    scored = tf.join(df, ["session_id", "term"]).join(n, "session_id").groupBy("session_id", "id").agg(F.sum(part).alias("s"))
+    return split.select("session_id", "id").join(scored, ["session_id", "id"], "left").select("session_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("tfidf"))
+
+
+def evict(blobs: DataFrame, as_of: str, ttl_seconds: int, cap_bytes: int) -> DataFrame:
+    """Blobs (id, created_at, byte_len) that stay: within their time to live, newest first up to the cap.
+
+    Totals per day come first, so that only the days' table is summed in order; inside a day rows go by time.
+    """
+    alive = blobs.where(F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("created_at") <= ttl_seconds)
+    alive = alive.withColumn("_day", F.to_date("created_at"))
+    newer = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = alive.groupBy("_day").agg(F.sum("byte_len").alias("_bytes")).withColumn("_before", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)))
+    inside = Window.partitionBy("_day").orderBy(F.col("created_at").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    held = alive.withColumn("_in", F.sum("byte_len").over(inside)).join(days.select("_day", "_before"), "_day")
+    return held.where(F.col("_before") + F.col("_in") <= cap_bytes).select("id", "byte_len")
+
+
+def reuse(pairs: DataFrame, source: str = "source", answer: str = "answer", share: float = 0.1) -> DataFrame:
+    """Whether an answer reuses a source: enough of the source's word trigrams stand in it (fewer than 4 words: no)."""
+    w = F.filter(F.split(F.lower(F.col(source)), r"\s+"), lambda x: x != "")
+    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " "))
+    said = F.regexp_replace(F.lower(F.col(answer)), r"\s+", " ")
+    rows = pairs.withColumn("_w", w).withColumn("_said", said)
+    found = F.size(F.filter(grams, lambda g: F.col("_said").contains(g)))
+    need = F.greatest(F.lit(1), F.ceil(share * (F.size("_w") - 2)))
+    return rows.withColumn("reused", F.when(F.size("_w") < 4, False).otherwise(found >= need)).drop("_w", "_said")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import Workspace
+
 #: Fusion constant, half life in days, blend weights, diversity trade-off and duplicate bound.
 RRF_K = 60
 HALF_LIFE_DAYS = 14.0
@@ -218,7 +220,9 @@ def recall(queries: DataFrame, store: DataFrame, edges: DataFrame, as_of: str, k
     asked = embed(queries, "query")
     dense = dense_topk(asked, stored, prefetch, floor)
     lexical = gated(bm25_topk(queries, store, prefetch), dense)
-    hits = expand(blended(rrf(dense, lexical), store, as_of), edges, store)
+    # expansion reads the candidates four times, so they are written once
+    candidates = Workspace(store.sparkSession, "recall").table("candidates", blended(rrf(dense, lexical), store, as_of))
+    hits = expand(candidates, edges, store)
     pool = ranked(hits, "score", 4 * k).join(stored.select("id", "vector"), "id", "left").select("query_id", "id", "score", "vector")
     chosen = mmr(pool, k).where(F.col("score") >= threshold).join(store.select("id", "token_count"), "id")
     order = Window.partitionBy("query_id").orderBy("rank")

@@ -143,5 +143,5 @@ CTE = {
 
 
 def with_tables(names: str, query: str) -> str:
-    """``query`` after the named table expressions."""
+    """``query`` after the named table expressions; it may begin with a comma and more of them."""
     return "WITH " + ",\n".join(CTE[n] for n in names.split()) + "\n" + query

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import episode_queries, ledger_queries
+from tracemill.plans import curation_queries, episode_queries, ledger_queries, retrieval_queries
 
-_PARTS = (ledger_queries, episode_queries)
+_PARTS = (ledger_queries, episode_queries, curation_queries, retrieval_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
@@ -14,4 +14,4 @@ ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.item
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt-time recall, end to end."""
-    return QUERIES["ledger_project_stats"](spark, sf_dir)
+    return QUERIES["recall_end_to_end"](spark, sf_dir)

@@ -1,0 +1,112 @@
+"""Registered queries over curation of the store."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracemill.operators import curation as C
+from tracemill.operators.retrieval import terms
+from tracemill.plans import bindings as B
+
+
+def _kinds(s, d):
+    found = B.artifacts(s, d).select("id", C.secret_kinds(F.col("text")).alias("k")).where(F.size("k") > 0)
+    return found.select("id", F.array_join("k", ",").alias("kinds"))
+
+
+def _redacted(s, d):
+    rows = B.artifacts(s, d).where(F.size(C.secret_kinds(F.col("text"))) > 0)
+    return rows.select("id", F.sha2(C.redacted(F.col("text")), 256).alias("redacted_sha256"))
+
+
+def _routing(s, d):
+    score = C.complexity(F.col("text"))
+    return B.chunks(s, d).where("role = 'user'").select("id", score.alias("complexity"), C.route(score).alias("route"))
+
+
+def _blobs(s, d):
+    return B.artifacts(s, d).select("id", "created_at", F.octet_length("text").cast("long").alias("byte_len"))
+
+
+def _reuse(s, d):
+    c = B.chunks(s, d)
+    asked = c.where("role = 'user'").select("session_id", F.col("ord").alias("_o"), F.col("text").alias("source"))
+    said = c.where("role = 'assistant'").select("id", "session_id", (F.col("ord") - 1).alias("_o"), F.col("text").alias("answer"))
+    return C.reuse(said.join(asked, ["session_id", "_o"])).select("id", "reused")
+
+
+QUERIES = {
+    "artifacts_from_conversations": lambda s, d: B.chunks(s, d).select("id", "kind", "project", "session_id", "ord", "role", "token_count", "created_at"),
+    "document_split": lambda s, d: C.split_at_headings(B.table(s, d, "documents"), "doc_id").select("doc_id", "place", "digest", "token_count"),
+    "content_dedup": lambda s, d: C.duplicates(B.artifacts(s, d)),
+    "noise_scan": lambda s, d: C.noise_rows(B.chunks(s, d)),
+    "prune_report": lambda s, d: C.prune_report(B.artifacts(s, d)),
+    "secret_scan": _kinds,
+    "redact_documents": _redacted,
+    "query_routing": _routing,
+    "chunk_classify": lambda s, d: B.artifacts(s, d).select("id", C.classify(F.col("text")).alias("class")),
+    "chunk_signal": lambda s, d: B.chunks(s, d).select("id", C.signal(F.col("text"), F.col("role"), F.col("token_count")).alias("signal")),
+    "tfidf_scores": lambda s, d: C.tfidf_scores(B.chunks(s, d), terms(F.col("text"))),
+    "blob_evict": lambda s, d: C.evict(_blobs(s, d), B.AS_OF, 30 * 86400, 1_000_000),
+    "feedback_ngram": _reuse,
+}
+
+
+def _q(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+_NOISE = "(token_count < 8 OR " + " OR ".join(f"regexp_matches(text, {_q(p)})" for p in C.NOISE) + ")"
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p in C.CUES.items()) + " WHEN contains(text, '```') AND length(text) > 200 THEN 'snippet' ELSE 'extract' END"
+_CUE_SUM = " + ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN 2.0::DOUBLE ELSE 0.0 END" for p in C.CUES.values())
+_KINDS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN '{k}' END" for k, p in C.SECRETS.items()) + "], lambda k: k IS NOT NULL)"
+_REDACTED = "text"
+for _k, _p in C.SECRETS.items():
+    _REDACTED = f"regexp_replace({_REDACTED}, {_q(_p)}, '[REDACTED:{_k}]', 'g')"
+_TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')"
+_DUPES = r"""keyed AS (SELECT id, kind, project, created_at, md5(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'))) AS k FROM artifacts),
+dupes AS (SELECT id, first_value(id) OVER w AS kept_id, kind, project FROM keyed
+          WINDOW w AS (PARTITION BY kind, project, k ORDER BY created_at, id) QUALIFY row_number() OVER w > 1)"""
+
+ORACLE_SQL = {
+    "artifacts_from_conversations": B.with_tables("chunks", "SELECT id, kind, project, session_id, ord, role, token_count, created_at FROM chunks"),
+    "document_split": r"""SELECT doc_id, place, substring(sha1(section), 1, 8) AS digest, greatest(1, length(section) // 4) AS token_count FROM (
+  SELECT doc_id, place - 1 AS place, trim(parts[place]) AS section FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS place FROM (
+  SELECT doc_id, string_split(CASE WHEN marked[1] = chr(1) THEN marked[2:] ELSE marked END, chr(1)) AS parts FROM (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '(?m)^(#{1,6} )', chr(1) || '\1', 'g') AS marked FROM documents))))
+WHERE section <> ''""",
+    "content_dedup": B.with_tables("chunks notes artifacts", f", {_DUPES} SELECT * FROM dupes"),
+    "noise_scan": B.with_tables("chunks", f"SELECT id, project FROM chunks WHERE {_NOISE}"),
+    "prune_report": B.with_tables("chunks notes artifacts", f""", {_DUPES}, noise AS (SELECT id FROM artifacts WHERE kind = 'session_chunk' AND {_NOISE}),
+counts AS (SELECT (SELECT count(*) FROM artifacts) AS active, (SELECT count(*) FROM noise) AS noise,
+  (SELECT count(*) FROM dupes WHERE id NOT IN (SELECT id FROM noise)) AS duplicates)
+SELECT *, round(100.0::DOUBLE * (noise + duplicates) / greatest(active, 1), 3) AS retired_pct FROM counts"""),
+    "secret_scan": B.with_tables("chunks notes artifacts", f"SELECT id, array_to_string({_KINDS}, ',') AS kinds FROM artifacts WHERE len({_KINDS}) > 0"),
+    "redact_documents": B.with_tables("chunks notes artifacts", f"SELECT id, sha256({_REDACTED}) AS redacted_sha256 FROM artifacts WHERE len({_KINDS}) > 0"),
+    "query_routing": B.with_tables("chunks", r""", m AS (SELECT id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::DOUBLE AS n,
+  len(regexp_extract_all(text, '\b[a-z0-9]+_[a-z0-9_]+\b')) AS ids, len(regexp_extract_all(text, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+')) AS paths
+  FROM chunks WHERE role = 'user'),
+c AS (SELECT id, round(0.45::DOUBLE * n * n / (n * n + 36) + 0.2::DOUBLE * least(ids / 3.0::DOUBLE, 1.0) + 0.2::DOUBLE * least(paths / 2.0::DOUBLE, 1.0)
+  + CASE WHEN contains(text, '?') THEN 0.1::DOUBLE ELSE 0.0 END
+  + CASE WHEN regexp_matches(text, '(?i)\b(error|exception|traceback|failed|crash)\b') THEN 0.15::DOUBLE ELSE 0.0 END, 9) AS complexity FROM m)
+SELECT id, complexity, CASE WHEN complexity < 0.05 THEN 'skip' WHEN complexity < 0.45 THEN 'light' ELSE 'full' END AS route FROM c"""),
+    "chunk_classify": B.with_tables("chunks notes artifacts", f"SELECT id, {_CLASS} AS class FROM artifacts"),
+    "chunk_signal": B.with_tables("chunks", f""", s AS (SELECT *, {_CUE_SUM} + CASE WHEN contains(text, '```') AND token_count >= 40 THEN 1.0::DOUBLE ELSE 0.0 END AS cues FROM chunks)
+SELECT id, CASE WHEN {_NOISE} THEN 0.0::DOUBLE WHEN role = 'user' THEN CASE WHEN token_count >= 6 THEN 1.0::DOUBLE ELSE 0.0 END
+  WHEN cues = 0 AND token_count >= 100 THEN 0.5::DOUBLE ELSE cues END AS signal FROM s"""),
+    "tfidf_scores": B.with_tables("chunks", f""", st AS (SELECT session_id, id, {_TERMS} AS t FROM chunks),
+n AS (SELECT session_id, count(*) AS n FROM st GROUP BY session_id),
+tf AS (SELECT session_id, id, length, term, count(*) AS tf FROM (SELECT session_id, id, len(t) AS length, unnest(t) AS term FROM st) GROUP BY ALL),
+df AS (SELECT session_id, term, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT id, sum(tf / length::DOUBLE * ln((n + 1) / (df + 1)::DOUBLE)) AS s FROM tf JOIN df USING (session_id, term) JOIN n USING (session_id) GROUP BY id)
+SELECT session_id, id, round(coalesce(s, 0.0), 9) AS tfidf FROM st LEFT JOIN sc USING (id)"""),
+    "blob_evict": B.with_tables("chunks notes artifacts", f"""SELECT id, byte_len FROM (
+  SELECT id, byte_len, sum(byte_len) OVER (ORDER BY created_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS held
+  FROM (SELECT id, created_at, strlen(text) AS byte_len FROM artifacts WHERE epoch(TIMESTAMP '{B.AS_OF}' - created_at) <= {30 * 86400}))
+WHERE held <= 1000000"""),
+    "feedback_ngram": B.with_tables("chunks", r""", p AS (SELECT a.id, list_filter(regexp_split_to_array(lower(u.text), '\s+'), lambda x: x <> '') AS w,
+  regexp_replace(lower(a.text), '\s+', ' ', 'g') AS said
+  FROM chunks a JOIN chunks u ON u.session_id = a.session_id AND u.ord = a.ord - 1 WHERE a.role = 'assistant' AND u.role = 'user'),
+g AS (SELECT id, len(w) AS n, len(list_filter(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')), lambda x: contains(said, x))) AS found FROM p)
+SELECT id, CASE WHEN n < 4 THEN false ELSE found >= greatest(1, ceil(0.1 * (n - 2))) END AS reused FROM g"""),
+}
