@@ -7,12 +7,16 @@
    ``n - ceil(t n) + 1``). Only these are shuffled, keyed by shingle, for the classes of equal sets. Shingles
    of one class alone, nearly all, end here, and so do members with none of a fitting size beside them.
    Shingles with the same members then count once.
-3. *Leaders.* In each of two rounds a class is held against one leader, the first class of another component
-   that it shares a shingle with. What proves similar merges into components, so a group of n near copies
-   costs about n checks.
+3. *Leaders.* In each of a few rounds a class is held against one leader, a class of another component that
+   it shares a shingle with: the largest component leads, by a class drawn anew. What proves similar merges
+   into components, so a group of n near copies costs about n checks.
 4. *Rest.* Shingles whose members still lie in different components pair these members (size and position
    permitting), and the pairs are verified too. So no link between different texts is lost.
 
+In both a pair must first pass a bound on its difference: each class has a parity map, one bit per 2^k values of
+the hash telling whether an odd number of its shingles falls there. Maps of two sets differ in at most as many
+bits as the sets differ in shingles, so a pair whose maps differ too much cannot be similar and is never made.
+
 Verification stores the candidates of one class in a prefix tree of sets ordered from the most frequent
 shingle on, walks it once with that class's set, counts the overlap of a shared branch once, and leaves a
 branch when the overlap so far plus what can still come is too small. A class with many candidates has them
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.components import connected_components
@@ -39,8 +43,10 @@ SKETCH_BITS, SLICES = 20, 64
 TREE = 256
 #: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
 MAX_WANTED = 500_000
+#: Words of 64 bits in the largest parity map; sets of more shingles than half its bits get a looser bound.
+MAP_WORDS = 1024
 #: Rounds in which each class is held against one leader, before the rest is paired.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 
 
 def required_overlap(n: int, m: int, threshold: float) -> int:
@@ -113,27 +119,54 @@ class PrefixTree:
         return found
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Bits of the smallest power of two above twice the set's size, each the parity of the hashes that end in it."""
+    words = min(MAP_WORDS, max(1, 1 << (2 * len(hashes) // 64).bit_length()))
+    counts = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_differ(a: str, b: str, n: Column, m: Column, threshold: float) -> Column:
+    """Whether parity maps a and b differ in few enough bits for sets of n and m; the larger map folds onto the smaller."""
+    num, den = _ratio(threshold)
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(name: str) -> Column:
+        half = F.zip_with(F.slice(name, F.lit(1), words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > words, half).otherwise(F.col(name))
+
+    bits = F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # sizes that differ by more than one doubling are no candidates, so one fold is enough
+    return (F.greatest(F.size(a), F.size(b)) > 2 * words) | (bits.cast("long") * (num + den) <= (n + m).cast("long") * (den - num))
+
+
 def _measure(width: int):
-    """Rows (kind 0: doc_id, n, class) per document, and at the end the task's sketch (kind 1) in slices."""
+    """Rows (kind 0: doc_id, n, class) per document, and at the end the task's sketch (kind 1) in slices.
+
+    The first row of a class in the task also has its parity map.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        seen: set[int] = set()
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, maps = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 classes.append(fingerprint(s) if len(s) else None)
+                maps.append(parity_map(s) if len(s) and classes[-1] not in seen else None)
+                seen.add(classes[-1])
                 np.add.at(sketch, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.binary())],
-                names=["kind", "doc_id", "n", "class", "counts"],
+                [pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(n, pa.binary())],
+                names=["kind", "doc_id", "n", "class", "map", "counts"],
             )
         if sketch.any():
             slices = [x.tobytes() for x in np.split(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), SLICES)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(slices, pa.binary())],
-                names=["kind", "doc_id", "n", "class", "counts"],
+                [pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(slices, pa.binary())],
+                names=["kind", "doc_id", "n", "class", "map", "counts"],
             )
 
     return run
@@ -293,7 +326,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     pairs_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    measured = work.table("measured", pairs_in.mapInArrow(_measure(width), "kind int, doc_id long, n long, class long, counts binary"))
+    measured = work.table("measured", pairs_in.mapInArrow(_measure(width), "kind int, doc_id long, n long, class long, map array<long>, counts binary"))
     rows = measured.where("kind = 0").select("doc_id", "n", "class")
     classes = spark.sparkContext.broadcast(_frequency_classes(measured))
 
@@ -313,6 +346,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     shared = work.table("shared", shared.select("key", "class", *_unpacked("size_place", "")))
 
+    sharing = shared.select("class").distinct()
+    maps = measured.where("map IS NOT NULL").select("class", "map").dropDuplicates(["class"]).join(sharing, "class", "left_semi")
+    maps = work.table("maps", maps)
+
     by_class = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     def sets_of(name: str, classes_in: DataFrame) -> DataFrame:
         """The sets of some classes, each from the text of its smallest row."""
@@ -326,21 +363,29 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def named(linked: DataFrame | None) -> DataFrame:
         if linked is None:
-            return shared.withColumn("component", F.col("class"))
-        found = shared.join(linked.select(F.col("node").alias("class"), "component"), "class", "left")
-        return found.withColumn("component", F.coalesce("component", "class"))
+            return shared.withColumn("component", F.col("class")).withColumn("members", F.lit(1))
+        found = shared.join(linked.select(F.col("node").alias("class"), "component", "members"), "class", "left")
+        return found.withColumn("component", F.coalesce("component", "class")).withColumn("members", F.coalesce("members", F.lit(1)))
 
     linked = links = sets = tested = None
     for k in range(LEADER_ROUNDS):
-        leader = F.min(F.struct("component", "class", "n", "place")).over(by_key)
+        # the largest component leads, at every shingle and in every round by another class
+        turns = [F.xxhash64("component", F.lit(k)).alias("turn"), "component", F.xxhash64("class", "key", F.lit(k)).alias("class_turn")]
+        leader = F.min(F.struct((-F.col("members")).alias("rank"), *turns, "class", "n", "place")).over(by_key)
         leads = (
             named(linked)
             .withColumn("lead", leader)
             .select("class", "n", "place", "component", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("component", "class", "n", "place")])
             .where((F.col("component") != F.col("lead_component")) & _can_reach("", "lead_", threshold))
-            .select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"), "class")
+            .select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"), "class", "n", "lead_n")
+        )
+        leads = leads.distinct() if tested is None else leads.distinct().join(tested, ["a", "b"], "left_anti")
+        leads = (
+            leads.join(maps.select(F.col("class").alias("a"), F.col("map").alias("a_map")), "a")
+            .join(maps.select(F.col("class").alias("b"), F.col("map").alias("b_map")), "b")
+            .where(_may_differ("a_map", "b_map", F.col("n"), F.col("lead_n"), threshold))
+            .select("a", "b", "class")
         )
-        leads = leads if tested is None else leads.join(tested, ["a", "b"], "left_anti")
         # one leader for each class and round, so links stay as few as classes
         leads = leads.groupBy("class").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
         leads = work.table(f"leads-{k}", leads)
@@ -354,18 +399,23 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         links = proved if links is None else links.unionByName(proved)
         tested = leads if tested is None else tested.unionByName(leads)
         linked = connected_components(links, work, f"led-{k}")
+        members = work.table(f"members-{k}", linked.groupBy("component").agg(F.count("*").cast("int").alias("members")))
+        linked = checked_lookup(linked, members, "component", F.col("node"))
     open_keys = work.table(
         "open",
         named(linked).withColumn("low", F.min("component").over(by_key))
         .withColumn("high", F.max("component").over(by_key))
         .where("low <> high")
-        .select("key", "class", "n", "place", "component"),
+        .select("key", "class", "n", "place", "component")
+        .join(maps, "class"),
     )
-    left = open_keys.select("key", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "place", "component")])
-    right = open_keys.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "place", "component")])
+    kept = ("class", "n", "place", "component", "map")
+    left = open_keys.select("key", *[F.col(c).alias(f"a_{c}") for c in kept])
+    right = open_keys.select("key", *[F.col(c).alias(f"b_{c}") for c in kept])
     rest = (
         left.join(right, "key")
         .where((F.col("a_component") < F.col("b_component")) & _can_reach("a_", "b_", threshold))
+        .where(_may_differ("a_map", "b_map", F.col("a_n"), F.col("b_n"), threshold))
         .select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
