@@ -79,6 +79,29 @@ def test_decontamination(docs, nothing, items):
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    long = [f"l{i}" for i in range(45)]
+    bench = spark.createDataFrame(
+        [(1, SAME), (2, "seven eight"), (3, None), (4, " ".join(long)), (5, "- - - ! ? " * 40 + "a b c"), (4, "twelve alpha beta")], "item_id long, text string"
+    )
+    rows = [*ROWS, (20, " ".join(["pad"] * 40 + long[20:34] + ["end"]), "a"), (21, SAME + " alpha beta " + "pad " * 40 + " ".join(long), "b"), (22, "x seven eight y a b c " + "pad " * 9, "b")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def found():
+        hits = decontaminate.find_contamination(docs, bench).collect()
+        return sorted(map(repr, hits)), sorted(map(repr, decontaminate.decontaminate(docs, bench).collect()))
+
+    want = found()
+    assert len(decontaminate.build_automata(bench)) == 1
+    for most in (12, 20):
+        monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", most)
+        assert len(decontaminate.build_automata(bench)) > 3
+        assert found() == want
+    # separators are no words
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 80)
+    assert len(decontaminate.build_automata(bench)) == 1
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(ROWS)

@@ -102,3 +102,8 @@ class Shipped:
         if self._value is None:
             self._value = cloudpickle.loads(self._sent.value)
         return self._value
+
+    def release(self) -> None:
+        """Forget the loaded object and the bytes it came from; ``value`` loads it again."""
+        self._value = None
+        self._sent.__dict__.pop("_value", None)

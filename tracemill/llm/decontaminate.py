@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 
 from tracemill.functions.workspace import Shipped
 
-#: The automaton of so many item words takes under 1 GB; larger benchmarks are to be called in parts.
+#: The automaton of so many item words takes under 1 GB; larger benchmarks are dealt into parts of at most so many.
 MAX_ITEM_WORDS = 1_000_000
+#: With several parts, a task leads so many bytes of rows past all automata in turn, and holds one at a time.
+TURN_BYTES = 64 << 20
 WINDOW = 10
 
 #: Words are runs of anything but ASCII characters that are no letter or digit.
@@ -146,36 +148,94 @@ class SuffixAutomaton:
         return spans, items
 
 
-def build_automaton(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW):
-    """The automaton, sent to the executors, after a check that the items' words are within its bound.
+def item_pieces(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """The words, in pieces of at most ``most`` that overlap so that every window stands whole in one."""
+    if len(words) <= most:
+        yield words
+        return
+    for at in range(0, len(words) - window + 1, most - window + 1):
+        yield words[at : at + most]
 
-    Null texts have no words; items that repeat an id count as one item where any of them occurs.
-    """
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    words = rows.agg(F.sum(F.length(F.regexp_replace("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "w")))).first()[0] or 0
-    if words > 2 * MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEM_WORDS} words; decontaminate against it in parts")
-    items = [(r["item"] or "", item_words(r["text"])) for r in rows.toLocalIterator()]
-    return Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(items), window))
 
+def build_automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> list[Shipped]:
+    """One automaton per part of at most ``MAX_ITEM_WORDS`` item words, sent to the executors; at least one.
 
-def _scan(automaton):
+    The driver holds one part at a time. Null texts have no words; items that repeat an id count as one item
+    where any of them occurs, and so do the pieces of an item beyond the bound.
+    """
+    most = max(MAX_ITEM_WORDS, window)
+    sent, part, held = [], [], 0
+    for r in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():
+        for piece in item_pieces(item_words(r["text"]), window, most):
+            if held + len(piece) > most:
+                sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part), window)))
+                part, held = [], 0
+            part.append((r["item"] or "", piece))
+            held += len(piece)
+    if part or not sent:
+        sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part), window)))
+    return sent
+
+
+def merge_spans(spans: list[list[int]]) -> list[list[int]]:
+    """Spans that overlap or touch as one, in order."""
+    merged: list[list[int]] = []
+    for first, last in sorted(spans):
+        if merged and merged[-1][1] >= first:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    return merged
+
+
+def _turns(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at least ``size`` bytes, the last one excepted."""
+    turn, held = [], 0
+    for batch in batches:
+        turn.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield turn
+            turn, held = [], 0
+    if turn:
+        yield turn
+
+
+def _scanned(automata: list[Shipped], batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each batch with (number of words, spans, items) of its texts, over all automata.
+
+    A hit is a window or a short item, and each stands whole in one part, so the parts' hits together are those
+    of one automaton of all items.
+    """
+    alone = len(automata) == 1
+    for turn in _turns(batches, 0 if alone else TURN_BYTES):
+        found = [[(0, [], set())] * batch.num_rows for batch in turn]
+        for automaton in automata:
+            scan = automaton.value.scan
+            for batch, rows in zip(turn, found, strict=True):
+                for i, text in enumerate(batch.column(place).cast(pa.large_binary())):
+                    words = text.as_buffer().to_pybytes().translate(_SPLIT).split() if text.is_valid else []
+                    spans, items = scan(words)
+                    if rows[i][1] and spans:
+                        spans, items = merge_spans(rows[i][1] + spans), rows[i][2] | items
+                    elif not spans:
+                        spans, items = rows[i][1:]
+                    rows[i] = (len(words), spans, items)
+            if not alone:
+                del scan
+                automaton.release()
+        yield from zip(turn, found, strict=True)
+
+
+def _scan(automata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = automaton.value.scan
-        for batch in batches:
-            counts, spans, items = [], [], []
-            for text in batch.column(1).cast(pa.large_binary()):
-                words = text.as_buffer().to_pybytes().translate(_SPLIT).split() if text.is_valid else []
-                found, held = scan(words)
-                counts.append(len(words))
-                spans.append(found)
-                items.append(sorted(held))
+        for batch, rows in _scanned(automata, batches, 1):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    pa.array(items, pa.list_(pa.string())),
+                    pa.array([n for n, _, _ in rows], pa.int64()),
+                    pa.array([spans for _, spans, _ in rows], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([sorted(items) for _, _, items in rows], pa.list_(pa.string())),
                 ],
                 names=["key", "n_words", "spans", "items"],
             )
@@ -188,11 +248,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     Null and blank texts have no words and no hits; rows repeat as they come; with no items nothing is hit.
     """
-    automaton = build_automaton(benchmark, text="text", window=window)
+    automata = build_automata(benchmark, text="text", window=window)
     kind = docs.schema[key].dataType.simpleString()
     return (
         docs.select(F.col(key), F.col(text))
-        .mapInArrow(_scan(automaton), f"key {kind}, n_words long, spans array<array<long>>, items array<string>")
+        .mapInArrow(_scan(automata), f"key {kind}, n_words long, spans array<array<long>>, items array<string>")
         .withColumnRenamed("key", key)
     )
 
@@ -207,16 +267,13 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _clean(automaton, place: int, min_words: int, max_coverage: float):
+def _clean(automata, place: int, min_words: int, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = automaton.value.scan
-        for batch in batches:
+        for batch, rows in _scanned(automata, batches, place):
             texts, keep = [], []
-            for text in batch.column(place):
+            for text, (n_words, spans, _) in zip(batch.column(place), rows, strict=True):
                 body = text.as_py()
-                words = item_words(body)
-                spans, _ = scan(words)
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
+                keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
                 spans = [s for s in spans if s[1] - s[0] >= min_words]
                 texts.append(cut_spans(body, spans) if spans and keep[-1] else body)
             columns = list(batch.columns)
@@ -239,10 +296,10 @@ def decontaminate(
     Spans of at least ``min_words`` hit words are cut out of the text; a row goes if more than
     ``max_coverage`` of its words are hit. Rows without hits, null texts included, stay as they are.
     """
-    automaton = build_automaton(benchmark, window=window)
+    automata = build_automata(benchmark, window=window)
     place = docs.columns.index(text)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(_clean(automaton, place, min_words, max_coverage), schema)
+    return docs.mapInArrow(_clean(automata, place, min_words, max_coverage), schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
