@@ -67,3 +67,12 @@ def test_zero_vectors_match_nothing(spark):
     q = R.embed(spark.createDataFrame([(1, "")], "query_id long, query string"), "query")
     store = R.embed(spark.createDataFrame([("a", "some words"), ("b", None)], "id string, text string"))
     assert all(r["similarity"] == 0 for r in R.dense_topk(q, store, 5).collect())
+
+
+def test_dense_topk_in_blocks(spark, monkeypatch):
+    q = R.embed(spark.createDataFrame([(i % 23 if i % 23 else None, f"w{i} w{i // 2} shared") for i in range(30)], "query_id long, query string"), "query")
+    store = R.embed(spark.createDataFrame([(f"s{i}", f"w{i} w{i + 1} shared words") for i in range(40)], "id string, text string"))
+    want = sorted(map(repr, R.dense_topk(q, store, 5, floor=0.3).collect()))
+    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    got = R.dense_topk(q, store, 5, floor=0.3)
+    assert sorted(map(repr, got.collect())) == want and len(want) > 50

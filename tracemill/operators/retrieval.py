@@ -3,7 +3,7 @@
 Questions are rows too: (query_id, query). Dense and lexical channels rank candidates per question, reciprocal
 ranks fuse them, and recency, kind and quality blend in; a greedy pass diversifies the small pool that is left.
 A block of questions is scored against all rows by joins on what they share (terms), or, for vectors, by one
-scan with the block's vectors at hand (the block's size is counted first).
+scan per block with its vectors at hand (the questions are counted first).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ KIND_BOOST = {"memory": 0.3, "note": 0.1}
 MMR_LAMBDA, DUPLICATE = 0.7, 0.92
 BM25_K1, BM25_B = 1.2, 0.75
 DIM = 16
-#: Questions that one scan holds at a time.
+#: Questions that one scan holds at a time; more are dealt into blocks.
 MAX_QUERIES = 10_000
 
 
@@ -69,13 +69,29 @@ def ranked(rows: DataFrame, score: str, k: int | None = None, by: str = "query_i
 
 
 def dense_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None = None, metric: str = "cosine", digits: int = 9) -> DataFrame:
-    """Top k rows per question by vector similarity: one scan of the store, the checked block broadcast.
+    """Top k rows per question by vector similarity: one scan of the store per block of questions, broadcast.
 
     queries: query_id, vector; store: id, vector. Scores are rounded so that equal ones tie alike everywhere.
+    Beyond ``MAX_QUERIES`` both sides and each block's top k are written once; a hash of the id deals the
+    questions, so rows that repeat a query_id stay together, with a tenth to spare for blocks above the mean.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} questions; call in blocks")
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return _block_topk(queries, store, k, floor, metric, digits)
+    blocks = -(-11 * n // (10 * MAX_QUERIES))
+    work = Workspace(store.sparkSession, "dense")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")
+    asked = work.table("questions", queries.select("query_id", "vector", block))
+    stored = work.table("store", store.select("id", "vector"))
+    found = None
+    for b in range(blocks):
+        top = work.table(f"top{b}", _block_topk(asked.where(F.col("_block") == b), stored, k, floor, metric, digits))
+        found = top if found is None else found.unionByName(top)
+    work.drop("questions", "store")
+    return found
+
+
+def _block_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None, metric: str, digits: int) -> DataFrame:
     block = queries.select("query_id", F.col("vector").alias("_q"))
     scored = store.join(F.broadcast(block)).withColumn("similarity", F.round(similarity(F.col("vector"), F.col("_q"), metric), digits))
     if floor is not None:
