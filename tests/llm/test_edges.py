@@ -49,6 +49,29 @@ def test_licenses(docs, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("creative commons attribution noncomercial", {"cc-by", "cc-by-nc"}),
+        ("creative commons attribution sharalike", {"cc-by", "cc-by-sa"}),
+        ("creative commons attribution", {"cc-by"}),
+        ("this is free and unencumbered sofware released into the public domain dedication", {"unlicense", "cc0"}),
+        ("nozilla public license", {"mpl"}),
+        ("eative commons attribution sharealike", {"cc-by", "cc-by-sa"}),
+        # a worse reading of the same place, or one that stands only by the shorter notice, stays out
+        ("licensed under the mit license", {"mit"}),
+        ("licensed under cc by 4 0", {"cc-by"}),
+    ],
+)
+def test_fuzzy_notices(text, labels):
+    assert {m[2] for m in licenses.find_notices(f" {text} ", *licenses.compile_notices())} == labels
+
+
+def test_fuzzy_notices_beside_better_ones():
+    found = licenses.find_notices(" mozilla publik license mozilla public license mozila public license ", *licenses.compile_notices())
+    assert [(m[0], m[1], m[3]) for m in found] == [(0, 3, 1), (3, 6, 0), (6, 9, 1)]
+
+
 def test_similar_components(docs, nothing):
     got = [tuple(r) for r in jaccard.similar_components(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id").distinct().collect()]
     want = components({d: shingles(t) for d, t, _ in ROWS if d is not None})

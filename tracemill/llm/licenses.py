@@ -7,8 +7,10 @@ library's bounded-error matching verifies the window and counts the edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import attrgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -52,6 +54,8 @@ NOTICES = (
 
 #: One error is allowed for so many characters of a notice.
 CHARS_PER_ERROR = 10
+#: What a notice says beyond a better match inside it counts if fewer than one in so many characters are wrong.
+CHARS_PER_ERROR_BEYOND = 3
 
 
 @dataclass(frozen=True)
@@ -67,8 +71,8 @@ def compile_notices(notices=NOTICES, chars_per_error: int = CHARS_PER_ERROR):
     found, seeds = [], {}
     for number, (words, label) in enumerate(notices):
         errors = len(words) // chars_per_error
-        # the first letter has to stand, so that an edit does not eat into the word before
-        body = f"(?b)(?<![^ ]){regex.escape(words[0])}(?:{regex.escape(words[1:])}){{e<={errors}}}(?![^ ])"
+        # whole words from their first letter to their last, so that an edit does not eat into the word before
+        body = f"(?b)(?<![^ ])(?=[^ ])(?:{regex.escape(words)}){{e<={errors}}}(?<=[^ ])(?![^ ])"
         found.append(Notice(words, label, errors, regex.compile(body)))
         cuts = [len(words) * k // (errors + 1) for k in range(errors + 2)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -81,45 +85,82 @@ def compile_notices(notices=NOTICES, chars_per_error: int = CHARS_PER_ERROR):
 
 
 
+@dataclass(frozen=True)
+class Match:
+    """A verified place of a notice, in characters, with the places of its edits."""
+
+    start: int
+    end: int
+    notice: Notice
+    edits: tuple[int, ...]
+
+
+_start = attrgetter("start")
+
 
 def find_notices(normal: str, notices, automaton) -> list[tuple[int, int, str, int, float]]:
     """(first word, last word + 1, label, errors, similarity) of every verified notice, by place.
 
-    ``normal`` is the words joined and enclosed by single spaces.
+    ``normal`` is the words joined and enclosed by single spaces. Every hit has a window of its own, too short for
+    two places of its notice, so the best match of one place hides no other.
     """
-    windows: dict[int, list[list[int]]] = {}
+    windows: set[tuple[int, int]] = set()
     for end, (size, places) in automaton.iter(normal):
         for number, offset in places:
-            n = notices[number]
-            start = end + 1 - size - offset - n.errors
-            window = [max(0, start - 1), start + len(n.words) + 2 * n.errors + 1]
-            seen = windows.setdefault(number, [])
-            if seen and window[0] <= seen[-1][1]:
-                seen[-1][1] = max(seen[-1][1], window[1])
-                seen[-1][0] = min(seen[-1][0], window[0])
-            else:
-                seen.append(window)
-    found = []
-    for number, spans in windows.items():
+            windows.add((number, end + 1 - size - offset - notices[number].errors))
+    matches = set()
+    for number, start in windows:
         n = notices[number]
-        for a, b in spans:
-            for m in n.pattern.finditer(normal, a, min(b, len(normal))):
-                errors = sum(m.fuzzy_counts)
-                first = normal.count(" ", 0, m.start()) - 1
-                last = first + normal.count(" ", m.start(), m.end()) + 1
-                found.append((first, last, n.label, errors, 1 - errors / len(n.words)))
-    return sorted(best_matches(set(found)))
-
-
-def best_matches(found):
+        # from one space to another, so that no word is cut
+        a = normal.find(" ", max(0, start - 1))
+        b = normal.rfind(" ", 0, start + len(n.words) + 2 * n.errors + 1) + 1
+        if a < b and (m := n.pattern.search(normal, a, b)):
+            changed, more, less = m.fuzzy_changes
+            # places of deletions are told as if what is missing were there
+            edits = (*changed, *more, *(p - k for k, p in enumerate(less)))
+            matches.add(Match(m.start(), m.end(), n, edits))
+    found = set()
+    for m in best_matches(matches):
+        first = normal.count(" ", 0, m.start) - 1
+        last = first + normal.count(" ", m.start, m.end) + 1
+        errors = len(m.edits)
+        found.add((first, last, m.notice.label, errors, 1 - errors / len(m.notice.words)))
+    return sorted(found)
+
+
+def best_matches(matches: set[Match]) -> list[Match]:
     """Matches that no overlapping match with fewer errors contradicts."""
-    kept: list[tuple[int, int, str, int, float]] = []
-    for match in sorted(found, key=lambda m: (m[3], m[0])):
-        if not any(k[3] < match[3] and k[0] < match[1] and match[0] < k[1] for k in kept):
-            kept.append(match)
+    kept: list[Match] = []  # by place, so that only what may overlap is looked at
+    reach = max((m.end - m.start for m in matches), default=0)
+    for match in sorted(matches, key=lambda m: (len(m.edits), m.start)):
+        near = kept[bisect_left(kept, match.start - reach, key=_start) : bisect_left(kept, match.end, key=_start)]
+        if not any(contradicts(k, match) for k in near):
+            insort(kept, match, key=_start)
     return kept
 
 
+def contradicts(better: Match, match: Match) -> bool:
+    """Whether ``better``, with fewer errors, explains the place that it shares with ``match``.
+
+    It does not where ``match`` reads their shared place as well and goes on beyond it with few errors: a longer
+    notice with an error outlives the shorter one that stands inside it.
+    """
+    if len(better.edits) >= len(match.edits):
+        return False
+    a, b = max(better.start, match.start), min(better.end, match.end)
+    if a >= b:
+        return False
+    if better.notice.label == match.notice.label:
+        return True
+
+    def within(m):
+        return sum(a <= p < b for p in m.edits)
+
+    outside = len(match.edits) - within(match)
+    beyond = match.end - match.start - (b - a)
+    return within(match) > within(better) or outside * CHARS_PER_ERROR_BEYOND >= beyond
+
+
 def count_phrases(normal: bytes, phrases=PHRASES) -> list[tuple[str, int, int, int]]:
     """(label, places, first and last word) of every phrase that stands in the text."""
     found = []
