@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+import string
+
 import pytest
 
 from tests.llm.test_queries import components, shingles
@@ -92,6 +95,22 @@ def test_personal_data(docs, nothing):
     assert pii.redact_personal_data(nothing, model).count() == 0
 
 
+def test_long_secrets_and_short_ibans():
+    model = pii.train_pii_model()
+    r = random.Random(5)
+    for n in (20, 120, 128, 129, 140, 400, 3000):
+        body = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n - 1)) + "7"
+        for key in (body, body[:-1] + "7=="):
+            text = f'set token = "{key}" here'
+            _, more = pii.find_spans(text, model)
+            assert [(k, text[a:b]) for k, a, b, _ in more] == [("secret", key)], n
+    for iban in ("NO9386011117947", "NO93 8601 1117 947", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        text = f"my account {iban} there"
+        assert ("iban", 11, 11 + len(iban)) in pii.candidates(text)
+        assert ("iban", 11, 11 + len(iban)) in [s[:3] for s in pii.find_spans(text, model)[1]], iban
+    assert not [c for c in pii.candidates("code AB12CDEF1234 and AB12CDEF123456") if c[0] == "iban"]
+
+
 def test_decontamination(docs, nothing, items):
     rows = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, items).collect()}
     assert rows[7]["spans"] == [[0, 12]] and rows[7]["items"] == ["1", "2"]

@@ -87,9 +87,9 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: What proposes candidates of each further kind.
 GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])")),
     ("phone_local", re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")),
     ("mac", re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")),
 )
@@ -192,7 +192,7 @@ def _training_text(r: random.Random) -> tuple[str, str, int, int, int]:
     kind = r.choice(("secret", "secret", *MODEL_KINDS))
     cue = r.choice(CUES[kind])
     if kind == "secret":
-        body = r.choice((hexes(r.choice((32, 40, 64))), mixed(r.randint(20, 64))))
+        body = r.choice((hexes(r.choice((32, 40, 64, 128, 256))), mixed(r.randint(20, 64)), mixed(r.randint(65, 1000))))
         if good:
             head = r.choice((f'{cue} = "', f"{cue}: ", f"{cue}='", f'"{cue}": "', f"{word()}_{cue}={''}", f"{cue} "))
         else:
@@ -202,9 +202,9 @@ def _training_text(r: random.Random) -> tuple[str, str, int, int, int]:
         body = f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{digits(4)}"
         head = r.choice((f"{cue} ", f"{cue} number: ", f"{cue} no. ")) if good else r.choice((f"{r.choice(AGAINST)} ", f"{word()} ", f"{r.choice(AGAINST)} no. "))
     elif kind == "iban":
-        country, account = r.choice(("DE", "FR", "ES", "GB")), digits(r.choice((18, 20)))
+        country, account = r.choice(("DE", "FR", "ES", "GB", "NO")), digits(r.choice((11, 18, 20)))
         check = 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
-        body = f"{country}{check:02d}{account}" if good else f"{r.choice(('AB', 'XQ', 'LM', country))}{digits(2)}{digits(18)}"
+        body = f"{country}{check:02d}{account}" if good else f"{r.choice(('AB', 'XQ', 'LM', country))}{digits(2)}{digits(len(account))}"
         if r.random() < 0.5:
             body = " ".join(body[k : k + 4] for k in range(0, len(body), 4))
         head = r.choice((f"{cue} ", f"{word()} ", f"{cue}: "))
