@@ -162,6 +162,13 @@ def test_quality_model(spark, docs, nothing):
     assert quality_model.score_quality(nothing, quality_model.train_quality_model(nothing, labels)).count() == 0
 
 
+def test_quality_without_labels_keeps_all(spark, docs):
+    few = spark.createDataFrame([(1, 0), (7, 0)], "doc_id long, label int")
+    for labels in (few, few.limit(0)):
+        kept = quality_model.keep_quality(docs, quality_model.train_quality_model(docs, labels))
+        assert kept.columns == docs.columns and kept.count() == len(ROWS)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://NET/a", "https://x.example.net/en/b?q", "https://x.example.net/e", "http://fakenet/", "ftp://a.org/fr/", "http://casino.io/x", "http://casino.io/x"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

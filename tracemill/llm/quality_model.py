@@ -204,7 +204,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that the model predicts as label 1."""
+    """Rows of ``docs`` that the model predicts as label 1.
+
+    All rows if nothing was learned: below 20 usable labelled rows, or with one label only, the model has no layers.
+    """
+    if model.layers is None:
+        return docs
     return score_quality(docs, model, text, "_score").where(F.col("_score") >= threshold).drop("_score")
 
 
