@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.workspace import Workspace
+from tracemill.functions.workspace import Workspace, spread_lookup
 
 
-def connected_components(edges: DataFrame, work: Workspace, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(a, b) edges -> (node, component): the smallest node that each node reaches.
 
     Each round takes the smallest label among a node's neighbours, then the label of that label, so chains
-    shorten by half a round. Labels are written every round; nothing is gathered on the driver.
+    shorten by half a round, until no label moves. Labels are written every round; nothing is gathered on the
+    driver. A node with many neighbours, or a label that many nodes share, is split over several partitions.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = work.table(f"{name}-edges", both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     start = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("component"))
-    labels = work.table(f"{name}-0", start)
-    for k in range(1, max_rounds):
+    labels, k = work.table(f"{name}-0", start), 0
+    while True:
+        k += 1
         seen = (
-            both.join(labels.select(F.col("node").alias("y"), "component"), "y")
+            spread_lookup(both, labels.select(F.col("node").alias("y"), "component"), "y", F.col("x"))
             .groupBy(F.col("x").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        lower = labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("low"))
-        jumped = lower.join(
-            labels.select(F.col("node").alias("low"), F.col("component").alias("over")), "low", "left"
-        ).select("node", F.least("low", F.coalesce("over", "low")).alias("next"), F.col("component").alias("was"))
-        stepped = work.table(f"{name}-{k}", jumped.select("node", F.col("next").alias("component"), (F.col("next") != F.col("was")).alias("moved")))
+        lower = work.table(
+            f"{name}-{k}-low", labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("low"))
+        )
+        over = labels.select(F.col("node").alias("low"), F.col("component").alias("over"))
+        jumped = spread_lookup(lower, over, "low", F.col("node")).select(
+            "node", F.least("low", "over").alias("component"), (F.least("low", "over") != F.col("component")).alias("moved")
+        )
+        stepped = work.table(f"{name}-{k}", jumped)
         moved = stepped.where("moved").limit(1).count()
         labels = stepped.select("node", "component")
-        work.drop(f"{name}-{k - 1}")
+        work.drop(f"{name}-{k - 1}", f"{name}-{k}-low")
         if not moved:
+            work.drop(f"{name}-edges")
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared checkpoint folder, as in tests.
-DEFAULT_SHARED_DIR = "file:///tmp/checkpoints"
-
 #: A lookup table of at most this many rows may be broadcast; its size is counted first.
 MAX_BROADCAST_ROWS = 20_000
 
+#: A key with more rows than this is split over several partitions by ``spread_lookup``.
+ROWS_PER_PART = 1_000
+
+#: Settings while a working table is written: shuffle files go when their query ends, and Arrow batches stay small.
+STEP_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    There is no fallback: a folder of one machine would give every executor files of its own.
+    """
     for read in (
         lambda: spark.conf.get("spark.checkpoint.dir", None),
         lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir", None),
@@ -24,13 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
         found = read()
         if found:
             return found.rstrip("/")
-    return DEFAULT_SHARED_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+@contextmanager
+def step_settings(spark: SparkSession):
+    """``STEP_SETTINGS`` for what runs inside; what the session had before comes back after."""
+    before = {name: spark.conf.get(name, None) for name in STEP_SETTINGS}
+    for name, value in STEP_SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class Workspace:
     """Parquet tables under the shared folder that cut lineage between the steps of one job.
 
-    A written table survives lost executors, as no step before it has to run again.
+    A written table survives lost executors, as no step before it has to run again. The shuffle files of a step
+    go once its table is written, so a job's disk use is that of its largest step, not of all of them.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -42,7 +70,8 @@ class Workspace:
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with step_settings(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -53,6 +82,15 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(root):
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
 
 def salted_lookup(
     rows: DataFrame, table: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "left"
@@ -79,6 +117,28 @@ def checked_lookup(
     return salted_lookup(rows, table, key, spread, how=how)
 
 
+def spread_lookup(
+    rows: DataFrame, table: DataFrame, key: str, spread: Column, per_part: int = ROWS_PER_PART, how: str = "inner"
+) -> DataFrame:
+    """Join ``rows`` with a table of one row per key, splitting only keys with more than ``per_part`` rows.
+
+    Keys are counted first (the counts combine before their shuffle). The hot ones, at most one per ``per_part``
+    rows, are broadcast; only their rows draw a salt and only their table rows are repeated. ``rows`` should be
+    written or otherwise cheap to read twice.
+    """
+    parts, salt = distinct_name(rows, "_parts"), distinct_name(rows, "_salt")
+    hot = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias(parts))
+        .where(F.col(parts) > per_part)
+        .select(key, F.ceil(F.col(parts) / per_part).cast("int").alias(parts))
+    )
+    n = F.coalesce(F.col(parts), F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(parts)
+    right = table.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def distinct_name(df: DataFrame, base: str) -> str:
     """A column name that does not clash with those of ``df``."""
     name = base
