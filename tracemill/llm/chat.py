@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all turns before it are context, only its reply is
-trainable. All examples of a conversation are prefixes of one formatted stream, so the stream is written once
-and an example is the span it ends at plus the span of its reply: the output grows with the input although the
-contexts, written out, would grow with its square. ``expanded_text`` writes them out for who needs it.
+trainable. All examples of a conversation are prefixes of one formatted stream, so the stream is written once,
+with the spans of its examples; ``expanded_examples`` explodes them into rows of text and loss mask. Readers
+that take a mask's text alone never hold the contexts, which would grow with the square of a conversation.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import Workspace
+
 #: The template's marks, and the control strings of common templates that texts may hold.
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = r"<(?=\||/?s>)|\[(?=/?INST\])|<(?=</?SYS>>)"
@@ -60,27 +62,15 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 def example_span() -> Column:
     reply = F.col("start") + F.col("head_chars")
-    return F.struct(
-        "place",
-        F.col("start").alias("context_chars"),
-        reply.alias("loss_start"),
-        (reply + F.col("body_chars")).alias("loss_end"),
-        (F.col("start") + F.col("chars")).alias("example_chars"),
-        F.expr("substring(segment, int(head_chars) + 1, int(body_chars))").alias("reply"),
-    )
-
-
-def prefix_examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: the example's context span, and the span and text of its trainable reply."""
-    return formatted.where(F.col("role") == "assistant").select("conv_id", example_span().alias("e")).select("conv_id", "e.*")
+    return F.struct("place", reply.alias("loss_start"), (reply + F.col("body_chars")).alias("loss_end"), (F.col("start") + F.col("chars")).alias("example_chars"))
 
 
 def chat_streams(turns: DataFrame) -> DataFrame:
-    """One row per conversation: ``stream``, and ``examples`` as an array of the rows of ``prefix_examples``.
+    """One row per conversation: ``stream``, and ``examples``, an array of (place, loss_start, loss_end, example_chars).
 
     A conversation is one row of the output, so its turns meet in one task; its size is that of its texts, not
-    of the expanded contexts. An empty table gives no rows; a null conv_id is a conversation of its own; more
-    columns of ``turns`` are left out.
+    of the expanded contexts. An empty table gives no rows; a null conv_id is a conversation of its own; rows
+    that repeat are turns of their own; more columns of ``turns`` are left out.
     """
     example = F.when(F.col("role") == "assistant", example_span())
     return format_turns(turns).groupBy("conv_id").agg(
@@ -91,16 +81,25 @@ def chat_streams(turns: DataFrame) -> DataFrame:
     )
 
 
-def expanded_text(streams: DataFrame) -> DataFrame:
-    """Every example written out: conv_id, place, context, reply (both escaped, as formatted)."""
+def expanded_examples(streams: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, place, text (context and reply, as formatted), loss_start, loss_end.
+
+    The loss mask covers the characters of ``text`` from ``loss_start`` up to ``loss_end``.
+    """
     return streams.select("conv_id", "stream", F.explode("examples").alias("e")).select(
         "conv_id",
         F.col("e.place").alias("place"),
-        F.expr("substring(stream, 1, int(e.loss_start))").alias("context"),
-        F.expr("substring(stream, int(e.loss_start) + 1, int(e.loss_end - e.loss_start))").alias("reply"),
+        F.expr("substring(stream, 1, int(e.example_chars))").alias("text"),
+        F.col("e.loss_start").alias("loss_start"),
+        F.col("e.loss_end").alias("loss_end"),
     )
 
 
+def masked_text() -> Column:
+    """The text under an example's loss mask, as written by the user."""
+    return unescape(F.expr("substring(text, int(loss_start) + 1, int(loss_end - loss_start))"))
+
+
 def read_turns(stream: Column) -> Column:
     """The array of (role, text) that a stream holds."""
     parts = F.filter(F.split(stream, r"<\|im_end\|>"), lambda s: s != "")
@@ -119,22 +118,24 @@ def op10_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
         " AS t(conv_id, turn, role, text)"
     )
-    streams = chat_streams(turns.unionByName(extra))
-    read = streams.select(
-        "conv_id",
-        read_turns(F.col("stream")).alias("turns"),
-        F.array_join(F.transform("examples", lambda e: unescape(e["reply"])), "").alias("loss"),
-        F.length("stream").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
-        F.coalesce(F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["example_chars"]), F.lit(0)).alias(
-            "expanded_chars"
-        ),
-    )
+    streams = Workspace(spark, "chat").table("streams", chat_streams(turns.unionByName(extra)))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    whole = streams.select("conv_id", read_turns(F.col("stream")).alias("turns"), F.length("stream").cast("long").alias("formatted_chars")).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), "formatted_chars"
+    )
+    examples = expanded_examples(streams).select("conv_id", F.struct("place", masked_text().alias("reply")).alias("loss"), F.length("text").cast("long").alias("chars"))
+    read = whole.unionByName(examples, allowMissingColumns=True).groupBy("conv_id").agg(
+        F.max("n_turns").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("loss")), lambda e: e["reply"]), "").alias("loss"),
+        F.max("formatted_chars").alias("formatted_chars"),
+        F.count("chars").alias("n_examples"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("expanded_chars"),
+    )
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        "n_turns",
+        "turns_sha256",
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
