@@ -5,76 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.workspace import Workspace, checked_lookup
+from tracemill.functions.workspace import Workspace, checked_lookup, distinct_name
 from tracemill.llm.text import word_count
 
 #: The weights that sources get in order, repeating, and the largest repetition rate.
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-#: The Bernoulli copies are drawn under the best of so many seeds per source.
-SEEDS = 16
+#: Seed of the Bernoulli copies.
+SEED = 1
 _TWO_53 = float(1 << 53)
 
 
-def _draw(key: Column, seed: Column) -> Column:
-    """A number in [0, 1) that depends on the row's key and the seed only."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), seed, key), 11).cast("double") / F.lit(_TWO_53)
+def _draw(key: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the key and the seed only."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.lit(seed), key), 11).cast("double") / F.lit(_TWO_53)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """Of (source, source_size): each source's target by weight, capped at ``max_rate`` times its size.
+def _ranked(sizes: DataFrame, work: Workspace) -> DataFrame:
+    """(source, source_size, rank from 0 by code point, null last), ranked within ranges of sources.
 
-    The excess above a cap is shared out again by weight until no source is above its cap: targets are
-    ``min(max_rate * size, level * weight)`` for the one level at which they add up to all sizes. With the
-    sources in order of cap over weight, the level after the first k caps is what is left over the weights
-    that are left; the first k whose level stays below the next cap gives it. One row per source; the sort of
-    this small table is the only step without a partition key.
+    Ranges are numbered in order, so a rank is the rows of the ranges before plus the place within the range;
+    only the rows per range, one for each shuffle partition, are added up in one place.
     """
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("_weight", weight.cast("long")).withColumn("_cap", max_rate * F.col("source_size"))
-    by_cap = Window.orderBy(F.col("_cap") / F.col("_weight"), "_rank")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    left_over = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("_weight").over(
-        left_over
-    )
-    levels = ranked.withColumn("_level", level.cast("double"))
-    ratio = F.col("_cap") / F.col("_weight")
-    first = F.min(F.when(F.col("_level") <= ratio, F.struct(ratio.alias("at"), "_rank", F.col("_level").alias("level"))))
-    return (
-        levels.withColumn("_first", first.over(whole))
-        .withColumn("_share", F.col("_first.level") * F.col("_weight"))
-        .select(
-            "source",
-            "source_size",
-            F.least(F.col("_cap").cast("double"), F.coalesce("_share", F.lit(0.0))).alias("target"),
-        )
-    )
+    by_source = F.col("source").asc_nulls_last()
+    dealt = work.table("ranges", sizes.repartitionByRange(by_source).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("range").agg(F.count("*").alias("rows")).select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(by_source)) - 1
+    return dealt.join(F.broadcast(starts), "range").select("source", "source_size", (F.col("start") + within).alias("rank"))
 
 
-def mixing_rates(sized: DataFrame, key: str, weights=WEIGHTS, max_rate=MAX_RATE, seeds: int = SEEDS) -> DataFrame:
-    """Per source of (key, source, size): source_size, target, rate and the seed whose copies come nearest."""
-    spark = sized.sparkSession
-    work = Workspace(spark, "mixing")
-    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = source_targets(sizes, weights, max_rate).withColumn(
-        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    )
-    targets = work.table("targets", targets.withColumn("_k", F.xxhash64("source", F.col("source").isNull())))
-    drawn = checked_lookup(sized.withColumn("_k", F.xxhash64("source", F.col("source").isNull())), targets.drop("source"), "_k", F.col(key))
-    part = F.col("rate") - F.floor("rate")
-    sums = [
-        F.sum(F.when(_draw(F.col(key), F.lit(s)) < part, F.col("size")).otherwise(0)).alias(f"_s{s}") for s in range(seeds)
-    ]
-    tried = drawn.groupBy("_k").agg(F.first("target").alias("_t"), F.first("rate").alias("_r"), F.first("source_size").alias("_n"), *sums)
-    miss = [
-        F.struct(F.abs(F.col(f"_s{s}") + F.floor("_r") * F.col("_n") - F.col("_t")).alias("miss"), F.lit(s).alias("seed"))
-        for s in range(seeds)
-    ]
-    best = tried.select("_k", F.array_min(F.array(*miss))["seed"].alias("seed"))
-    return work.table("rates", targets.join(best, "_k"))
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
+    """Of (source, source_size), one row per source: its target by weight, at most ``max_rate`` times its size.
+
+    Targets are ``min(max_rate * size, level * weight)``. The level starts at all sizes over all weights; what
+    is above a cap is shared out again over the sources below theirs, which raises the level, until no further
+    source is above its cap. A round is one aggregate over the sources, of which the driver reads one row.
+    """
+    work = Workspace(sizes.sparkSession, "targets")
+    ranked = _ranked(sizes, work)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    rows = work.table("weighed", ranked.select("source", "source_size", weight.alias("weight"), (max_rate * F.col("source_size")).alias("cap")))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("weight")
+        found = rows.agg(F.count_if(above), F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight")))).first()
+        if found[0] == capped or not found[2]:
+            break
+        capped, level = found[0], float(total - (found[1] or 0)) / found[2]
+    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_sources(
@@ -84,29 +64,46 @@ def mix_sources(
     text: str = "text",
     weights: tuple[int, ...] = WEIGHTS,
     max_rate: int = MAX_RATE,
-    seeds: int = SEEDS,
+    seed: int = SEED,
 ) -> DataFrame:
     """Add ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` to every row.
 
     Sizes are word counts; sources are ordered by code point, null last, and null is a source of its own. A
-    row is copied ``floor(rate)`` times plus once more if its hash under the source's seed is below the
-    fraction, so reruns agree; rows that repeat a key are drawn alike. Null texts and null keys count as any
-    other (size 0; one draw for all null keys). An empty table gives an empty result.
+    source's rate is its target over its size; a row is copied ``floor(rate)`` times, and once more with the
+    fraction as probability, by hash and alike in every rerun: rows that share their size with others of the source
+    draw by the hash of their key under the seed; those alone in their size, which are the long ones, share one
+    draw per source, spaced evenly by size, so that their sum stays near its mean. Rows that repeat key and text are
+    drawn alike. Null texts and null keys count as any other (size 0; one draw for all null keys). An empty table
+    gives an empty result; columns of the four names are replaced, all others of ``docs`` stay.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rates = mixing_rates(sized, "key", weights, max_rate, seeds).select(
-        "_k",
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("rate").alias("_rate"),
-        F.col("seed").alias("_seed"),
-    )
-    rows = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies").withColumns(
-        {"_k": F.xxhash64(source, F.col(source).isNull()), "mix_size": word_count(F.col(text))}
-    )
-    whole = F.floor("_rate").cast("int")
-    copies = whole + (_draw(F.col(key), F.col("_seed")) < F.col("_rate") - whole).cast("int")
-    return checked_lookup(rows, rates, "_k", F.col(key)).withColumn("mix_copies", copies).drop("_k", "_rate", "_seed")
+    work = Workspace(docs.sparkSession, "mixing")
+    own = F.col(source).cast("string")
+    named = F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit("")).alias("name"))
+    cells = docs.select(own.alias("source"), word_count(F.col(text)).alias("size")).groupBy("source", "size").agg(F.count("*").alias("rows"))
+    cells = work.table("cells", cells)
+    sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).cast("long").alias("source_size"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rates = work.table("rates", source_targets(sizes, weights, max_rate).withColumn("rate", rate))
+
+    # the distinct sizes of a source that one row has, in order: no more rows than there are word counts
+    fraction = F.col("rate") - F.floor("rate")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("size"))
+    alone = cells.where("rows = 1").select("source", "size", place.alias("place"))
+    spaced = F.floor(F.col("place") * fraction + F.col("start")) > F.floor((F.col("place") - 1) * fraction + F.col("start"))
+    starts = rates.select("source", "rate", _draw(F.coalesce("source", F.lit("")), seed).alias("start"))
+    same = F.col("a.source").eqNullSafe(F.col("r.source"))
+    singles = alone.alias("a").join(starts.alias("r"), same).select(F.col("a.source").alias("source"), "size", spaced.alias("taken"))
+
+    rows = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    by, cell, rated, taken = (distinct_name(rows, c) for c in ("_by", "_cell", "_rate", "_taken"))
+    key_of = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    rates = rates.select(key_of.alias(by), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias(rated))
+    singles = singles.select(F.struct(key_of.alias("by"), F.col("size").alias("size")).alias(cell), F.col("taken").alias(taken))
+    rows = rows.withColumns({by: named, "mix_size": word_count(F.col(text))}).withColumn(cell, F.struct(F.col(by).alias("by"), F.col("mix_size").alias("size")))
+    found = checked_lookup(checked_lookup(rows, work.table("by-source", rates), by, F.col(key)), work.table("singles", singles), cell, F.col(key))
+    whole = F.floor(rated).cast("int")
+    extra = F.coalesce(F.col(taken), _draw(F.col(key), seed) < F.col(rated) - whole)
+    return found.withColumn("mix_copies", whole + extra.cast("int")).drop(by, cell, rated, taken)
 
 
 def emit_copies(mixed: DataFrame, copy: str = "copy_no") -> DataFrame:
