@@ -1,13 +1,15 @@
 """URL filters by a sort-merge range join.
 
-A host's labels are reversed into a canonical key (``news.example.com`` becomes ``com.example.news.`` with a
-low separator), so that a rule for a host and all its subdomains is one interval of keys. Intervals of hosts
-nest or are apart, hence one sorted sweep over rules and urls together can carry the stack of rules active at
-each url: every start or end of an interval brings the stack that holds from there on, and a url takes the
-stack of the last event before it. The longest active rule whose path starts the url's path decides.
-
-Every rule lies below one top-level label, so the sweep runs apart per top-level label and salt: urls draw a
-salt, the (few) events are repeated per salt, and a top-level label with most of the urls still spreads.
+A host's labels are reversed into a canonical key (``news.example.com`` becomes ``com.example.news.`` with a byte
+that text never holds after each label), so a rule for a host and all its subdomains is one interval of keys, and
+so is a rule for a path and all that begin with it. Intervals nest or are apart. One sorted sweep over interval
+ends and urls therefore keeps a stack of active rules: at the start of an interval its rule comes on top, at its
+end the rule around it is on top again, so the sweep carries the top alone, and the rules below it follow from it.
+
+The first sweep finds the innermost host with rules around each url; the url goes on once for each rule host in
+that nest (at most one per label). The second sweep, within such a host, finds the innermost path around the url's
+path. Of a url's rules the longest decides. Sweeps run apart per top-level label and per host; one that holds many
+urls is split into parts by its counted urls, and its few events are repeated per part.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import Workspace
 from tracemill.llm.text import ascii_lower
 
 #: Rules of the default table as (host, path, verdict).
@@ -29,10 +32,11 @@ DEFAULT_RULES = (
 #: Words of a host that block a url which no rule judges.
 BLOCKED_HOST_WORDS = ("adult", "bet", "bets", "betting", "casino", "gambling", "poker", "porn", "slots", "viagra", "xxx")
 
-SEPARATOR = "\u0001"
-LAST = "\U0010ffff"
+#: Bytes that UTF-8 never holds: after each label of a key, and at the end of an interval.
+SEPARATOR, LAST = b"\xfe", b"\xff"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-STACK = "array<struct<host:string,path:string,verdict:string>>"
+#: Urls of one sweep that go to one part.
+URLS_PER_PART = 20_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -43,7 +47,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def host_key(host: Column) -> Column:
     """The canonical key: labels from the top, each closed by a separator."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEPARATOR), F.lit(SEPARATOR))
+    return F.aggregate(F.reverse(F.split(host, r"\.")), F.lit(b""), lambda key, label: F.concat(key, F.encode(label, "UTF-8"), F.lit(SEPARATOR)))
 
 
 def top_label(host: Column) -> Column:
@@ -54,35 +58,55 @@ def rule_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
-def rule_events(rules: DataFrame) -> DataFrame:
-    """(top, key, stack): from ``key`` on, ``stack`` holds the rules of the host and its parents."""
-    rules = rules.where(F.col("host").isNotNull()).select(
-        ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
-    )
-    by_host = rules.groupBy("host").agg(F.collect_set(F.struct("host", "path", "verdict")).alias("own"))
+def host_intervals(rules: DataFrame) -> DataFrame:
+    """(host, over) of every rule host: the nearest parent host that has rules, or null."""
+    hosts = rules.select("host").distinct()
     labels = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(
+    parents = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.struct(
-            (F.size(labels) - i).alias("up"), F.array_join(F.slice(labels, -i, i), ".").alias("over")
-        ),
+        lambda up: F.struct(up.alias("up"), F.array_join(F.slice(labels, up + 1, F.size(labels)), ".").alias("over")),
     )
-    chains = (
-        by_host.select("host", F.explode(suffixes).alias("s"))
-        .select("host", F.col("s.over").alias("over"), F.col("s.up").alias("up"))
-        .join(by_host.select(F.col("host").alias("over"), "own"), "over")
+    found = (
+        hosts.select("host", F.explode(parents).alias("p"))
+        .select("host", "p.*")
+        .join(hosts.select(F.col("host").alias("over")), "over")
         .groupBy("host")
-        .agg(
-            F.flatten(F.collect_list("own")).alias("inside"),
-            F.flatten(F.collect_list(F.when(F.col("up") > 0, F.col("own")))).alias("after"),
-        )
+        .agg(F.min_by("over", "up").alias("over"))
     )
-    key = host_key(F.col("host"))
-    starts = chains.select(top_label(F.col("host")).alias("top"), key.alias("key"), F.col("inside").alias("stack"))
-    ends = chains.select(
-        top_label(F.col("host")).alias("top"), F.concat(key, F.lit(LAST)).alias("key"), F.col("after").alias("stack")
+    return hosts.join(found, "host", "left")
+
+
+def path_intervals(rules: DataFrame) -> DataFrame:
+    """(host, path, verdict, outer, outer_verdict): the longest other rule path of the host that begins each path."""
+    by_path = rules.groupBy("host", "path").agg(F.when(F.bool_or(F.col("verdict") == "block"), "block").otherwise(F.max("verdict")).alias("verdict"))
+    shorter = F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda n: F.substring("path", F.lit(1), n))
+    outer = by_path.select("host", F.col("path").alias("outer"), F.col("verdict").alias("outer_verdict"))
+    around = (
+        by_path.where(F.length("path") > 0)
+        .select("host", "path", F.explode(shorter).alias("outer"))
+        .join(outer, ["host", "outer"])
+        .groupBy("host", "path")
+        .agg(F.max_by(F.struct("outer", "outer_verdict"), F.length("outer")).alias("around"))
+    )
+    return by_path.join(around, ["host", "path"], "left").select("host", "path", "verdict", "around.outer", "around.outer_verdict")
+
+
+def sweep(urls: DataFrame, events: DataFrame, by: str, per_part: int = URLS_PER_PART) -> DataFrame:
+    """``urls`` (by, key, row) with ``top``: what the last of ``events`` (by, key, ends, top) at or before the key leaves on top.
+
+    Events at one key go from the interval that ends to the ones that start, the longest last.
+    """
+    hot = urls.groupBy(by).agg(F.count("*").alias("parts")).where(F.col("parts") > per_part).select(by, F.ceil(F.col("parts") / per_part).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = urls.join(F.broadcast(hot), by, "left").select(
+        by, F.pmod(F.xxhash64("row.id"), parts).cast("int").alias("part"), "key", F.lit(1).alias("turn"), F.lit(None).cast(events.schema["top"].dataType).alias("top"), "row"
+    )
+    repeated = events.join(F.broadcast(hot), by, "left").select(
+        by, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "key", F.lit(0).alias("turn"), "top", F.lit(None).cast(urls.schema["row"].dataType).alias("row")
     )
-    return starts.unionByName(ends)
+    order = Window.partitionBy(by, "part").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.unionByName(repeated).withColumn("last", F.last("top", ignorenulls=True).over(order))
+    return swept.where("turn = 1").select(by, "row", F.col("last").alias("top"))
 
 
 def judge_urls(
@@ -91,61 +115,53 @@ def judge_urls(
     url: str = "url",
     default: str = "allow",
     host_words: tuple[str, ...] = BLOCKED_HOST_WORDS,
-    salts: int = 64,
+    per_part: int = URLS_PER_PART,
 ) -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages`` (columns of those names are replaced).
 
     Null urls and urls without ``://`` have empty host and path and get the method's verdict. Rows repeat as
     they come; an empty table gives an empty result; without rules every url gets the method's verdict: block
-    if a word of its host is in ``host_words``, else ``default``. Of rules equally long (which differ in
-    verdict only) ``block`` wins. A rule's stack array holds the rules of one host and its parents.
+    if a word of its host is in ``host_words``, else ``default``. Rules without a host are left out. Of rules
+    equally long the one with the longer host wins; of equal rules with other verdicts, ``block``.
     """
+    rules = rules.where(F.coalesce("host", F.lit("")) != "").select(
+        ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
+    )
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col(url))
-    urls = pages.select(*keep, host.alias("host"), path.alias("path")).select(
-        F.struct(*keep, "host", "path").alias("page"),
-        top_label(F.col("host")).alias("top"),
-        host_key(F.col("host")).alias("key"),
-        F.pmod(F.xxhash64(url, F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"),
-        F.lit(1).alias("order"),
-        F.lit(None).cast(STACK).alias("stack"),
-    )
-    events = rule_events(rules).select(
-        F.lit(None).cast(urls.schema["page"].dataType).alias("page"),
-        "top",
-        "key",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        F.lit(0).alias("order"),
-        F.col("stack").cast(STACK).alias("stack"),
-    )
-    sweep = Window.partitionBy("top", "salt").orderBy("key", "order").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        urls.unionByName(events)
-        .withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where(F.col("page").isNotNull())
-        .select("page.*", "active")
-    )
-    fits = F.filter(
-        F.coalesce("active", F.array().cast(STACK)),
-        lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"])))
-        & F.startswith(F.col("path"), r["path"]),
-    )
-    ranked = F.transform(
-        fits,
-        lambda r: F.struct(
-            F.length(F.concat(r["host"], r["path"])).alias("length"),
-            F.length(r["host"]).alias("host_length"),
-            r["verdict"].alias("verdict"),
-            F.concat(r["host"], r["path"]).alias("rule"),
-        ),
-    )
-    blocked = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, host_words))) if host_words else F.lit(False)
-    return swept.withColumn("_best", F.array_max(ranked)).select(
-        *keep,
-        "host",
-        "path",
-        F.col("_best.rule").alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.when(blocked, "block").otherwise(default)).alias("verdict"),
+    page = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page")
+    rows = pages.select(page, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("id"))
+
+    tops = host_intervals(rules)
+    key = host_key(F.col("host"))
+    starts = tops.select(top_label(F.col("host")).alias("label"), key.alias("key"), F.struct(F.col("host").alias("name")).alias("top"))
+    ends = tops.select(top_label(F.col("host")).alias("label"), F.concat(key, F.lit(LAST)).alias("key"), F.struct(F.col("over").alias("name")).alias("top"))
+    urls = rows.select(top_label(F.col("host")).alias("label"), key.alias("key"), F.struct("page", "host", "path", "id").alias("row"))
+    # written, so that the ids that both uses of it meet on are the same
+    inside = sweep(urls, starts.unionByName(ends), "label", per_part).select("row", F.col("top.name").alias("nearest"))
+    inside = Workspace(pages.sparkSession, "urls").table("inside", inside)
+
+    # the nest of rule hosts around a url: the nearest and all its parents that have rules
+    labels = F.split("nearest", r"\.")
+    nest = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    apart = inside.select("row", F.explode(nest).alias("rule_host")).where(F.col("rule_host") != "")
+    paths = path_intervals(rules).withColumn("rule_host", F.col("host"))
+    path_key = F.encode("path", "UTF-8")
+    starts = paths.select("rule_host", path_key.alias("key"), F.struct("path", "verdict").alias("top"))
+    ends = paths.select("rule_host", F.concat(path_key, F.lit(LAST)).alias("key"), F.struct(F.col("outer").alias("path"), F.col("outer_verdict").alias("verdict")).alias("top"))
+    asked = apart.select("rule_host", F.encode("row.path", "UTF-8").alias("key"), "row")
+    found = sweep(asked, starts.unionByName(ends), "rule_host", per_part).where("top.path IS NOT NULL")
+    rule = F.concat("rule_host", "top.path")
+    best = found.select("row", F.struct(F.length(rule).alias("length"), F.length("rule_host").alias("host_length"), rule.alias("rule"), F.col("top.verdict").alias("verdict")).alias("best"))
+    judged = best.groupBy(F.col("row.id").alias("id")).agg(F.max("best").alias("best"))
+
+    blocked = F.arrays_overlap(F.split("row.host", "[.-]"), F.array(*map(F.lit, host_words))) if host_words else F.lit(False)
+    return inside.join(judged, F.col("row.id") == F.col("id"), "left").select(
+        "row.page.*",
+        "row.host",
+        "row.path",
+        F.col("best.rule").alias("rule"),
+        F.coalesce(F.col("best.verdict"), F.when(blocked, "block").otherwise(default)).alias("verdict"),
     )
 
 
