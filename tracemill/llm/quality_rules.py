@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import distinct_name
 from tracemill.llm.text import SPACE, words
 
 #: Frequent function words of the four languages.
@@ -53,44 +54,45 @@ RULES = (
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append the base counts and the metrics of the threshold table; helper columns start with ``_q``."""
+    """Append the base counts and the metrics of the threshold table; columns of ``docs`` of their names are replaced."""
+    qw, ql, qh, qj, qp, qr = (distinct_name(docs, c) for c in ("_qw", "_ql", "_qh", "_qj", "_qp", "_qr"))
     body = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumns({"_qw": words(F.col(text)), "_ql": F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
-    n = F.size("_qw")
+    one = docs.withColumns({qw: words(F.col(text)), ql: F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
+    n = F.size(qw)
     hashes = F.when(
         n >= WINDOW,
         F.transform(
-            F.slice("_qw", 1, n - (WINDOW - 1)),
-            lambda w, i: F.xxhash64(w, *[F.get(F.col("_qw"), i + k) for k in range(1, WINDOW)]),
+            F.slice(qw, 1, n - (WINDOW - 1)),
+            lambda w, i: F.xxhash64(w, *[F.get(F.col(qw), i + k) for k in range(1, WINDOW)]),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    two = one.withColumns({"_qh": hashes, "_qj": F.array_join("_qw", "")})
+    two = one.withColumns({qh: hashes, qj: F.array_join(qw, "")})
     placed = F.when(
-        F.size(F.array_distinct("_qh")) < F.size("_qh"),
-        F.sort_array(F.transform("_qh", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.size(F.array_distinct(qh)) < F.size(qh),
+        F.sort_array(F.transform(qh, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    three = two.withColumn("_qp", placed)
-    before = lambda k: F.get("_qp", k - 1)["h"]
-    after = lambda k: F.get("_qp", k + 1)["h"]
+    three = two.withColumn(qp, placed)
+    before = lambda k: F.get(qp, k - 1)["h"]
+    after = lambda k: F.get(qp, k + 1)["h"]
     again = F.sort_array(
         F.filter(
-            F.transform("_qp", lambda x, k: F.when((before(k) == x["h"]) | (after(k) == x["h"]), x["i"])),
+            F.transform(qp, lambda x, k: F.when((before(k) == x["h"]) | (after(k) == x["h"]), x["i"])),
             lambda i: i.isNotNull(),
         )
     )
-    four = three.withColumn("_qr", again)
+    four = three.withColumn(qr, again)
     covered = F.aggregate(
-        F.transform("_qr", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_qr", k + 1) - i, F.lit(WINDOW)))),
+        F.transform(qr, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(qr, k + 1) - i, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    lines = F.size("_ql")
-    count = lambda test: F.size(F.filter("_qw", test))
+    lines = F.size(ql)
+    count = lambda test: F.size(F.filter(qw, test))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n_words = n.cast("long")
-    word_chars = F.length("_qj").cast("long")
+    word_chars = F.length(qj).cast("long")
     n_symbols = F.size(F.regexp_extract_all(body, F.lit("[#*$%&|<>]"), F.lit(0))).cast("long")
-    n_dup = (lines - F.size(F.array_distinct("_ql"))).cast("long")
+    n_dup = (lines - F.size(F.array_distinct(ql))).cast("long")
     five = four.withColumns(
         {
             "n_words": n_words,
@@ -100,10 +102,10 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "stop_ratio": ratio(count(lambda w: w.isin(*STOP_FORMS)), n),
             "bar_ratio": ratio(count(lambda w: w == "|"), n),
-            "stutter_ratio": ratio(F.size(F.filter("_qw", lambda w, i: w == F.get(F.col("_qw"), i - 1))), n),
+            "stutter_ratio": ratio(F.size(F.filter(qw, lambda w, i: w == F.get(F.col(qw), i - 1))), n),
             "shout_ratio": ratio(count(lambda w: w.endswith("!!")), n),
-            "ellipsis_line_ratio": ratio(F.size(F.filter("_ql", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), lines),
-            "bullet_line_ratio": ratio(F.size(F.filter("_ql", lambda x: x.rlike(r"^\s*[-*•]"))), lines),
+            "ellipsis_line_ratio": ratio(F.size(F.filter(ql, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), lines),
+            "bullet_line_ratio": ratio(F.size(F.filter(ql, lambda x: x.rlike(r"^\s*[-*•]"))), lines),
             "dup_line_ratio": ratio(n_dup, lines),
         }
     )
@@ -112,7 +114,7 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "mean_word_chars": ratio(F.col("word_chars"), F.col("n_words")),
             "symbol_ratio": ratio(F.col("n_symbols"), F.col("word_chars")),
         }
-    ).drop("_qw", "_ql", "_qh", "_qj", "_qp", "_qr")
+    ).drop(qw, ql, qh, qj, qp, qr)
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
