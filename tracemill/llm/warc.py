@@ -6,11 +6,14 @@ Files of failed attempts are never listed: the commit writes a manifest of the f
 
 Reading: whole files are dealt to partitions by size. Filters on record type and other header fields are pushed
 down; headers are parsed first, and a payload is only decoded for records that pass, and only if wanted
-(option ``payload``, true by default). Archives of other writers, plain or gzip per record, read too.
+(option ``payload``, true by default). Archives of other writers read too: plain, or gzip with any number of
+records in a member and any header fields of gzip. A record that the file ends in is read as far as it goes;
+one whose headers are cut off is left out.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 import uuid
@@ -146,7 +149,7 @@ class Bytes:
     """Buffered reading with cheap passing over."""
 
     def __init__(self, file):
-        self.file, self.buffer, self.at, self.place = file, b"", 0, 0
+        self.file, self.buffer, self.at = file, b"", 0
 
     def peek(self, n: int) -> bytes:
         if len(self.buffer) - self.at < n:
@@ -159,6 +162,9 @@ class Bytes:
         self.at += len(data)
         return data
 
+    def give_back(self, n: int) -> None:
+        self.at -= n
+
     def skip(self, n: int) -> None:
         held = len(self.buffer) - self.at
         if n <= held:
@@ -168,6 +174,41 @@ class Bytes:
             self.buffer, self.at = b"", 0
 
 
+class Member:
+    """The decoded bytes of one gzip member, read as far as they are asked for."""
+
+    def __init__(self, source: Bytes):
+        self.source, self.inflate, self.buffer = source, zlib.decompressobj(31), b""
+
+    def peek(self, n: int) -> bytes:
+        parts, held = [self.buffer], len(self.buffer)
+        while held < n and not self.inflate.eof:
+            # what the last call left undecoded goes first
+            packed = self.inflate.unconsumed_tail or self.source.take(64 << 10)
+            if not packed:
+                break
+            parts.append(self.inflate.decompress(packed, max(n - held, 4096)))
+            held += len(parts[-1])
+        self.buffer = b"".join(parts)
+        return self.buffer[:n]
+
+    def take(self, n: int) -> bytes:
+        data = self.peek(n)
+        self.buffer = self.buffer[len(data) :]
+        return data
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (passed := len(self.take(min(n, READ_BYTES)))):
+            n -= passed
+
+    def finish(self) -> None:
+        """Leave the source where the next member starts."""
+        self.buffer = b""
+        while not self.inflate.eof and self.peek(READ_BYTES):
+            self.buffer = b""
+        self.source.give_back(len(self.inflate.unused_data))
+
+
 def parse_headers(head: bytes) -> dict[str, str]:
     fields = {}
     for line in head.split(b"\r\n")[1:]:
@@ -191,18 +232,59 @@ def header_row(fields: dict[str, str]) -> dict:
     }
 
 
-def with_body(row: dict, fields: dict[str, str], body: bytes, payload: bool) -> dict:
-    """Length and payload from a record's block; of HTTP messages the part after their header."""
+def head_end(source: Bytes | Member, most: int | None = None) -> int | None:
+    """Bytes up to and with the empty line that ends a header, within ``most``; none if there is no such line."""
+    size = 4096
+    while True:
+        data = source.peek(size if most is None else min(size, most))
+        if (at := data.find(b"\r\n\r\n")) >= 0:
+            return at + 4
+        if len(data) < size:
+            return None
+        size *= 2
+
+
+def block_bytes(fields: dict[str, str]) -> int:
+    digits = fields.get("content-length", "")
+    return int(digits) if digits.isdigit() else 0
+
+
+def measure(source: Bytes | Member, row: dict, fields: dict[str, str]) -> tuple[int, bool]:
+    """Set the payload's length; (bytes of the block that are left, whether the HTTP header ended).
+
+    No more than the HTTP header is decoded: without a Content-Length in it, the length is that of the block
+    less the header.
+    """
+    left, size, ended = block_bytes(fields), None, True
     if fields.get("content-type", "").startswith("application/http"):
-        http, _, rest = body.partition(b"\r\n\r\n")
-        size = parse_headers(http).get("content-length")
-        row["payload_bytes"] = int(size) if size and size.isdigit() else len(rest)
-        body = rest
-    else:
-        row["payload_bytes"] = len(body)
-    if payload and row["record_type"] != "revisit":
-        row["payload"] = body
-    return row
+        end = head_end(source, left)
+        ended = end is not None
+        http = source.take(left if end is None else end)
+        left -= len(http)
+        told = parse_headers(http).get("content-length")
+        size = int(told) if told and told.isdigit() else None
+    row["payload_bytes"] = left if size is None else size
+    return left, ended
+
+
+def block_records(source: Bytes | Member, wanted, payload: bool) -> Iterator[dict]:
+    """The wanted records that follow one another in ``source``, up to its end or to what is no record."""
+    while True:
+        while (mark := source.peek(5)) and mark[:1] in b"\r\n":
+            source.skip(1)
+        if mark != b"WARC/" or (end := head_end(source)) is None:
+            return
+        fields = parse_headers(source.take(end)[:-4])
+        row = header_row(fields)
+        if not wanted(row):
+            source.skip(block_bytes(fields))
+            continue
+        left, _ = measure(source, row, fields)
+        if payload and row["record_type"] != "revisit":
+            row["payload"] = source.take(left)
+        else:
+            source.skip(left)
+        yield row
 
 
 def records(file, wanted, payload: bool) -> Iterator[dict]:
@@ -210,69 +292,54 @@ def records(file, wanted, payload: bool) -> Iterator[dict]:
     source = Bytes(file)
     while start := source.peek(12):
         if start[:2] == b"\x1f\x8b":
-            yield from _member(source, start, wanted, payload)
+            yield from member_records(source, start, wanted, payload)
         elif start.startswith(b"WARC/"):
-            head = b""
-            size = 4096
-            while b"\r\n\r\n" not in (head := source.peek(size)) and len(head) == size:
-                size *= 2
-            head = head[: head.index(b"\r\n\r\n") + 4]
-            source.skip(len(head))
-            fields = parse_headers(head[:-4])
-            length = int(fields.get("content-length", 0))
+            place = source.file.tell() - len(source.buffer) + source.at
+            yield from block_records(source, wanted, payload)
+            if source.file.tell() - len(source.buffer) + source.at == place:
+                return  # the file ends in these headers
+        else:
+            source.skip(1)  # stray bytes between records
+
+
+def own_sizes(source: Bytes, start: bytes) -> tuple[int, int, int] | None:
+    """(header, packed and full size) of a member whose extra field tells them and that has no other header field."""
+    if len(start) < 12 or start[3] != 4:
+        return None
+    (n,) = struct.unpack("<H", start[10:12])
+    extra, at = source.peek(12 + n)[12:], 0
+    while at + 4 <= len(extra):
+        (m,) = struct.unpack("<H", extra[at + 2 : at + 4])
+        if extra[at : at + 2] == b"sl" and m == 8 and at + 12 <= len(extra):
+            return (12 + n, *struct.unpack("<II", extra[at + 4 : at + 12]))
+        at += 4 + m
+    return None
+
+
+def member_records(source: Bytes, start: bytes, wanted, payload: bool) -> Iterator[dict]:
+    """The records of one gzip member; one record that is not wanted, or whose payload is not, is passed over packed."""
+    sizes = own_sizes(source, start)
+    if sizes is not None:
+        header, packed, full = sizes
+        for size in (header + min(packed, 2048), header + packed):
+            member = Member(Bytes(io.BytesIO(source.peek(size))))
+            if (end := head_end(member)) is None:
+                continue
+            fields = parse_headers(member.take(end)[:-4])
             row = header_row(fields)
+            fills = (end + block_bytes(fields) + 4) & 0xFFFFFFFF == full
+            if not fills or (payload and wanted(row)):
+                break  # several records, or one to decode
             if wanted(row):
-                # without payload, what is decoded is the HTTP header alone
-                body = source.peek(length if payload else min(length, 4096))
-                yield with_body(row, fields, body, payload)
-            source.skip(length + 4)
-        else:
-            source.skip(1)  # stray line ends between records
-
-
-def _member(source: Bytes, start: bytes, wanted, payload: bool) -> Iterator[dict]:
-    packed = None
-    if start[3] & 4:
-        (extra_size,) = struct.unpack("<H", start[10:12])
-        head = source.take(12 + extra_size)
-        extra, at = head[12:], 0
-        while at + 4 <= len(extra):
-            (n,) = struct.unpack("<H", extra[at + 2 : at + 4])
-            if extra[at : at + 2] == b"sl" and n == 8:
-                (packed,) = struct.unpack("<I", extra[at + 4 : at + 8])
-            at += 4 + n
-        inflate = zlib.decompressobj(-15)
-    else:
-        inflate = zlib.decompressobj(31)
-    if packed is None or start[3] not in (0, 4):
-        if start[3] & 4:
-            raise ValueError("gzip members with an extra field other than 'sl' are not supported")
-        data = b""
-        while not inflate.eof and (chunk := source.take(READ_BYTES)):
-            data += inflate.decompress(chunk)
-        source.at -= len(inflate.unused_data)
-    else:
-        size = min(packed, 2048)
-        data = inflate.decompress(source.peek(size), 4096)
-        while b"\r\n\r\n" not in data and size < packed:
-            size = min(packed, size * 4)
-            inflate = zlib.decompressobj(-15)
-            data = inflate.decompress(source.peek(size))
-        fields = parse_headers(data.partition(b"\r\n\r\n")[0])
-        row = header_row(fields)
-        if not wanted(row):
-            source.skip(packed + 8)
+                _, ended = measure(member, row, fields)
+                if not ended and size < header + packed:
+                    continue
+                yield row
+            source.skip(header + packed + 8)
             return
-        if payload:
-            data = zlib.decompress(source.peek(packed), -15)
-        else:
-            data = zlib.decompressobj(-15).decompress(source.peek(min(packed, 8192)), 16384)
-        source.skip(packed + 8)
-    head, _, body = data.partition(b"\r\n\r\n")
-    fields = parse_headers(head)
-    row = header_row(fields)
-    if wanted(row):
-        yield with_body(row, fields, body[: int(fields.get("content-length", len(body)))], payload)
+    member = Member(source)
+    yield from block_records(member, wanted, payload)
+    member.finish()
 
 
 def holds(f: Filter, row: dict) -> bool:
