@@ -1,10 +1,13 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-A word's vector is the sum of sparse random index vectors of the word, its ending, its shape and whether it
-repeats the word before it; the index vector of a feature follows from its hash, so there is no vocabulary to
-gather, ship or bound. A document is the mean of its words, its length and how much the mean cancels out
-(repetitive texts keep a long mean). The network is trained in numpy on a bounded sample of labelled rows and
-its logits are divided by a temperature fitted on rows set aside.
+Random indexing: every word has a sparse random index vector, which follows from its hash, and a context vector,
+the sum of the index vectors of the words around it in all documents. Context vectors are kept in a table of
+fixed size whose rows words share by hash, so there is no vocabulary to gather, ship or bound; tasks add up whole
+numbers, and their tables are added as a tree, so the sums are exact and the same in every run. A word's vector
+is its context vector at unit length beside the index vectors of its form (the word, its ending, its shape). A
+document is the mean of its words, its length, how much the mean cancels out (repetitive texts keep a long mean)
+and its repeats. The network is trained in numpy on a bounded sample of labelled rows and its logits are divided
+by a temperature fitted on rows set aside.
 """
 
 from __future__ import annotations
@@ -14,21 +17,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.workspace import Shipped
+from tracemill.functions.workspace import Shipped, distinct_name
 from tracemill.llm.hashing import ASCII_SPACE, buffers, mix, portions, word_hashes, word_spans
 
-#: Dimensions of the word vectors, and entries that are not zero in an index vector.
+#: Dimensions of the vectors of a word's form, and entries that are not zero in an index vector.
 DIMENSIONS, ENTRIES = 96, 4
+#: Rows and dimensions of the table of context vectors, words to each side that are context, and parts it is added in.
+CONTEXT_ROWS, CONTEXT_DIMENSIONS, REACH, PARTS = 1 << 13, 48, 2, 16
+#: Tables of so many tasks are added first, then their sums.
+FAN_IN = 64
 #: Labelled rows that the network is trained on, at most; those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 20_000
 #: Words whose index vectors are held at a time.
-CHUNK_WORDS = 250_000
+CHUNK_WORDS, CONTEXT_CHUNK_WORDS = 100_000, 400_000
 THRESHOLD = 0.7
-N_FEATURES = DIMENSIONS + 4
+N_FEATURES = CONTEXT_DIMENSIONS + DIMENSIONS + 5
 
 _IDENTITY = np.arange(256, dtype=np.uint8)
 #: Byte classes of a word's shape: lower, upper, digit, symbol, bar or slash, other punctuation, beyond ASCII.
@@ -55,30 +63,102 @@ def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return code
 
 
-def document_vectors(texts: pa.Array) -> np.ndarray:
-    """(texts, N_FEATURES) float32: pooled word vector, log length, norm, repeats, mean word length."""
+def _index_entries(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, sign) of entry k of the index vectors of words, in the dimensions of the context table."""
+    bits = mix(words + np.uint64(k + 1))
+    return ((bits >> np.uint64(8)) % np.uint64(CONTEXT_DIMENSIONS)).astype(np.int64), (bits & np.uint64(1)).astype(np.int64) * 2 - 1
+
+
+def _context_rows(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64) & (CONTEXT_ROWS - 1)
+
+
+def add_contexts(table: np.ndarray, texts: pa.Array) -> None:
+    """Add to each word's row of the flat table the index vectors of the words within ``REACH`` of it."""
+    for low, high in portions(texts):
+        data, offsets = buffers(texts.slice(low, high - low))
+        starts, ends, at = word_spans(data, offsets, ASCII_SPACE)
+        for a in range(int(at[0]), int(at[-1]), CONTEXT_CHUNK_WORDS):
+            b = min(a + CONTEXT_CHUNK_WORDS, int(at[-1]))
+            last = min(b + REACH, int(at[-1]))  # the words after a piece are context of its last ones
+            words = word_hashes(data, starts[a:last], ends[a:last])
+            owner = np.searchsorted(at, np.arange(a, last), "right")
+            rows = _context_rows(words) * CONTEXT_DIMENSIONS
+            entries = [_index_entries(words, k) for k in range(ENTRIES)]
+            for step in range(1, REACH + 1):
+                first = np.flatnonzero(owner[step:] == owner[:-step])
+                first = first[first < b - a]
+                for place, sign in entries:
+                    for word, beside in ((first, first + step), (first + step, first)):
+                        table += np.bincount(rows[word] + place[beside], sign[beside], len(table)).astype(np.int64)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(CONTEXT_ROWS * CONTEXT_DIMENSIONS, dtype=np.int64)
+    for batch in batches:
+        add_contexts(table, batch.column(0))
+    if table.any():
+        group = TaskContext.get().partitionId() // FAN_IN
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array([x.tobytes() for x in np.split(table, PARTS)], pa.binary())],
+            names=["part", "group", "sums"],
+        )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = np.frombuffer(values.as_buffer(), dtype=np.int64)
+            sums[part] = sums[part] + more if part in sums else more
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "sums"])
+
+
+def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """(CONTEXT_ROWS, CONTEXT_DIMENSIONS) float32: unit context vectors from the texts of all ``docs``.
+
+    What the driver reads has the size of the table (3 MB), whatever the input.
+    """
+    found = docs.select(F.col(text)).mapInArrow(_contexts, "part int, group int, sums binary")
+    once = found.repartition("part", "group").select("part", "sums").mapInArrow(_added, "part int, sums binary")
+    table = np.zeros((PARTS, CONTEXT_ROWS * CONTEXT_DIMENSIONS // PARTS))
+    for r in once.repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").collect():
+        table[r["part"]] = np.frombuffer(r["sums"], dtype=np.int64)
+    table = table.reshape(CONTEXT_ROWS, CONTEXT_DIMENSIONS)
+    table -= table.mean(0)  # what all words have around them tells none apart
+    return (table / np.maximum(np.sqrt((table**2).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
+
+
+def document_vectors(texts: pa.Array, contexts: np.ndarray) -> np.ndarray:
+    """(texts, N_FEATURES) float32: pooled word vector, log length, norms, repeats, mean word length."""
     out = np.zeros((len(texts), N_FEATURES), dtype=np.float32)
     for low, high in portions(texts):
         data, offsets = buffers(texts.slice(low, high - low))
-        out[low:high] = _pooled(data, *word_spans(data, offsets, ASCII_SPACE))
+        out[low:high] = _pooled(data, *word_spans(data, offsets, ASCII_SPACE), contexts)
     return out
 
 
-def _pooled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _pooled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     n = len(at) - 1
     counts = np.diff(at)
     sums = np.zeros((n, DIMENSIONS))
+    around = np.zeros((n, CONTEXT_DIMENSIONS))
     repeats = np.zeros(n)
     length = np.zeros(n)
     for a in range(int(at[0]), int(at[-1]), CHUNK_WORDS):  # one very long text comes in pieces
         b = min(a + CHUNK_WORDS, int(at[-1]))
         s, e = starts[a:b], ends[a:b]
-        owner = np.repeat(np.arange(n), np.diff(np.clip(at, a, b)))
+        inside = np.diff(np.clip(at, a, b))
+        owner = np.repeat(np.arange(n), inside)
         words = word_hashes(data, s, e, _IDENTITY)
         same = np.zeros(len(words), dtype=bool)
         same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
         repeats += np.bincount(owner, same, n)
         length += np.bincount(owner, e - s, n)
+        held = np.flatnonzero(inside)
+        first = np.cumsum(inside)[held] - inside[held]
+        around[held] += np.add.reduceat(contexts[_context_rows(word_hashes(data, s, e))], first, axis=0)
         base = owner * DIMENSIONS
         for tag, code in ((1, words), (2, _shapes(data, s, e)), (3, _endings(data, s, e))):
             h = mix(code * np.uint64(8) + np.uint64(tag))
@@ -88,9 +168,9 @@ def _pooled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
                 sign = ((bits >> np.uint64(15)) & np.uint64(1)).astype(np.float64) * 2 - 1
                 sums += np.bincount(base + place, sign, n * DIMENSIONS).reshape(n, DIMENSIONS)
     each = np.maximum(counts, 1)
-    mean = sums / each[:, None]
+    mean, near = sums / each[:, None], around / each[:, None]
     return np.column_stack(
-        [mean, np.log1p(counts), np.log1p((mean**2).sum(1)), repeats / each, length / each]
+        [near, mean, np.log1p((near**2).sum(1)), np.log1p(counts), np.log1p((mean**2).sum(1)), repeats / each, length / each]
     ).astype(np.float32)
 
 
@@ -99,6 +179,7 @@ class QualityModel:
     """The trained network; without labels of both kinds it answers the share of label 1, or 0.5."""
 
     prior: float
+    contexts: np.ndarray | None = None
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
     layers: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None
@@ -110,11 +191,16 @@ class QualityModel:
         return np.tanh(z @ w1 + b1) @ w2 + b2
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.layers is None:
-            return np.full(len(x), self.prior)
+        """Scores of document vectors."""
         return 1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -40, 40)))
 
 
+    def rate(self, texts: pa.Array) -> np.ndarray:
+        if self.layers is None:
+            return np.full(len(texts), self.prior)
+        return self.scores(document_vectors(texts, self.contexts))
+
+
 def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> QualityModel:
     """Adam on the logistic loss over four fifths of the rows; the temperature over the last fifth."""
     if len(y) < 20 or y.min() == y.max():
@@ -137,7 +223,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = QualityModel(float(t.mean()), center, scale, (weights[0], weights[1], weights[2], float(weights[3][0])))
+    model = QualityModel(float(t.mean()), None, center, scale, (weights[0], weights[1], weights[2], float(weights[3][0])))
     held = aside if len(np.unique(t[aside])) > 1 else order
     logits = model.logits(x[held])
     losses = {}
@@ -148,16 +234,21 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40
     return model
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = document_vectors(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "vector"])
+def _vectors(contexts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = document_vectors(batch.column(2), contexts.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "rank", "vector"])
+
+    return run
 
 
 def train_quality_model(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_TRAINING_ROWS) -> QualityModel:
-    """Fit on rows of ``docs`` that ``labelled`` (key, label 0 or 1) marks, ``max_rows`` at most.
+    """Fit on rows of ``docs`` that ``labelled`` (key, label 0 or 1) marks, ``max_rows`` at most; context vectors on all of ``docs``.
 
-    Null keys, labels and other labels are left out; where a key is labelled twice the larger label counts.
+    The bounded sample is that of the smallest hashes: of keys among the labels, then of key and text among the
+    rows, so that rows which repeat a key do not crowd out others and the label has no say. Null keys, labels and
+    other labels are left out; where a key is labelled twice the larger label counts.
     """
     sample = (
         labelled.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
@@ -167,20 +258,24 @@ def train_quality_model(docs: DataFrame, labelled: DataFrame, key: str = "doc_id
         .limit(max_rows)
     )
     # at most max_rows narrow rows, so their broadcast is bounded
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(sample), key).select("label", "text", key)
-    table = rows.select("label", "text").mapInArrow(_vectors, "label int, vector binary").toArrow()
-    if not table.num_rows:
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(sample), key)
+    if not rows.limit(1).count():
         return QualityModel(0.5)
+    contexts = context_vectors(docs, text)
+    sent = docs.sparkSession.sparkContext.broadcast(contexts)
+    ranked = rows.select("label", F.xxhash64(key, "text").alias("rank"), "text").mapInArrow(_vectors(sent), "label int, rank long, vector binary")
+    table = ranked.orderBy("rank", "label", "vector").limit(max_rows).toArrow()
     y = np.array(table["label"].to_pylist())
     x = np.frombuffer(b"".join(table["vector"].to_pylist()), dtype=np.float32).reshape(len(y), N_FEATURES).astype(np.float64)
-    order = np.lexsort((x[:, 0], x[:, 1], x[:, -1], y))[:max_rows]  # the same fit however the rows arrive
-    return fit_network(x[order], y[order])
+    model = fit_network(x, y)
+    model.contexts = contexts
+    return model
 
 
 def _score(model, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.value.scores(document_vectors(batch.column(place)))
+            scores = model.value.rate(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     return run
@@ -210,7 +305,8 @@ def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text", thres
     """
     if model.layers is None:
         return docs
-    return score_quality(docs, model, text, "_score").where(F.col("_score") >= threshold).drop("_score")
+    score = distinct_name(docs, "_score")
+    return score_quality(docs, model, text, score).where(F.col(score) >= threshold).drop(score)
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
