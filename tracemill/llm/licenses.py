@@ -28,6 +28,9 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 #: Notices for the fuzzy search, as normalised words, with their labels.
 NOTICES = (
     ("gnu general public license", "gpl"),
+    ("apache license", "apache"),
+    ("cc by", "cc-by"),
+    ("mit license", "mit"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("licensed under the apache license version 2 0", "apache"),
@@ -98,11 +101,11 @@ class Match:
 _start = attrgetter("start")
 
 
-def find_notices(normal: str, notices, automaton) -> list[tuple[int, int, str, int, float]]:
-    """(first word, last word + 1, label, errors, similarity) of every verified notice, by place.
+def verified_matches(normal: str, notices, automaton) -> set[Match]:
+    """Every place at which a seed's window holds its notice with few enough errors.
 
-    ``normal`` is the words joined and enclosed by single spaces. Every hit has a window of its own, too short for
-    two places of its notice, so the best match of one place hides no other.
+    Every hit has a window of its own, too short for two places of its notice, so the best match of one place
+    hides no other.
     """
     windows: set[tuple[int, int]] = set()
     for end, (size, places) in automaton.iter(normal):
@@ -119,9 +122,19 @@ def find_notices(normal: str, notices, automaton) -> list[tuple[int, int, str, i
             # places of deletions are told as if what is missing were there
             edits = (*changed, *more, *(p - k for k, p in enumerate(less)))
             matches.add(Match(m.start(), m.end(), n, edits))
-    found = set()
-    for m in best_matches(matches):
-        first = normal.count(" ", 0, m.start) - 1
+    return matches
+
+
+def find_notices(normal: str, notices, automaton) -> list[tuple[int, int, str, int, float]]:
+    """(first word, last word + 1, label, errors, similarity) of every verified notice, by place.
+
+    ``normal`` is the words joined and enclosed by single spaces.
+    """
+    found, spaces, at = set(), 0, 0
+    for m in sorted(best_matches(verified_matches(normal, notices, automaton)), key=_start):
+        spaces += normal.count(" ", at, m.start)  # the words before, counted on from the match before
+        at = m.start
+        first = spaces - 1
         last = first + normal.count(" ", m.start, m.end) + 1
         errors = len(m.edits)
         found.add((first, last, m.notice.label, errors, 1 - errors / len(m.notice.words)))
