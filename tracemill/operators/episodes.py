@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bands of prompt length and of tool calls, and least rows per cell.
-PROMPT_BANDS = (0, 60, 150, 400)
-TOOL_BANDS = (0, 1, 4, 12)
-MIN_STRATUM, MIN_BAND = 20, 15
+#: Bands of prompt length and of tool calls, with their names.
+PROMPT_BANDS, PROMPT_NAMES = (0, 60, 150, 400), ("0-60", "60-150", "150-400", "400-+")
+TOOL_BANDS, TOOL_NAMES = (0, 1, 4, 12), ("0-1", "1-4", "4-12", "12-+")
+#: Least episodes per arm, per cell of a prompt band and per cell of a tool band.
+MIN_ARM, MIN_STRATUM, MIN_BAND = 20, 20, 15
+#: Least recalls and episodes per side and arm, and what a shift must exceed, in points and in percent.
 MIN_RECALLS, MIN_EPISODES = 50, 30
 NOISE_POINTS = 6.0
-SHIFT_PCT = 10.0
+EFFECT_PCT = 10.0
 
 
 def band(value: Column, bounds: tuple[int, ...]) -> Column:
@@ -31,9 +33,15 @@ def sessionize(records: DataFrame) -> DataFrame:
     return records.withColumn("episode", F.sum(F.col("is_prompt").cast("int")).over(w)).where("episode > 0")
 
 
+def reduction_pct(base: Column, treated: Column) -> Column:
+    """Percent by which ``treated`` lies below ``base``: positive for less; null for a null or zero base."""
+    return F.round(100 * (base - treated) / F.nullif(base.cast("double"), F.lit(0.0)), 1)
+
+
 def episodes(records: DataFrame) -> DataFrame:
-    """One row per episode, with cost units in + 1.25 cache writes + 0.1 cache reads + 5 out."""
+    """One row per episode; cost units are input + 1.25 cache writes + 0.1 cache reads + 5 output tokens."""
     prompt = F.col("is_prompt")
+    tokens = ("input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens")
     out = sessionize(records).groupBy("session_id", "episode").agg(
         F.min("project").alias("project"),
         F.min("ts").alias("started_at"),
@@ -42,111 +50,156 @@ def episodes(records: DataFrame) -> DataFrame:
         F.max(F.when(prompt, F.col("chars"))).alias("prompt_chars"),
         F.count_if(F.col("role") == "assistant").alias("assistant_steps"),
         F.sum("tool_calls").alias("tool_calls"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
+        *[F.sum(c).alias(c) for c in tokens],
     )
-    return out.withColumn("cost_units", F.col("input_tokens") + 5 * F.col("output_tokens"))
+    context = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
+    cost = F.col("input_tokens") + 1.25 * F.col("cache_creation_tokens") + 0.1 * F.col("cache_read_tokens") + 5.0 * F.col("output_tokens")
+    return out.withColumns({"total_tokens": context + F.col("output_tokens"), "cost_units": F.round(cost, 6)})
+
+
+def usable(found: DataFrame) -> DataFrame:
+    """Episodes in which the assistant did something."""
+    return found.where("assistant_steps > 0")
 
 
 def arm_stats(found: DataFrame) -> DataFrame:
-    """With and without recall: exact medians and means."""
-    return found.groupBy("had_recall").agg(
+    """Usable episodes with and without recall: exact medians and means."""
+    return usable(found).groupBy("had_recall").agg(
         F.count("*").alias("n"),
-        *[F.round(F.median(c).cast("double"), 6).alias(f"median_{c}") for c in ("tool_calls", "assistant_steps", "cost_units", "prompt_chars")],
-        *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("tool_calls", "assistant_steps")],
+        *[F.round(F.median(c).cast("double"), 6).alias(f"median_{c}") for c in ("tool_calls", "total_tokens", "assistant_steps", "prompt_chars")],
+        F.round(F.avg("tool_calls"), 2).alias("mean_tool_calls"),
+        F.round(F.avg("total_tokens")).alias("mean_total_tokens"),
     )
 
 
-def compare_arms(found: DataFrame, min_n: int = 5) -> DataFrame:
-    """Median tool calls of both arms, overall (null project) and by project, with the difference in percent."""
-    def med(flag: bool) -> Column:
-        return F.median(F.when(F.col("had_recall") == flag, F.col("tool_calls")))
+def compare_arms(found: DataFrame, min_per_arm: int = MIN_ARM) -> DataFrame:
+    """Reductions of tool calls and tokens with recall, overall and by project, once both arms are large enough.
 
-    grouped = found.groupingSets([["project"], []], "project").agg(
-        F.count_if("had_recall").alias("n_with"), F.count_if(~F.col("had_recall")).alias("n_without"), med(True).alias("w"), med(False).alias("o")
+    Tool calls are compared by median within a project and by mean overall, tokens by median.
+    """
+    with_recall = F.col("had_recall")
+
+    def arm(aggregate, column: str, flag: bool) -> Column:
+        return aggregate(F.when(with_recall == flag, F.col(column)))
+
+    sides = [
+        arm(f, c, flag).alias(f"{n}{int(flag)}")
+        for n, f, c in (("median", F.median, "tool_calls"), ("mean", F.avg, "tool_calls"), ("tokens", F.median, "total_tokens"))
+        for flag in (False, True)
+    ]
+    grouped = usable(found).groupingSets([["project"], []], "project").agg(
+        F.count_if(with_recall).alias("n_with"), F.count_if(~with_recall).alias("n_without"), F.grouping("project").alias("whole"), *sides
     )
-    enough = (F.col("n_with") >= min_n) & (F.col("n_without") >= min_n)
+    scored = (F.col("n_with") >= min_per_arm) & (F.col("n_without") >= min_per_arm)
+    tools = F.when(F.col("whole") == 1, reduction_pct(F.col("mean0"), F.col("mean1"))).otherwise(reduction_pct(F.col("median0"), F.col("median1")))
     return grouped.select(
-        "project",
-        "n_with",
-        "n_without",
-        F.round("w", 6).alias("median_with"),
-        F.round("o", 6).alias("median_without"),
-        F.when(enough, F.round(100 * (F.col("w") - F.col("o")) / F.nullif(F.col("o"), F.lit(0)), 6)).alias("delta_pct"),
+        F.when(F.col("whole") == 0, F.col("project")).alias("project"), (F.col("whole") == 1).alias("overall"), "n_with", "n_without", scored.alias("scored"),
+        F.when(scored, tools).alias("tool_call_delta_pct"), F.when(scored, reduction_pct(F.col("tokens0"), F.col("tokens1"))).alias("token_delta_pct"),
     )
 
 
-def stratified_deltas(found: DataFrame, least: int = MIN_STRATUM) -> DataFrame:
-    """Mean tool calls of both arms per band of prompt length, cells of at least ``least`` episodes."""
-    cells = found.groupBy(band(F.col("prompt_chars"), PROMPT_BANDS).alias("stratum")).agg(
-        F.count_if("had_recall").alias("n_with"),
-        F.count_if(~F.col("had_recall")).alias("n_without"),
-        F.avg(F.when(F.col("had_recall"), F.col("tool_calls"))).alias("w"),
-        F.avg(F.when(~F.col("had_recall"), F.col("tool_calls"))).alias("o"),
+def stratified_deltas(found: DataFrame, min_per_cell: int = MIN_STRATUM) -> DataFrame:
+    """Reduction of mean tool calls with recall per band of prompt length; cells that are too small are kept, unscored."""
+    with_recall = F.col("had_recall")
+    cells = usable(found).groupBy(band(F.col("prompt_chars"), PROMPT_BANDS).alias("stratum")).agg(
+        F.count_if(with_recall).alias("n_with"),
+        F.count_if(~with_recall).alias("n_without"),
+        F.avg(F.when(with_recall, F.col("tool_calls"))).alias("w"),
+        F.avg(F.when(~with_recall, F.col("tool_calls"))).alias("o"),
     )
-    return cells.where((F.col("n_with") >= least) & (F.col("n_without") >= least)).select(
-        "stratum", "n_with", "n_without", F.round("w", 6).alias("mean_with"), F.round("o", 6).alias("mean_without"),
-        F.round(100 * (F.col("w") - F.col("o")) / F.nullif(F.col("o"), F.lit(0.0)), 6).alias("delta_pct"),
+    every = found.sparkSession.createDataFrame(list(enumerate(PROMPT_NAMES)), "stratum int, prompt_chars string")
+    rows = every.join(cells, "stratum", "left").withColumns({"n_with": F.coalesce("n_with", F.lit(0)), "n_without": F.coalesce("n_without", F.lit(0))})
+    scored = (F.col("n_with") >= min_per_cell) & (F.col("n_without") >= min_per_cell)
+    return rows.select("stratum", "prompt_chars", "n_with", "n_without", scored.alias("scored"), F.when(scored, reduction_pct(F.col("o"), F.col("w"))).alias("tool_call_delta_pct"))
+
+
+def effect(cells: DataFrame, delta: str) -> DataFrame:
+    """Cells that count (``scored_cells``) and whether their deltas differ in being positive (``mixed``)."""
+    counts = F.col("scored") & F.col(delta).isNotNull()
+    positive = F.when(counts, F.col(delta) > 0)
+    return cells.agg(F.count_if(counts).alias("scored_cells"), F.coalesce(F.min(positive) != F.max(positive), F.lit(False)).alias("mixed"))
+
+
+def stratum_verdict(found: DataFrame, min_per_arm: int = MIN_ARM, min_per_cell: int = MIN_STRATUM) -> DataFrame:
+    """saves or costs only if the overall reduction is large and no stratum points the other way."""
+    overall = compare_arms(found, min_per_arm).where("overall").select("scored", "tool_call_delta_pct")
+    strata = effect(stratified_deltas(found, min_per_cell), "tool_call_delta_pct")
+    delta = F.col("tool_call_delta_pct")
+    verdict = (
+        F.when(~F.col("scored") | (F.col("scored_cells") < 2), "insufficient_data")
+        .when(F.col("mixed") | delta.isNull() | (F.abs(delta) < EFFECT_PCT), "no_effect")
+        .when(delta > 0, "saves")
+        .otherwise("costs")
     )
+    # one row each
+    return overall.join(strata).select("scored", "scored_cells", delta.alias("tool_call_delta_pct"), verdict.alias("verdict"))
 
 
-def stratum_verdict(deltas: DataFrame) -> DataFrame:
-    """A finding needs one sign in all strata and at least ten percent on average."""
-    return deltas.agg(
-        F.count("*").alias("strata"), F.min(F.signum("delta_pct")).alias("low"), F.max(F.signum("delta_pct")).alias("high"), F.round(F.avg("delta_pct"), 6).alias("mean_delta")
-    ).select(
-        "strata",
-        "mean_delta",
-        F.when(F.col("strata") == 0, "insufficient").when(F.col("low") != F.col("high"), "mixed")
-        .when(F.abs("mean_delta") < SHIFT_PCT, "flat").when(F.col("mean_delta") < 0, "fewer").otherwise("more").alias("verdict"),
-    )
-
-
-def cost_compare(found: DataFrame, boundary: str, least: int = MIN_BAND) -> DataFrame:
-    """Median cost before and after a boundary per band of tool calls."""
+def cost_compare(found: DataFrame, boundary: str, min_per_cell: int = MIN_BAND) -> DataFrame:
+    """Median cost before and after a boundary per band of tool calls; cells that are too small are kept, unscored."""
     after = F.col("started_at") >= F.to_timestamp(F.lit(boundary))
-    cells = found.groupBy(band(F.col("tool_calls"), TOOL_BANDS).alias("tool_band")).agg(
+    cells = usable(found).groupBy(band(F.col("tool_calls"), TOOL_BANDS).alias("tool_band")).agg(
         F.count_if(~after).alias("n_before"),
         F.count_if(after).alias("n_after"),
         F.median(F.when(~after, F.col("cost_units"))).alias("b"),
         F.median(F.when(after, F.col("cost_units"))).alias("a"),
     )
-    return cells.where((F.col("n_before") >= least) & (F.col("n_after") >= least)).select(
-        "tool_band", "n_before", "n_after", F.round("b", 6).alias("median_before"), F.round("a", 6).alias("median_after"),
-        F.round(100 * (F.col("a") - F.col("b")) / F.nullif(F.col("b"), F.lit(0.0)), 6).alias("delta_pct"),
+    every = found.sparkSession.createDataFrame(list(enumerate(TOOL_NAMES)), "tool_band int, tool_calls string")
+    rows = every.join(cells, "tool_band", "left").withColumns({"n_before": F.coalesce("n_before", F.lit(0)), "n_after": F.coalesce("n_after", F.lit(0))})
+    scored = (F.col("n_before") >= min_per_cell) & (F.col("n_after") >= min_per_cell)
+    return rows.select(
+        "tool_band", "tool_calls", "n_before", "n_after", scored.alias("scored"), F.round(F.coalesce("b", F.lit(0.0)), 6).alias("median_cost_before"),
+        F.round(F.coalesce("a", F.lit(0.0)), 6).alias("median_cost_after"), F.when(scored, reduction_pct(F.col("b"), F.col("a"))).alias("cost_delta_pct"),
+    )
+
+
+def cost_verdict(found: DataFrame, boundary: str, min_per_cell: int = MIN_BAND) -> DataFrame:
+    """cheaper or dearer only if the overall shift is large and no band points the other way."""
+    after = F.col("started_at") >= F.to_timestamp(F.lit(boundary))
+    overall = usable(found).agg(
+        F.count_if(~after).alias("n_before"), F.count_if(after).alias("n_after"),
+        reduction_pct(F.median(F.when(~after, F.col("cost_units"))), F.median(F.when(after, F.col("cost_units")))).alias("cost_delta_pct"),
+    )
+    bands = effect(cost_compare(found, boundary, min_per_cell), "cost_delta_pct")
+    delta = F.col("cost_delta_pct")
+    verdict = (
+        F.when(F.col("scored_cells") < 2, "insufficient_data").when(F.col("mixed") | delta.isNull() | (F.abs(delta) < EFFECT_PCT), "no_effect")
+        .when(delta > 0, "cheaper").otherwise("dearer")
     )
+    return overall.join(bands).select("n_before", "n_after", "scored_cells", "cost_delta_pct", verdict.alias("verdict"))
 
 
-def recall_did(recalls: DataFrame, found: DataFrame, boundary: str) -> DataFrame:
-    """Difference in differences of the with/without gap around a boundary, gated by sample size."""
+def recall_did(recalls: DataFrame, found: DataFrame, boundary: str, min_recalls: int = MIN_RECALLS, min_episodes: int = MIN_EPISODES) -> DataFrame:
+    """Difference in differences, in points: how the gap in median tool calls without and with recall moved at a boundary."""
     at = F.to_timestamp(F.lit(boundary))
     gate = recalls.agg(F.count_if(F.col("timestamp") < at).alias("recalls_before"), F.count_if(F.col("timestamp") >= at).alias("recalls_after"))
 
-    def med(after: bool, flag: bool) -> Column:
+    def gap(after: bool) -> Column:
         side = F.col("started_at") >= at if after else F.col("started_at") < at
-        return F.median(F.when(side & (F.col("had_recall") == flag), F.col("tool_calls")))
+        arm = {flag: side & (F.col("had_recall") == flag) for flag in (False, True)}
+        enough = F.least(*[F.count_if(c) for c in arm.values()]) >= min_episodes
+        medians = {flag: F.median(F.when(c, F.col("tool_calls"))) for flag, c in arm.items()}
+        return F.when(enough, reduction_pct(medians[False], medians[True]))
 
-    gap = lambda a: 100 * (med(a, True) - med(a, False)) / F.nullif(med(a, False), F.lit(0))
-    ep = found.agg(
+    ep = usable(found).agg(
         F.count_if(F.col("started_at") < at).alias("episodes_before"), F.count_if(F.col("started_at") >= at).alias("episodes_after"),
-        gap(False).alias("gb"), gap(True).alias("ga"),
+        gap(False).alias("gap_before"), gap(True).alias("gap_after"),
     )
-    did = F.col("ga") - F.col("gb")
-    small = (F.least("recalls_before", "recalls_after") < MIN_RECALLS) | (F.least("episodes_before", "episodes_after") < MIN_EPISODES)
-    return gate.join(ep).select(
-        "recalls_before", "recalls_after", "episodes_before", "episodes_after",
-        F.round("gb", 6).alias("gap_before"), F.round("ga", 6).alias("gap_after"), F.round(did, 6).alias("did"),
-        F.when(small | did.isNull(), "insufficient").when(F.abs(did) < NOISE_POINTS, "noise").when(did < 0, "improved").otherwise("worse").alias("verdict"),
+    did = F.round(F.col("gap_after") - F.col("gap_before"), 1)
+    verdict = (
+        F.when(F.col("recalls_after") == 0, "no_data_yet").when(F.col("recalls_after") < min_recalls, "too_early").when(did.isNull(), "retrieval_only")
+        .when(F.abs(did) < NOISE_POINTS, "no_effect").when(did > 0, "improved").otherwise("regressed")
     )
+    return gate.join(ep).select("recalls_before", "recalls_after", "episodes_before", "episodes_after", "gap_before", "gap_after", did.alias("did_pp"), verdict.alias("verdict"))
 
 
-def retrieval_health(recalls: DataFrame, boundary: str) -> DataFrame:
-    """Both sides of a boundary: recalls, hit rate and exact medians over hits."""
+def retrieval_health(recalls: DataFrame, boundary: str, min_recalls: int = MIN_RECALLS) -> DataFrame:
+    """Both sides of a boundary: recalls, hit rate and exact medians over hits (0 without hits)."""
     hit = F.col("hits_count") > 0
+    median = lambda c, digits: F.round(F.coalesce(F.median(F.when(hit, F.coalesce(c, F.lit(0)))).cast("double"), F.lit(0.0)), digits)
     return recalls.groupBy(F.when(F.col("timestamp") < F.to_timestamp(F.lit(boundary)), "before").otherwise("after").alias("side")).agg(
-        F.count("*").alias("recalls"), F.round(F.count_if(hit) / F.count("*"), 6).alias("hit_rate"),
-        F.round(F.median(F.when(hit, F.col("top_score"))), 6).alias("median_score"),
-        F.round(F.median(F.when(hit, F.col("tokens_injected"))).cast("double"), 6).alias("median_tokens"),
+        F.count("*").alias("recalls"), F.round(F.count_if(hit) / F.count("*"), 3).alias("hit_rate"), median("top_score", 3).alias("median_top_score"),
+        median("tokens_injected", 1).alias("median_tokens"), (F.count("*") >= min_recalls).alias("scored"),
     )
 
 
