@@ -98,33 +98,43 @@ def context_totals(recalls: DataFrame) -> DataFrame:
     )
 
 
-def session_stats(turns: DataFrame) -> DataFrame:
-    """Turns, tool calls and whether a recall took place, per session."""
-    return turns.groupBy("session_id").agg(
-        F.count("*").alias("turns"), F.sum("tool_call_count").alias("tools"), F.max(F.col("had_recall") & (F.col("tool_call_count") > 3)).alias("with_recall")
+def session_stats(records: DataFrame) -> DataFrame:
+    """Per session of (session_id, project, is_prompt, had_recall, tool_calls, tokens, ts): turns, turns with recall, tokens and tool calls."""
+    return records.groupBy("session_id").agg(
+        F.min("project").alias("project"),
+        F.count_if("is_prompt").alias("turn_count"),
+        F.count_if(F.col("is_prompt") & F.col("had_recall")).alias("recall_turn_count"),
+        F.sum(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")).alias("total_input_tokens"),
+        F.sum("output_tokens").alias("total_output_tokens"),
+        F.sum("tool_calls").alias("tool_call_count"),
+        F.max("ts").alias("last_turn_at"),
     )
 
 
 def session_efficiency(stats: DataFrame) -> DataFrame:
-    """Ratio of sums with and without recall, and the gain."""
-    def tools(flag: bool) -> Column:
-        return F.sum(F.when(F.col("with_recall") == flag, F.col("tools")))
-
-    def turns(flag: bool) -> Column:
-        return F.sum(F.when(F.col("with_recall") == flag, F.col("turns")))
-
-    return stats.agg(
-        F.count_if("with_recall").alias("sessions_with"),
-        F.count_if(~F.col("with_recall")).alias("sessions_without"),
-        (tools(True) / turns(True)).alias("w"),
-        (tools(False) / turns(False)).alias("o"),
-    ).select(
-        "sessions_with",
-        "sessions_without",
-        F.round("w", 6).alias("tools_per_turn_with"),
-        F.round("o", 6).alias("tools_per_turn_without"),
-        F.round(F.when(F.col("o") > 0, 100 * (F.col("o") - F.col("w")) / F.col("o")), 6).alias("gain_pct"),
+    """Input tokens and tool calls per turn as ratios of sums, of all sessions and with and without recall, and the gain in percent."""
+    arms = {"": F.lit(True), "_with_recall": F.col("recall_turn_count") > 0, "_without_recall": F.col("recall_turn_count") == 0}
+
+    def ratio(column: str, arm: Column, digits: int) -> Column:
+        turns = F.sum(F.when(arm, F.col("turn_count")))
+        return F.coalesce(F.round(F.sum(F.when(arm, F.col(column))) / F.nullif(turns, F.lit(0)), digits), F.lit(0.0))
+
+    out = stats.where("turn_count > 0").agg(
+        F.count("*").alias("total_sessions"),
+        *[F.count_if(arm).alias(f"sessions{name}") for name, arm in arms.items() if name],
+        *[ratio("total_input_tokens", arm, 0).alias(f"avg_input_per_turn{name}") for name, arm in arms.items()],
+        *[ratio("tool_call_count", arm, 1).alias(f"avg_tool_calls{name}") for name, arm in arms.items() if name],
     )
+    base = F.col("avg_input_per_turn_without_recall")
+    gain = F.when(base > 0, F.round((1 - F.col("avg_input_per_turn_with_recall") / base) * 100, 1)).otherwise(0.0)
+    return out.withColumn("efficiency_gain_pct", gain)
+
+
+def recent_sessions(stats: DataFrame, limit: int = 50) -> DataFrame:
+    """The sessions that ended last, with their input per turn."""
+    per_turn = F.round(F.col("total_input_tokens") / F.col("turn_count"))
+    rows = stats.where("turn_count > 0").orderBy(F.col("last_turn_at").desc(), "session_id").limit(limit)
+    return rows.select("session_id", "project", "turn_count", "recall_turn_count", "tool_call_count", per_turn.alias("avg_input_per_turn"), (F.col("recall_turn_count") > 0).alias("has_recall"))
 
 
 def roi_overall(turns: DataFrame) -> DataFrame:
@@ -156,19 +166,20 @@ def roi_trend(turns: DataFrame) -> DataFrame:
     )
 
 
-def onboarding_status(store: DataFrame, recalls: DataFrame) -> DataFrame:
-    """A ladder from three counts: chunks, memories, recalls."""
-    s = store.agg(F.count_if(F.col("kind") == "session_chunk").alias("chunks"), F.count_if(F.col("kind") == "memory").alias("memories"))
-    r = recalls.agg(F.count("*").alias("recalls"))
-    return s.join(r).select(
-        "chunks",
-        "memories",
-        "recalls",
-        F.when(F.col("chunks") == 0, "empty")
-        .when(F.col("memories") == 0, "ingested")
-        .when(F.col("recalls") == 0, "distilled")
-        .otherwise("active")
-        .alias("status"),
+#: Types of memories that only a language model distils.
+DISTILLED_TYPES = ("decision", "lesson", "snippet", "bugfix")
+
+
+def onboarding_status(store: DataFrame) -> DataFrame:
+    """How far a store of (kind, mem_type, active) has come: no_data, ingesting, extractive or full."""
+    memory = F.col("active") & (F.col("kind") == "memory")
+    return store.agg(
+        F.count_if(F.col("active") & (F.col("kind") == "session_chunk")).alias("chunks"),
+        F.count_if(memory).alias("memories"),
+        F.count_if(memory & F.col("mem_type").isin(*DISTILLED_TYPES)).alias("distilled"),
+    ).withColumn(
+        "status",
+        F.when(F.col("chunks") == 0, "no_data").when(F.col("memories") == 0, "ingesting").when(F.col("distilled") > 0, "full").otherwise("extractive"),
     )
 
 
@@ -213,17 +224,27 @@ def savings_by_type(savings: DataFrame) -> DataFrame:
     )
 
 
-def liveness(savings: DataFrame, as_of: str) -> DataFrame:
-    """off: nothing logged; idle: nothing in a week; passthrough: nothing compressed; else live."""
-    cut = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(7))
-    return savings.agg(
-        F.count("*").alias("requests"),
-        F.count_if(F.col("timestamp") >= cut).alias("recent"),
-        F.count_if((F.col("timestamp") >= cut) & ~F.col("passthrough")).alias("compressed"),
-    ).withColumn(
-        "state",
-        F.when(F.col("requests") == 0, "off").when(F.col("recent") == 0, "idle").when(F.col("compressed") == 0, "passthrough").otherwise("live"),
+#: Fixed value: requests from which on it tells something that no code was compressed.
+LIVENESS_REQUESTS = 40
+
+
+def liveness(savings: DataFrame, enabled: bool, started_at: str | None) -> DataFrame:
+    """Whether a switched-on compression takes effect: off, on (start unknown), pending, not_taking_effect or live.
+
+    Counts requests since the start and the payloads of types that begin with ``code`` among them.
+    """
+    since = F.lit(False) if started_at is None else F.col("timestamp") >= F.to_timestamp(F.lit(started_at))
+    code = F.aggregate(F.map_entries("content_types"), F.lit(0).cast("long"), lambda n, e: n + F.when(e["key"].startswith("code"), e["value"]).otherwise(0))
+    state = (
+        F.when(F.lit(not enabled), "off").when(F.lit(started_at is None), "on").when(F.col("requests") == 0, "pending")
+        .when((F.col("code_payloads") == 0) & (F.col("requests") >= LIVENESS_REQUESTS), "not_taking_effect").when(F.col("code_payloads") == 0, "pending").otherwise("live")
     )
+    counts = savings.agg(F.count_if(since).alias("requests"), F.coalesce(F.sum(F.when(since, code)), F.lit(0)).alias("code_payloads"))
+    return counts.withColumn("state", state)
+
+
+#: Fixed value: requests from which on a summary counts as scored.
+MIN_REQUESTS = 20
 
 
 def corpus_summary(store: DataFrame) -> DataFrame:

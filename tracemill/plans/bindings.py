@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.curation import classify
+
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_LEDGER = "2001-12-01 00:00:00"
 
@@ -51,7 +53,7 @@ def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The savings ledger, from ``lineitem``."""
     li = table(spark, sf_dir, "lineitem")
-    kind = F.element_at(F.array(*map(F.lit, ("log", "json", "search", "source", "text"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("log", "json", "search", "code:python", "text"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
     return li.select(
         F.col("l_shipdate").alias("timestamp"),
         F.col("l_returnflag").alias("agent"),
@@ -112,6 +114,22 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).drop("session_id", "ord", "role").unionByName(notes(spark, sf_dir))
 
 
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories, one per assistant turn of at least 15 tokens, typed by its cues."""
+    c = chunks(spark, sf_dir).where("role = 'assistant' AND token_count >= 15")
+    return c.select(
+        F.concat(F.lit("mem:"), F.col("id")).alias("id"), F.lit("memory").alias("kind"), "project", "session_id", "ord", "text", "token_count", "created_at",
+        classify(F.col("text")).alias("mem_type"),
+    )
+
+
+def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and memories, all active."""
+    kept = ["id", "kind", "project", "text", "token_count", "created_at", "mem_type"]
+    c = chunks(spark, sf_dir).withColumn("mem_type", F.lit(None).cast("string"))
+    return c.select(*kept).unionByName(memories(spark, sf_dir).select(*kept)).withColumn("active", F.lit(True))
+
+
 #: The same, as common table expressions.
 CTE = {
     "recalls": """recalls AS (SELECT event_id AS id, ts AS timestamp, 'p' || (user_id % 7) AS project,
@@ -125,7 +143,7 @@ CTE = {
     "savings": """savings AS (SELECT l_shipdate AS timestamp, l_returnflag AS agent,
   CAST(floor(l_extendedprice) AS BIGINT) AS tokens_before,
   CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS tokens_after, l_linestatus = 'O' AS passthrough,
-  ['log', 'json', 'search', 'source', 'text'][l_linenumber % 5 + 1] AS content_type,
+  ['log', 'json', 'search', 'code:python', 'text'][l_linenumber % 5 + 1] AS content_type,
   CAST(l_linenumber AS BIGINT) AS content_count FROM lineitem)""",
     "verdicts": """verdicts AS (SELECT o_orderkey AS recall_id, o_custkey AS artifact_id,
   CASE WHEN o_orderstatus = 'F' THEN 'used' WHEN o_orderstatus = 'O' THEN 'pending'
@@ -137,6 +155,12 @@ CTE = {
     "notes": """notes AS (SELECT 'd:' || doc_id AS id, 'note' AS kind, source AS project, text,
   greatest(1, length(text) // 4) AS token_count,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at FROM documents)""",
+    "memories": """memories AS (SELECT 'mem:' || id AS id, 'memory' AS kind, project, session_id, ord, text, token_count, created_at,
+  CASE WHEN regexp_matches(text, '(?i)(the fix is|root cause|the bug was|the issue was|caused by|the problem is|this fails because|the error occurs)') THEN 'bugfix'
+       WHEN regexp_matches(text, '(?i)(we decided|the approach is|instead of|switched to|chose .+ over|trade-?off|architecture:|design decision)') THEN 'decision'
+       WHEN regexp_matches(text, '(?i)(always use|never use|never do|important:|note:|pattern:|best practice|lesson learned|rule of thumb|should always|should never)') THEN 'lesson'
+       WHEN contains(text, '```') AND length(text) > 200 THEN 'snippet' ELSE 'extract' END AS mem_type
+  FROM chunks WHERE role = 'assistant' AND token_count >= 15)""",
     "artifacts": """artifacts AS (SELECT id, kind, project, text, token_count, created_at FROM chunks
   UNION ALL SELECT id, kind, project, text, token_count, created_at FROM notes)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.operators import ledger as L
 from tracemill.plans import bindings as B
 from tracemill.plans.bindings import AS_OF, AS_OF_LEDGER, with_tables
+from tracemill.plans.episode_queries import REC_SQL, records
 
 DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -50,15 +51,16 @@ QUERIES = {
     "ledger_agent_desk": lambda s, d: L.agent_desk(B.recalls(s, d), B.savings(s, d)),
     "context_efficiency": lambda s, d: L.context_efficiency(B.recalls(s, d)),
     "context_totals": lambda s, d: L.context_totals(B.recalls(s, d)),
-    "session_efficiency": lambda s, d: L.session_efficiency(L.session_stats(B.turn_metrics(s, d))),
+    "session_efficiency": lambda s, d: L.session_efficiency(L.session_stats(records(s, d))),
+    "recent_sessions": lambda s, d: L.recent_sessions(L.session_stats(records(s, d))),
     "roi_overall": lambda s, d: L.roi_overall(B.turn_metrics(s, d)),
     "roi_trend": lambda s, d: L.roi_trend(B.turn_metrics(s, d)),
-    "onboarding_status": lambda s, d: L.onboarding_status(B.artifacts(s, d), B.recalls(s, d)),
+    "onboarding_status": lambda s, d: L.onboarding_status(B.memory_store(s, d)),
     "savings_summary": lambda s, d: L.savings_summary(B.savings(s, d)),
     "savings_series": lambda s, d: L.savings_series(B.savings(s, d)),
     "savings_by_agent": lambda s, d: L.savings_by_agent(B.savings(s, d)),
     "savings_by_type": lambda s, d: L.savings_by_type(B.savings(s, d)),
-    "savings_liveness": lambda s, d: L.liveness(B.savings(s, d), AS_OF_LEDGER),
+    "savings_liveness": lambda s, d: L.liveness(B.savings(s, d), True, "1998-01-01 00:00:00"),
     "savings_attribution": _attribution,
     "corpus_summary": lambda s, d: L.corpus_summary(B.artifacts(s, d)),
     "project_rollup": lambda s, d: L.project_rollup(B.artifacts(s, d), B.recalls(s, d)),
@@ -86,6 +88,11 @@ _AGENTS = """by_agent AS (SELECT agent, count(*) FILTER (WHERE NOT passthrough)
   count(*) FILTER (WHERE NOT passthrough) < 30 AS low_sample FROM savings GROUP BY 1)"""
 
 
+_STATS = """, stats AS (SELECT session_id, min(project) AS project, count(*) FILTER (WHERE is_prompt) AS turn_count,
+  count(*) FILTER (WHERE is_prompt AND had_recall) AS recall_turn_count, sum(input_tokens + cache_read_tokens + cache_creation_tokens)::BIGINT AS total_input_tokens,
+  sum(output_tokens)::BIGINT AS total_output_tokens, sum(tool_calls)::BIGINT AS tool_call_count, max(ts) AS last_turn_at FROM rec GROUP BY 1)"""
+
+
 def _q(names, query, *extra):
     return "WITH " + ",\n".join([B.CTE[n] for n in names.split()] + list(extra)) + "\n" + query
 
@@ -115,12 +122,18 @@ ORACLE_SQL = {
   FROM recalls GROUP BY session_id ORDER BY max(timestamp) DESC, session_id LIMIT 50"""),
     "context_totals": with_tables("recalls", """SELECT count(DISTINCT session_id) AS sessions, count(*) AS prompts, sum(tokens_injected) AS injected,
   round(sum(tokens_injected) / count(*)::DOUBLE, 6) AS per_prompt FROM recalls"""),
-    "session_efficiency": with_tables("turn_metrics", """SELECT count(*) FILTER (WHERE r) AS sessions_with, count(*) FILTER (WHERE NOT r) AS sessions_without,
-  round(sum(k) FILTER (WHERE r) / (sum(n) FILTER (WHERE r))::DOUBLE, 6) AS tools_per_turn_with,
-  round(sum(k) FILTER (WHERE NOT r) / (sum(n) FILTER (WHERE NOT r))::DOUBLE, 6) AS tools_per_turn_without,
-  round(100 * (sum(k) FILTER (WHERE NOT r) / (sum(n) FILTER (WHERE NOT r))::DOUBLE - sum(k) FILTER (WHERE r) / (sum(n) FILTER (WHERE r))::DOUBLE)
-        / (sum(k) FILTER (WHERE NOT r) / (sum(n) FILTER (WHERE NOT r))::DOUBLE), 6) AS gain_pct
-  FROM (SELECT session_id, count(*) AS n, sum(tool_call_count) AS k, bool_or(had_recall AND tool_call_count > 3) AS r FROM turn_metrics GROUP BY 1)"""),
+    "session_efficiency": "WITH " + REC_SQL + _STATS + """ SELECT *, CASE WHEN avg_input_per_turn_without_recall > 0
+    THEN round((1 - avg_input_per_turn_with_recall / avg_input_per_turn_without_recall) * 100, 1) ELSE 0.0 END AS efficiency_gain_pct
+  FROM (SELECT count(*) AS total_sessions, count(*) FILTER (WHERE recall_turn_count > 0) AS sessions_with_recall, count(*) FILTER (WHERE recall_turn_count = 0) AS sessions_without_recall,
+    coalesce(round(sum(total_input_tokens) / sum(turn_count)), 0) AS avg_input_per_turn,
+    coalesce(round(sum(total_input_tokens) FILTER (WHERE recall_turn_count > 0) / sum(turn_count) FILTER (WHERE recall_turn_count > 0)), 0) AS avg_input_per_turn_with_recall,
+    coalesce(round(sum(total_input_tokens) FILTER (WHERE recall_turn_count = 0) / sum(turn_count) FILTER (WHERE recall_turn_count = 0)), 0) AS avg_input_per_turn_without_recall,
+    coalesce(round(sum(tool_call_count) FILTER (WHERE recall_turn_count > 0) / sum(turn_count) FILTER (WHERE recall_turn_count > 0), 1), 0) AS avg_tool_calls_with_recall,
+    coalesce(round(sum(tool_call_count) FILTER (WHERE recall_turn_count = 0) / sum(turn_count) FILTER (WHERE recall_turn_count = 0), 1), 0) AS avg_tool_calls_without_recall
+    FROM stats WHERE turn_count > 0)""",
+    "recent_sessions": "WITH " + REC_SQL + _STATS + """ SELECT session_id, project, turn_count, recall_turn_count, tool_call_count,
+  round(total_input_tokens / turn_count) AS avg_input_per_turn, recall_turn_count > 0 AS has_recall
+  FROM stats WHERE turn_count > 0 ORDER BY last_turn_at DESC, session_id LIMIT 50""",
     "roi_overall": with_tables("turn_metrics", f"""SELECT count(*) FILTER (WHERE had_recall) AS turns_with, count(*) FILTER (WHERE NOT had_recall) AS turns_without,
   round({_TURN_AVG.format('')}, 6) AS avg_with, round({_TURN_AVG.format('NOT ')}, 6) AS avg_without,
   round(100 * ({_TURN_AVG.format('NOT ')} - {_TURN_AVG.format('')}) / ({_TURN_AVG.format('NOT ')}), 6) AS reduction_pct FROM turn_metrics"""),
@@ -128,10 +141,9 @@ ORACLE_SQL = {
   count(*) FILTER (WHERE NOT had_recall) AS turns_without, round({_TURN_AVG.format('')}, 6) AS avg_with,
   round({_TURN_AVG.format('NOT ')}, 6) AS avg_without FROM turn_metrics GROUP BY 1
   HAVING count(*) FILTER (WHERE had_recall) > 0 AND count(*) FILTER (WHERE NOT had_recall) > 0"""),
-    "onboarding_status": with_tables("chunks notes artifacts recalls", """SELECT chunks, memories, recalls,
-  CASE WHEN chunks = 0 THEN 'empty' WHEN memories = 0 THEN 'ingested' WHEN recalls = 0 THEN 'distilled' ELSE 'active' END AS status
-  FROM (SELECT count(*) FILTER (WHERE kind = 'session_chunk') AS chunks, count(*) FILTER (WHERE kind = 'memory') AS memories FROM artifacts),
-       (SELECT count(*) AS recalls FROM recalls)"""),
+    "onboarding_status": with_tables("chunks memories", """SELECT chunks, memories, distilled, CASE WHEN chunks = 0 THEN 'no_data' WHEN memories = 0 THEN 'ingesting'
+  WHEN distilled > 0 THEN 'full' ELSE 'extractive' END AS status FROM (SELECT count(*) AS chunks FROM chunks),
+  (SELECT count(*) AS memories, count(*) FILTER (WHERE mem_type IN ('decision', 'lesson', 'snippet', 'bugfix')) AS distilled FROM memories)"""),
     "savings_summary": with_tables("savings", """SELECT count(*) AS requests, sum(tokens_before) AS tokens_before, sum(tokens_after) AS tokens_after,
   count(*) FILTER (WHERE passthrough) AS passed_through,
   round(100.0 * (sum(tokens_before) - sum(tokens_after)) / sum(tokens_before), 6) AS saved_pct FROM savings"""),
@@ -141,10 +153,9 @@ ORACLE_SQL = {
     "savings_by_agent": _q("savings", "SELECT * FROM by_agent", _AGENTS),
     "savings_by_type": with_tables("savings", """SELECT content_type, sum(content_count) AS payloads, count(*) AS requests,
   count(*) FILTER (WHERE NOT passthrough) AS compressed FROM savings GROUP BY 1"""),
-    "savings_liveness": with_tables("savings", f"""SELECT requests, recent, compressed, CASE WHEN requests = 0 THEN 'off' WHEN recent = 0 THEN 'idle'
-  WHEN compressed = 0 THEN 'passthrough' ELSE 'live' END AS state FROM (SELECT count(*) AS requests,
-  count(*) FILTER (WHERE timestamp >= TIMESTAMP '{AS_OF_LEDGER}' - INTERVAL 7 DAY) AS recent,
-  count(*) FILTER (WHERE timestamp >= TIMESTAMP '{AS_OF_LEDGER}' - INTERVAL 7 DAY AND NOT passthrough) AS compressed FROM savings)"""),
+    "savings_liveness": with_tables("savings", """SELECT requests, code_payloads, CASE WHEN requests = 0 THEN 'pending' WHEN code_payloads = 0 AND requests >= 40 THEN 'not_taking_effect'
+  WHEN code_payloads = 0 THEN 'pending' ELSE 'live' END AS state FROM (SELECT count(*) AS requests, coalesce(sum(content_count) FILTER (WHERE starts_with(content_type, 'code')), 0) AS code_payloads
+  FROM savings WHERE timestamp >= TIMESTAMP '1998-01-01')"""),
     "savings_attribution": with_tables("savings", """, s AS (SELECT CASE WHEN passthrough THEN 'anthropic' ELSE 'openai' END AS protocol,
   CASE WHEN agent = 'N' THEN 'unknown' ELSE agent END AS agent FROM savings),
   known AS (SELECT DISTINCT protocol, agent FROM s WHERE agent <> 'unknown' AND (protocol = 'openai' OR agent = 'A')),
