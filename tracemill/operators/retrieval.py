@@ -9,13 +9,15 @@ scan per block with its vectors at hand (the questions are counted first).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.workspace import Workspace
+from tracemill.functions.workspace import Workspace, spread_lookup
 
 #: Fusion constant, half life in days, blend weights, diversity trade-off and duplicate bound.
 RRF_K = 60
@@ -25,8 +27,11 @@ KIND_BOOST = {"memory": 0.3, "note": 0.1}
 MMR_LAMBDA, DUPLICATE = 0.7, 0.92
 BM25_K1, BM25_B = 1.2, 0.75
 DIM = 16
-#: Questions that one scan holds at a time; more are dealt into blocks.
-MAX_QUERIES = 10_000
+#: Bytes of question vectors that one scan holds at a time; more questions are dealt into blocks.
+MAX_QUESTION_BYTES = 16 << 20
+#: Asked terms that may be broadcast to the texts; beyond it they meet in a shuffle.
+MAX_ASKED_TERMS = 200_000
+EDGE_TYPES = ("fixes", "supersedes", "part_of", "derived_from")
 
 
 def terms(text: Column) -> Column:
@@ -68,35 +73,70 @@ def ranked(rows: DataFrame, score: str, k: int | None = None, by: str = "query_i
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def dense_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None = None, metric: str = "cosine", digits: int = 9) -> DataFrame:
-    """Top k rows per question by vector similarity: one scan of the store per block of questions, broadcast.
+def dense_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None = None, metric: str = "cosine", digits: int = 9, within: str | None = None) -> DataFrame:
+    """Top k rows per question by vector similarity: one scan of the store per block of questions.
 
-    queries: query_id, vector; store: id, vector. Scores are rounded so that equal ones tie alike everywhere.
-    Beyond ``MAX_QUERIES`` both sides and each block's top k are written once; a hash of the id deals the
-    questions, so rows that repeat a query_id stay together, with a tenth to spare for blocks above the mean.
+    queries: query_id, vector; store: id, vector. A task multiplies its rows, batch by batch, with the block's
+    vectors and passes on, per question, only what still reaches the best k of a batch it has seen; the ranks are
+    drawn from those. ``within`` names a column that must be equal on both sides. Scores are rounded so that equal
+    ones tie alike everywhere; rows and questions without a vector have no partner. The vectors are measured
+    before they are sent: beyond ``MAX_QUESTION_BYTES`` a hash of the id deals the questions into blocks, and each
+    block's result is written before the next scan.
     """
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        return _block_topk(queries, store, k, floor, metric, digits)
-    blocks = -(-11 * n // (10 * MAX_QUERIES))
-    work = Workspace(store.sparkSession, "dense")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")
-    asked = work.table("questions", queries.select("query_id", "vector", block))
-    stored = work.table("store", store.select("id", "vector"))
+    spark = store.sparkSession
+    more = [within] if within else []
+    work = Workspace(spark, "dense")
+    asked = work.table("questions", queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *more))
+    size = asked.agg(F.sum(8 * F.size("vector").cast("long") + 64)).first()[0] or 0
+    blocks = max(1, -(-11 * size // (10 * MAX_QUESTION_BYTES)))
+    rows = store.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"), *more)
+    if blocks > 1:
+        rows = work.table("store", rows)
     found = None
     for b in range(blocks):
-        top = work.table(f"top{b}", _block_topk(asked.where(F.col("_block") == b), stored, k, floor, metric, digits))
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        top = ranked(_block_scores(block, rows, k, floor, metric, digits), "similarity", k)
+        top = work.table(f"top{b}", top) if blocks > 1 else top
         found = top if found is None else found.unionByName(top)
-    work.drop("questions", "store")
     return found
 
 
-def _block_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None, metric: str, digits: int) -> DataFrame:
-    block = queries.select("query_id", F.col("vector").alias("_q"))
-    scored = store.join(F.broadcast(block)).withColumn("similarity", F.round(similarity(F.col("vector"), F.col("_q"), metric), digits))
-    if floor is not None:
-        scored = scored.where(F.col("similarity") >= floor)
-    return ranked(scored.select("query_id", "id", "similarity"), "similarity", k)
+def _block_scores(block: DataFrame, rows: DataFrame, k: int, floor: float | None, metric: str, digits: int) -> DataFrame:
+    """(query_id, id, similarity) of all pairs that can be among a question's best k."""
+    held = block.toArrow()
+    numbers = held["query_id"].combine_chunks()
+    matrix = np.stack(held["vector"].to_numpy()) if len(numbers) else np.zeros((0, 1))
+    keys = held[2].to_numpy() if held.num_columns > 2 else None
+    sent = rows.sparkSession.sparkContext.broadcast((numbers, matrix, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, matrix, keys = sent.value
+        best = np.full(len(matrix), -np.inf if floor is None else floor)
+        for batch in batches:
+            vectors = batch.column(1)
+            if not len(matrix) or not len(vectors):
+                continue
+            flat = np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+            for low in range(0, len(flat), BATCH_ROWS):
+                scores = flat[low : low + BATCH_ROWS] @ matrix.T
+                if metric != "cosine":
+                    scores = 1 - np.sqrt(np.maximum(0.0, 2 - 2 * scores))
+                scores = np.round(scores, digits)
+                if keys is not None:
+                    scores[batch.column(2).to_numpy(zero_copy_only=False)[low : low + BATCH_ROWS, None] != keys[None, :]] = -np.inf
+                if len(scores) > k:
+                    best = np.maximum(best, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+                row, question = np.nonzero((scores >= best) & (scores > -np.inf))
+                yield pa.RecordBatch.from_arrays(
+                    [numbers.take(pa.array(question)), batch.column(0).take(pa.array(row + low)), pa.array(scores[row, question])], names=["query_id", "id", "similarity"]
+                )
+
+    kinds = f"query_id {block.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, similarity double"
+    return rows.mapInArrow(run, kinds)
+
+
+#: Rows that are multiplied with the questions at a time.
+BATCH_ROWS = 2048
 
 
 def postings(store: DataFrame, text: str = "text") -> DataFrame:
@@ -106,16 +146,27 @@ def postings(store: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, store: DataFrame, k: int, text: str = "text", digits: int = 9) -> DataFrame:
-    """Top k rows per question by BM25 over the whole index; terms of a question count once."""
-    index = postings(store, text)
-    size = store.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.col(text)))).alias("avg_length"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    """Top k rows per question by BM25 over all rows; terms of a question count once.
+
+    Only asked terms are counted in the texts: they are counted first and sent to the texts within
+    ``MAX_ASKED_TERMS``, else they meet them in a shuffle. Postings combine before the shuffle; those of a common
+    term, and the questions that ask it, are split by ``spread_lookup``.
+    """
+    work = Workspace(store.sparkSession, "bm25")
+    asked = work.table("asked", queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).groupBy("term").agg(F.collect_set("query_id").alias("askers")))
+    few = asked.limit(MAX_ASKED_TERMS + 1).count() <= MAX_ASKED_TERMS
+    words = asked.select("term")
+    split = store.select("id", terms(F.col(text)).alias("t"))
+    size = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_length"))
+    single = split.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(F.broadcast(words) if few else words, "term", "left_semi")
+    index = work.table("postings", single.groupBy("term", "id", "length").agg(F.count("*").alias("tf")))
+    terms_asked = index.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term")
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avg_length")))
     scores = (
-        index.join(asked, "term").join(df, "term").join(F.broadcast(size))
-        .groupBy("query_id", "id").agg(F.round(F.sum(idf * tf), digits).alias("bm25"))
+        spread_lookup(index, terms_asked, "term", F.col("id")).join(F.broadcast(size))
+        .select(F.explode("askers").alias("query_id"), "id", (idf * tf).alias("part"))
+        .groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("bm25"))
     )
     return ranked(scores, "bm25", k)
 
@@ -159,8 +210,10 @@ def blended(candidates: DataFrame, store: DataFrame, as_of: str, quality: DataFr
     return rows.withColumn("score", F.round(score, 9)).drop("quality")
 
 
-def expand(hits: DataFrame, edges: DataFrame, store: DataFrame, types: tuple[str, ...] = ("fixes", "supersedes", "part_of", "derived_from"), share: float = 0.5) -> DataFrame:
+def expand(hits: DataFrame, edges: DataFrame, store: DataFrame, types: tuple[str, ...] = EDGE_TYPES, share: float = 0.5) -> DataFrame:
     """Neighbours one step along typed edges join at half of the question's best score, unless already there."""
+    # read four times, so written once
+    hits = Workspace(store.sparkSession, "expand").table("hits", hits.select("query_id", "id", "kind", "project", "token_count", "score"))
     best = hits.groupBy("query_id").agg(F.max("score").alias("_best"))
     steps = edges.where(F.col("type").isin(*types)).select(F.col("src_id").alias("id"), "dst_id")
     near = hits.select("query_id", "id").join(steps, "id").select("query_id", F.col("dst_id").alias("id")).distinct()
@@ -178,33 +231,36 @@ def within_budget(hits: DataFrame, budget: int, cost: str = "token_count") -> Da
 
 
 def mmr(pool: DataFrame, k: int, trade: float = MMR_LAMBDA, duplicate: float = DUPLICATE) -> DataFrame:
-    """Greedy maximal marginal relevance over each question's pool (query_id, id, score, vector).
+    """Greedy maximal marginal relevance over each question's pool (query_id, id, score, vector): rank and id of the chosen.
 
-    The pool is what a limit has left (a few times k), so a question's group is small. Rows without a vector
-    compete on relevance alone.
+    The pool is what a limit has left (a few times k), so a question's group is small. A row's value is its share
+    of the best score less its largest cosine with a chosen row, weighted; a near copy of a chosen row loses one
+    more, unless relevance alone counts (``trade`` 1). Rows without a vector compete on relevance alone; ties go to
+    the higher score, then the smaller id.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        best = max(pdf["score"].max(), 1e-12)
-        vectors = [None if v is None else np.asarray(v, float) for v in pdf["vector"]]
-        chosen: list[int] = []
-        left = list(range(len(pdf)))
-        while left and len(chosen) < k:
-            def value(i):
-                near = [float(vectors[i] @ vectors[j]) for j in chosen if vectors[i] is not None and vectors[j] is not None]
-                top = max(near, default=0.0)
-                return -1.0 if near and top >= duplicate else trade * pdf["score"][i] / best - (1 - trade) * max(top, 0.0)
-
-            i = max(left, key=lambda i: (value(i), -i))
+        score = pdf["score"].to_numpy()
+        value = trade * score / (score.max() or 1.0)
+        have = np.array([v is not None for v in pdf["vector"]])
+        width = max((len(v) for v in pdf["vector"] if v is not None), default=1)
+        unit = np.stack([np.asarray(v, float) if v is not None else np.zeros(width) for v in pdf["vector"]])
+        unit = unit / np.maximum(np.sqrt((unit**2).sum(1, keepdims=True)), 1e-300)
+        near, left, chosen = np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool), []
+        while left.any() and len(chosen) < k:
+            worth = value - (1 - trade) * near - (near >= duplicate if trade < 1 else 0.0)
+            i = int(np.argmax(np.where(left, worth, -np.inf)))
+            left[i] = False
             chosen.append(i)
-            left.remove(i)
+            if have[i]:
+                near = np.maximum(near, np.where(have, unit @ unit[i], 0.0))
         out = pdf.loc[chosen, ["query_id", "id", "score"]].copy()
         out["rank"] = np.arange(1, len(out) + 1)
         return out
 
-    schema = f"query_id {pool.schema['query_id'].dataType.simpleString()}, id string, score double, rank long"
-    return pool.groupBy("query_id").applyInPandas(pick, schema)
+    kinds = f"query_id {pool.schema['query_id'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, score double, rank long"
+    return pool.groupBy("query_id").applyInPandas(pick, kinds)
 
 
 def best_per_memory(keys: DataFrame, k: int) -> DataFrame:
@@ -215,9 +271,67 @@ def best_per_memory(keys: DataFrame, k: int) -> DataFrame:
 
 def nearest_fact(queries: DataFrame, memories: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
     """The one nearest row of the same project at or above the threshold, if any."""
-    pairs = queries.select("query_id", "project", F.col("vector").alias("_q")).join(memories.select("id", "project", "vector"), "project")
-    scored = pairs.withColumn("similarity", F.round(similarity(F.col("vector"), F.col("_q"), metric), 9)).where(F.col("similarity") >= threshold)
-    return ranked(scored, "similarity", 1).select("query_id", "id", "similarity")
+    return dense_topk(queries, memories, 1, threshold, metric, within="project").select("query_id", "id", "similarity")
+
+
+#: Fixed value: rows of this project are in scope of every project.
+GLOBAL_PROJECT = "_global"
+
+
+def in_scope(store: DataFrame, project: str | None = None, since: str | None = None, until: str | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Active rows (where there is such a column) of a project or the global one, in a span of time, of some kinds; None sets no bound."""
+    tests = [F.col("active")] if "active" in store.columns else []
+    if project is not None:
+        tests.append(F.col("project").isin(project, GLOBAL_PROJECT))
+    if since is not None:
+        tests.append(F.col("created_at") >= F.to_timestamp(F.lit(since)))
+    if until is not None:
+        tests.append(F.col("created_at") <= F.to_timestamp(F.lit(until)))
+    if kinds is not None:
+        tests.append(F.col("kind").isin(*kinds))
+    return store.where(reduce(lambda a, b: a & b, tests)) if tests else store
+
+
+def scoped(found: DataFrame, queries: DataFrame, store: DataFrame) -> DataFrame:
+    """Candidates (query_id, id, ...) whose row is of the question's project, or global; questions without a project see all."""
+    ask, rows = queries.select("query_id", F.col("project").alias("_asked")), store.select("id", F.col("project").alias("_project"))
+    inside = F.col("_asked").isNull() | F.col("_project").isin(GLOBAL_PROJECT) | (F.col("_project") == F.col("_asked"))
+    return found.join(ask, "query_id").join(rows, "id").where(inside).drop("_asked", "_project")
+
+
+def prefetch(k: int) -> int:
+    """Rows that are ranked before scope cuts them: 20 for each wanted, at least 200, at most 4,096."""
+    return min(max(20 * k, 200), 4096)
+
+
+def scoped_topk(queries: DataFrame, store: DataFrame, k: int, floor: float | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Dense search as a store does it: the nearest rows of all, then scope, then the cut to k, then kinds."""
+    near = dense_topk(queries, store, prefetch(k), floor).drop("rank")
+    top = ranked(scoped(near, queries, store), "similarity", k)
+    if kinds is None:
+        return top
+    return top.join(store.where(F.col("kind").isin(*kinds)).select("id"), "id", "left_semi").select(*top.columns)
+
+
+def without_known(hits: DataFrame, queries: DataFrame, store: DataFrame, served: DataFrame) -> DataFrame:
+    """Hits less rows of the question's own session and rows already served in it (session_id, id)."""
+    ask = queries.select("query_id", F.col("session_id").alias("_session"))
+    own = store.select("id", F.col("session_id").alias("_own"))
+    rows = hits.join(ask, "query_id").join(own, "id", "left").where(F.col("_session").isNull() | F.col("_own").isNull() | (F.col("_own") != F.col("_session")))
+    known = served.select(F.col("session_id").alias("_session"), "id").distinct()
+    return rows.join(known, ["_session", "id"], "left_anti").select(*hits.columns)
+
+
+def recent(store: DataFrame, k: int, by: str = "project") -> DataFrame:
+    """The k newest rows of every project."""
+    w = Window.partitionBy(by).orderBy(F.col("created_at").desc(), "id")
+    return store.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, "rank", "id")
+
+
+def other_projects(store: DataFrame, project: str, limit: int = 6) -> DataFrame:
+    """Other projects with memories, the largest first."""
+    rows = store.where((F.col("kind") == "memory") & ~F.col("project").isin(project, GLOBAL_PROJECT))
+    return rows.groupBy("project").agg(F.count("*").alias("memories")).orderBy(F.col("memories").desc(), "project").limit(limit)
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -230,17 +344,29 @@ def walk(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return reached.groupBy("start", "id").agg(F.min("depth").alias("depth")).where("depth > 0")
 
 
-def recall(queries: DataFrame, store: DataFrame, edges: DataFrame, as_of: str, k: int = 8, budget: int = 1500, floor: float = -0.05, threshold: float = 0.3, prefetch: int = 200) -> DataFrame:
-    """Questions (query_id, query) to what is worth injecting, in order: query_id, rank, id, score, spent."""
-    stored = embed(store)
+def recall(
+    queries: DataFrame, store: DataFrame, edges: DataFrame, as_of: str, k: int = 8, budget: int = 1500, floor: float = -0.05, threshold: float = 0.3,
+    quality: DataFrame | None = None, served: DataFrame | None = None, candidates: int = 200,
+) -> DataFrame:
+    """Questions (query_id, query) to what is worth injecting, in order: query_id, rank, id, score, spent.
+
+    Where questions have a project, rows of other projects are out of scope; where they have a session, rows of it
+    and rows already served in it (``served``: session_id, id) are left out.
+    """
+    work = Workspace(store.sparkSession, "recall")
+    stored = work.table("store", embed(store))
     asked = embed(queries, "query")
-    dense = dense_topk(asked, stored, prefetch, floor)
-    lexical = gated(bm25_topk(queries, store, prefetch), dense)
-    # expansion reads the candidates four times, so they are written once
-    candidates = Workspace(store.sparkSession, "recall").table("candidates", blended(rrf(dense, lexical), store, as_of))
-    hits = expand(candidates, edges, store)
+    dense = dense_topk(asked, stored, candidates, floor)
+    lexical = bm25_topk(queries, stored, candidates)
+    if "project" in queries.columns:
+        dense = ranked(scoped(dense.drop("rank"), queries, stored), "similarity")
+        lexical = ranked(scoped(lexical.drop("rank"), queries, stored), "bm25")
+    dense = work.table("dense", dense)
+    hits = expand(blended(rrf(dense, gated(lexical, dense)), stored, as_of, quality), edges, stored)
+    if "session_id" in queries.columns and served is not None:
+        hits = without_known(hits, queries, stored, served)
     pool = ranked(hits, "score", 4 * k).join(stored.select("id", "vector"), "id", "left").select("query_id", "id", "score", "vector")
-    chosen = mmr(pool, k).where(F.col("score") >= threshold).join(store.select("id", "token_count"), "id")
+    chosen = mmr(pool, k).where(F.col("score") >= threshold).join(stored.select("id", "token_count"), "id")
     order = Window.partitionBy("query_id").orderBy("rank")
     return within_budget(chosen.withColumn("rank", F.row_number().over(order)), budget).select("query_id", "rank", "id", "score", "spent")
 

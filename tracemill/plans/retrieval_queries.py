@@ -67,7 +67,25 @@ def walked(s, d):
     return R.walk(edges(s, d), starts, 3)
 
 
+def in_project(s, d):
+    return R.scoped_topk(R.embed(questions(s, d), "query"), R.embed(B.memory_store(s, d)), K, -0.05, ("memory",)).select("query_id", "id", "similarity", "rank")
+
+
+def fresh(s, d):
+    """What is left of each question's best when its session and what the session was served are left out."""
+    asked = questions(s, d).withColumn("session_id", F.col("query_id") % 50)
+    served = B.chunks(s, d).where("ord % 3 = 0").select((F.col("session_id") % 50).alias("session_id"), "id")
+    return R.without_known(R.ranked(scored(s, d), "score", 10), asked, B.chunks(s, d), served).select("query_id", "id", "rank")
+
+
 QUERIES = {
+    "scoped_topk": in_project,
+    "unserved_hits": fresh,
+    "mmr_rerank": lambda s, d: R.mmr(
+        R.ranked(scored(s, d), "score", 32).join(R.embed(B.chunks(s, d)).select("id", "vector"), "id").select("query_id", "id", "score", "vector"), 8
+    ),
+    "recent_in_project": lambda s, d: R.recent(B.memory_store(s, d), 20),
+    "other_projects": lambda s, d: R.other_projects(B.memory_store(s, d), "p1"),
     "hash_embed": lambda s, d: B.chunks(s, d).select("id", F.array_join(F.transform(R.hash_counts(F.col("text")), lambda x: x.cast("string")), ",").alias("counts")),
     "dense_topk": dense,
     "vector_topk_given": given_vectors,
@@ -113,7 +131,19 @@ scored AS (SELECT query_id, id, kind, project, token_count, round(
   + 0.10::DOUBLE * 0.5, 9) AS score FROM norm)"""
 _TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"""
 
+_MEM = _EMBEDDED.format("m", "id, kind, project", "text", "store")
 ORACLE_SQL = {
+    "scoped_topk": B.with_tables("chunks memories", f""", store AS (SELECT id, kind, project, text FROM chunks UNION ALL SELECT id, kind, project, text FROM memories), {_MEM}, {_ASKED},
+near AS (SELECT query_id, vq.project AS asked, vm.id, vm.kind, vm.project, round(list_dot_product(vm.vector, vq.vector), 9) AS similarity FROM vm, vq
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 400),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM near WHERE project IN (asked, '_global') AND similarity >= -0.05 QUALIFY rank <= {K})
+SELECT query_id, id, similarity, rank FROM top WHERE kind = 'memory'"""),
+    "unserved_hits": B.with_tables("chunks", f""", {_SCORED}, {_TOP}
+SELECT query_id, t.id, rank FROM top t JOIN chunks c ON c.id = t.id WHERE rank <= 10 AND c.session_id <> query_id % 50
+  AND NOT EXISTS (SELECT 1 FROM chunks x WHERE x.id = t.id AND x.ord % 3 = 0 AND x.session_id % 50 = query_id % 50)"""),
+    "recent_in_project": B.with_tables("chunks memories", """, store AS (SELECT id, project, created_at FROM chunks UNION ALL SELECT id, project, created_at FROM memories)
+SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS rank FROM store QUALIFY rank <= 20"""),
+    "other_projects": B.with_tables("chunks memories", """SELECT project, count(*) AS memories FROM memories WHERE project NOT IN ('p1', '_global') GROUP BY 1 ORDER BY memories DESC, project LIMIT 6"""),
     "hash_embed": B.with_tables("chunks", f", {_STORE} SELECT id, array_to_string(c, ',') AS counts FROM es"),
     "dense_topk": B.with_tables("chunks", f", {_DENSE} SELECT * FROM dense"),
     "vector_topk_given": """SELECT query_id, id, similarity FROM (
