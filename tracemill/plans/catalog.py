@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import curation_queries, episode_queries, ledger_queries, retrieval_queries
+from tracemill.plans import curation_queries, episode_queries, evaluation_queries, ingest_queries, ledger_queries, retrieval_queries
 
-_PARTS = (ledger_queries, episode_queries, curation_queries, retrieval_queries)
+_PARTS = (ledger_queries, episode_queries, curation_queries, retrieval_queries, evaluation_queries, ingest_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -1 +1 @@
-
+"""Readers of transcripts and logs."""
