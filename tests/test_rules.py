@@ -290,11 +290,19 @@ def test_no_shared_folder_is_an_error():
             return default
 
     class Context:
+        def __init__(self, master):
+            self.master = master
+
         def getConf(self):
             return Conf()
 
     class Session:
-        conf, sparkContext = Conf(), Context()
+        conf = Conf()
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master))
+    assert shared_dir(Session("local[8]")).startswith("file:///")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -15,18 +17,25 @@ MAX_BROADCAST_ROWS = 20_000
 #: A key with more rows than this is split over several partitions by ``spread_lookup``.
 ROWS_PER_PART = 1_000
 
-#: Settings while a working table is written: shuffle files go when their query ends, and Arrow batches stay small.
-STEP_SETTINGS = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
-}
+#: Setting under which Spark deletes the shuffle files of a query that has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Rows and bytes of an Arrow batch; with long texts, Spark's 10,000 rows take a hundred megabytes in a task.
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Small Arrow batches for the session, whose executors then need less memory; what the user has set stays."""
+    if int(spark.conf.get(ARROW_ROWS, "10000")) == 10000:
+        spark.conf.set(ARROW_ROWS, str(rows))
+        spark.conf.set(ARROW_BYTES, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    There is no fallback: a folder of one machine would give every executor files of its own.
+    Without it, one of this machine serves a local master, whose threads all see it; on a cluster that is an error, as
+    every executor would write files of its own.
     """
     for read in (
         lambda: spark.conf.get("spark.checkpoint.dir", None),
@@ -35,23 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
         found = read()
         if found:
             return found.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file://{tempfile.gettempdir()}/tracemill-local"
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 @contextmanager
-def step_settings(spark: SparkSession):
-    """``STEP_SETTINGS`` for what runs inside; what the session had before comes back after."""
-    before = {name: spark.conf.get(name, None) for name in STEP_SETTINGS}
-    for name, value in STEP_SETTINGS.items():
-        spark.conf.set(name, value)
+def shuffle_cleanup(spark: SparkSession):
+    """``SHUFFLE_CLEANUP`` for what runs inside; what the session had before comes back after."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 class Workspace:
@@ -70,7 +79,7 @@ class Workspace:
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
-        with step_settings(self.spark):
+        with shuffle_cleanup(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
