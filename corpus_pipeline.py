@@ -17,7 +17,9 @@ from tracemill.llm.quality_model import keep_quality, train_quality_model, train
 
 
 def recounted(docs: DataFrame) -> DataFrame:
-    """n_chars after a change of text."""
+    """n_chars, where there is such a column, after a change of text."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -60,9 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read back for the next."""
+    """All stages over ``documents``; each result is written as Parquet and read back for the next.
+
+    A stage's table goes once the next one is written. Null and empty texts, repeated rows and an empty table pass
+    through every stage as its operator defines; more columns of ``documents`` stay as they are.
+    """
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = work.table(name, stage(spark, docs, sf_dir))
-    return work.table(STAGES[-1][0], STAGES[-1][1](spark, docs, sf_dir))
+        if before is not None:
+            work.drop(before)
+        before = name
+    return docs
