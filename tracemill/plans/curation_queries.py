@@ -68,7 +68,7 @@ NOISE_SQL = rf"""(token_count < 8 OR contains(text, 'Base directory for this ski
   OR regexp_matches(text, '(?i)^(Allow |Permission |Do you want to allow |Grant )')
   OR (len({_LINES}) >= 2 AND len(list_filter({_LINES}, lambda x: NOT regexp_matches(x, '^[/~][\w./\-]+$'))) = 0)
   OR (token_count < 30 AND regexp_matches(text, '(?i)^(Let me |Now let me |Now I|I''ll |I will |Good[,.]|Great[,.]|Perfect[!,.]|Done[!,.]|Alright|Sure[,.]|OK[,.]|Moving to |Looking at |Checking )')))"""
-_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p in _CUES.items()) + " WHEN contains(text, '```') AND length(text) > 200 THEN 'snippet' ELSE 'extract' END"
+CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p in _CUES.items()) + " WHEN contains(text, '```') AND length(text) > 200 THEN 'snippet' ELSE 'extract' END"
 CUE_SQL = " + ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN 2.0::DOUBLE ELSE 0.0 END" for p in _CUES.values())
 _SECRET_SQL = (
     ("aws_key", "AKIA[0-9A-Z]{16}", 0), ("aws_secret", r'((?:aws.{0,20})?[0-9a-zA-Z/+]{40})(?:\s|$|")', 1), ("openai_key", "sk-[a-zA-Z0-9_-]{20,}", 0),
@@ -133,7 +133,7 @@ c AS (SELECT id, CASE WHEN t = '' OR trivial THEN 0.0::DOUBLE ELSE round(least(1
   + CASE WHEN regexp_matches(t, '(?i)(Error|Exception|Traceback|FAIL|panic|segfault|undefined|NaN|null|nil)\b') THEN 0.15::DOUBLE ELSE 0.0 END), 9) END AS complexity FROM m)
 SELECT id, complexity, CASE WHEN complexity < 0.05 THEN 'skip' WHEN complexity < 0.45 THEN 'light' ELSE 'full' END AS tier,
   CASE WHEN complexity < 0.05 THEN 0 WHEN complexity < 0.45 THEN 4 ELSE 8 END AS k, CASE WHEN complexity < 0.05 THEN 0 WHEN complexity < 0.45 THEN 500 ELSE 1500 END AS max_tokens FROM c"""),
-    "chunk_classify": B.with_tables("chunks notes artifacts", f"SELECT id, {_CLASS} AS class FROM artifacts"),
+    "chunk_classify": B.with_tables("chunks notes artifacts", f"SELECT id, {CLASS_SQL} AS class FROM artifacts"),
     "chunk_signal": B.with_tables("chunks", f""", s AS (SELECT *, {CUE_SQL} + CASE WHEN contains(text, '```') AND token_count >= 40 THEN 1.0::DOUBLE ELSE 0.0 END AS cues FROM chunks)
 SELECT id, CASE WHEN {NOISE_SQL} THEN 0.0::DOUBLE WHEN role = 'user' THEN CASE WHEN token_count >= 6 THEN 1.0::DOUBLE ELSE 0.0 END WHEN role <> 'assistant' THEN 0.0
   WHEN cues = 0 AND token_count >= 100 THEN 0.5::DOUBLE ELSE cues END AS signal FROM s"""),
