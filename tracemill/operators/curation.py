@@ -113,9 +113,15 @@ def secrets(text: Column) -> Column:
     )
 
 
-def secret_kinds(found: Column) -> Column:
-    """The kinds of ``secrets``, each once, in order."""
-    return F.array_distinct(F.transform(found, lambda s: s["kind"]))
+def secret_matches(store: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, place, kind, match) of every secret; exploding it, unlike a filter on it, makes ``secrets`` once."""
+    return store.select(key, F.posexplode(secrets(F.col(text))).alias("place", "s")).select(key, "place", "s.kind", "s.match")
+
+
+def secret_kinds(store: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, kinds, secrets) of the rows that hold secrets: their kinds, each once in order, and how many there are."""
+    found = secret_matches(store, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "kind"))).alias("f"))
+    return found.select(key, F.array_join(F.array_distinct(F.transform("f", lambda s: s["kind"])), ",").alias("kinds"), F.size("f").cast("long").alias("secrets"))
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -8,11 +8,6 @@ from tracemill.operators import curation as C
 from tracemill.plans import bindings as B
 
 
-def _kinds(s, d):
-    found = B.artifacts(s, d).select("id", C.secrets(F.col("text")).alias("found")).where(F.size("found") > 0)
-    return found.select("id", F.array_join(C.secret_kinds(F.col("found")), ",").alias("kinds"), F.size("found").cast("long").alias("secrets"))
-
-
 def _redacted(s, d):
     rows = C.redact_rows(B.artifacts(s, d).select("id", "text"))
     return rows.select("id", F.sha2("text", 256).alias("redacted_sha256"), "redactions")
@@ -40,7 +35,7 @@ QUERIES = {
     "content_dedup": lambda s, d: C.duplicates(B.artifacts(s, d)),
     "noise_scan": lambda s, d: C.noise_rows(B.chunks(s, d)),
     "prune_report": lambda s, d: C.prune_report(B.artifacts(s, d)),
-    "secret_scan": _kinds,
+    "secret_scan": lambda s, d: C.secret_kinds(B.artifacts(s, d)),
     "redact_documents": _redacted,
     "query_routing": _routing,
     "chunk_classify": lambda s, d: B.artifacts(s, d).select("id", C.classify(F.col("text")).alias("class")),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import Workspace
 from tracemill.operators import curation as C
 
 BLOCKS = "array<struct<type:string,text:string>>"
@@ -68,7 +69,9 @@ def first_copies(rows: DataFrame, text: str = "text") -> DataFrame:
 def as_chunks(rows: DataFrame, source: str, filter_noise: bool = True) -> DataFrame:
     """Artifacts of (session_id, project, ord, role, ts, text): cleaned, redacted, once per session, without noise."""
     clean = rows.withColumn("text", F.trim(C.strip_reminders(F.col("text")))).where("text <> ''")
-    clean = first_copies(C.redact_rows(clean).where(F.trim("text") != "").drop("redactions"))
+    # written, as the search for secrets is dear and its result is read twice
+    clean = Workspace(rows.sparkSession, "chunks").table("clean", C.redact_rows(clean).drop("redactions"))
+    clean = first_copies(clean.where(F.trim("text") != ""))
     tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
     chunks = clean.withColumn("token_count", tokens).select(
         F.concat_ws(":", "session_id", F.col("ord").cast("string")).alias("id"), F.lit("session_chunk").alias("kind"), "project", F.lit(source).alias("source"),
