@@ -197,6 +197,21 @@ def test_compression(spark):
     assert column(spark, ["a/b.PY", "x.json?y", "n.md", "Makefile", None], compress.content_type_of_path) == ["source", "json", "text", None, None]
 
 
+def test_payload_types_and_dispatch(spark):
+    log = "\n".join(f"2024-01-01 10:00:{i:02d} INFO step {i}" for i in range(40))
+    code = "import os\nfrom x import y\n\ndef f():\n    return 1"
+    search = "\n".join(f"src/a.py:{i}: same text in all of these lines" for i in range(12))
+    prose = "a plain line of words that repeats\n" * 20
+    rows = [("json", '{"a": [1, 2]}', None), ("search", search, None), ("log", log, None), ("source", code, None), ("text", prose, None), ("text", prose, "a.md"), ("source", log, "a.py"), ("log", "x", "b.log"),
+            ("log", "--- PASS: TestA (0.1s)\n--- PASS: TestB (0.1s)\n--- FAIL: TestC (0.1s)", None), ("source", "#!/bin/sh\necho", None), ("text", None, None)]
+    frame = spark.createDataFrame([(i, t, p, w) for i, (w, t, p) in enumerate(rows)], "id int, text string, path string, want string")
+    assert all(r["want"] == r["content_type"] for r in compress.typed_payloads(frame).collect())
+    done = {r["id"]: r for r in compress.compress_payloads(frame).collect()}
+    assert len(done) == len(rows) and done[0]["compressed"] == '{"a":[1,2]}'
+    assert "omitted 30 lines" in done[2]["compressed"] and done[3]["compressed"] == code and done[5]["compressed"] == prose and done[6]["compressed"] == log
+    assert "repeated 19 more times" in done[4]["compressed"] and done[1]["tokens_after"] < done[1]["tokens_before"]
+
+
 def kmeans_by_hand(points, most, rounds=8):
     n = len(points)
     if n <= most:

@@ -153,3 +153,59 @@ def content_type_of_path(path: Column) -> Column:
     for kind, names in ENDINGS.items():
         out = F.when(ending.isin(*names), kind).otherwise(out)
     return out
+
+
+#: What tells search results, test reports, source code and logs, and of how many lines.
+SEARCH_LINE = r"^(?:[^\s:]*[/\\][^\s:]*|[^\s:]+\.[A-Za-z0-9_]+):\d+:"
+TEST_LINE = r"\b(PASSED|FAILED|SKIPPED|XFAIL|XPASS)\b|^\s*---\s*(PASS|FAIL|SKIP)\b|^\s*(ok|FAIL)\s+\S|^\s*[✓✗√×]\s"
+LOG_LINE = r"(?i)\b(INFO|DEBUG|WARN(ING)?|ERROR|FATAL|CRITICAL|TRACE)\b|\d{4}-\d{2}-\d{2}|\d{2}:\d{2}:\d{2}"
+SHEBANG, CODE_END = r"^\s*#!\s*/", r"[;{}\)]\s*$"
+LINE_MARKERS = (
+    "def ", "class ", "import ", "from ", "async def", "lambda ", "@", "function ", "const ", "let ", "var ", "export ", "module.exports",
+    "package ", "func ", "fn ", "impl ", "pub ", "type ", "struct ", "public ", "private ", "protected ", "static ", "namespace ", "using ",
+    "#include", "#define", "#!", "<!DOCTYPE", "<html", "<script", "<style", "```", "if (", "for (", "while (", "switch (", "} else",
+)
+STRONG_MARKERS = ("from __future__", "#include <", "=> {", "});", "</", "/>")
+MIN_EVIDENCE, MIN_MARKERS, MIN_CODE_LINES, CODE_SHARE = 3, 2, 10, 0.30
+
+
+def typed_payloads(payloads: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """``payloads`` with ``content_type``: by the file's name if it tells, else json, search, log, source or text by what stands in it."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    stripped = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rows = payloads.withColumn("_stripped", stripped).withColumn("_raw", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S")))
+    lines = lambda pattern: F.size(F.filter("_raw", lambda x: x.rlike(pattern)))
+    markers = F.array(*map(F.lit, LINE_MARKERS))
+    opening = F.size(F.array_distinct(F.flatten(F.transform("_stripped", lambda x: F.filter(markers, lambda m: x.startswith(m))))))
+    strong = sum((body.contains(m).cast("int") for m in STRONG_MARKERS), F.lit(0))
+    ends = F.size(F.filter("_stripped", lambda x: x.rlike(CODE_END)))
+    source = (
+        F.substring(body, 1, 200).rlike(SHEBANG) | (opening + strong >= MIN_MARKERS)
+        | ((F.size("_stripped") >= MIN_CODE_LINES) & (ends / F.greatest(F.size("_stripped"), F.lit(1)) >= CODE_SHARE))
+    )
+    sniffed = (
+        F.when(F.try_parse_json(body).isNotNull(), "json").when(lines(SEARCH_LINE) >= MIN_EVIDENCE, "search").when(lines(TEST_LINE) >= MIN_EVIDENCE, "log")
+        .when(source, "source").when(lines(LOG_LINE) >= MIN_EVIDENCE, "log").otherwise("text")
+    )
+    return rows.withColumn("content_type", F.coalesce(content_type_of_path(F.col(path)), sniffed)).drop("_stripped", "_raw")
+
+
+def compress_payloads(payloads: DataFrame, key: str = "id", text: str = "text", path: str = "path") -> DataFrame:
+    """(key, content_type, compressed, tokens_before, tokens_after): every payload by the compressor of its type.
+
+    Source code and text files stay byte for byte; text without a file is tidied.
+    """
+    typed = typed_payloads(payloads, text, path).select(key, F.col(text).alias("text"), F.col(path).alias("path"), "content_type")
+    tidy = (F.col("content_type") == "text") & F.col("path").isNull()
+    parts = [
+        compress_logs(typed.where("content_type = 'log'"), key),
+        compress_search(typed.where("content_type = 'search'"), key),
+        compress_texts(typed.where(tidy), key),
+        typed.where("content_type = 'json'").select(key, compress_json("text").alias("compressed")),
+        typed.where((F.col("content_type") == "source") | ((F.col("content_type") == "text") & ~tidy)).select(key, F.col("text").alias("compressed")),
+    ]
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(F.coalesce(c, F.lit(""))) / 4)).cast("long")
+    return typed.join(done, key).select(key, "content_type", "compressed", tokens("text").alias("tokens_before"), tokens("compressed").alias("tokens_after"))

@@ -56,6 +56,14 @@ def json_payloads(s, d):
     return B.table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(turn))).alias("text"))
 
 
+def mixed_payloads(s, d):
+    """Documents as payloads, some with a file name, and the search results made of them."""
+    named = F.when(F.col("id") % 4 == 0, F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".py"))).when(F.col("id") % 4 == 1, F.lit("notes.md"))
+    plain = payloads(s, d).withColumn("path", named)
+    found = search_payloads(s, d).select((-F.col("id") - 1).alias("id"), "text", F.lit(None).cast("string").alias("path"))
+    return plain.unionByName(found)
+
+
 def distilled(s, d):
     c = embed(B.chunks(s, d)).select("session_id", "id", "ord", "vector")
     return D.key_chunks(c, C.chunk_scores(B.chunks(s, d)), 3)
@@ -108,6 +116,9 @@ QUERIES = {
     "compress_text": lambda s, d: P.compress_texts(payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
     "compress_search": lambda s, d: P.compress_search(search_payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
     "compress_json": lambda s, d: json_payloads(s, d).select("id", P.compress_json(F.col("text")).alias("compressed")),
+    "compress_payloads": lambda s, d: P.compress_payloads(mixed_payloads(s, d)).groupBy("content_type").agg(
+        F.count("*").alias("payloads"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after")
+    ),
     "session_head_tail": lambda s, d: D.head_and_tail(B.chunks(s, d), 500, 3, 2),
     "key_chunks": distilled,
     "stream_window_counts": streamed_counts,
