@@ -140,8 +140,10 @@ def test_op7_targets_and_bounds(spark, texts):
         assert r["target"] == pytest.approx(target[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] = taken.get(s, 0) + r["taken"]
+    # a row is drawn with exactly the fraction as probability, so one row more or less, the longest at most, may be off
+    longest = {s: max(sizes[d] for d in sources if sources[d] == s) for s in names}
     for s in names:
-        assert taken[s] == pytest.approx(target[s], rel=0.25)
+        assert abs(taken[s] - target[s]) <= max(0.25 * target[s], longest[s])
     again = registry.QUERIES["op7_mixing"](spark, SF).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 

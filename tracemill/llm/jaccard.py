@@ -15,7 +15,9 @@
 
 In both a pair must first pass a bound on its difference: each class has a parity map, one bit per 2^k values of
 the hash telling whether an odd number of its shingles falls there. Maps of two sets differ in at most as many
-bits as the sets differ in shingles, so a pair whose maps differ too much cannot be similar and is never made.
+bits as the sets differ in shingles, so a pair whose maps differ too much cannot be similar. Pairs are made of
+ids alone; each is then dealt to the one of its shingles that most pairs meet at, so a map travels once for
+such a place and not once for every pair.
 
 Verification stores the candidates of one class in a prefix tree of sets ordered from the most frequent
 shingle on, walks it once with that class's set, counts the overlap of a shared branch once, and leaves a
@@ -30,15 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.components import connected_components
-from tracemill.functions.workspace import Workspace, checked_lookup, distinct_name
+from tracemill.functions.workspace import Workspace, bound_arrow_batches, checked_lookup, distinct_name, spread_lookup
 from tracemill.llm.hashing import shingle_sets
 
-#: Counters of the frequency sketch (4 MB when sent to executors, whatever the input), and its slices.
+#: Counters of the frequency sketch (1 MB of classes when sent to executors, whatever the input), and its slices.
 SKETCH_BITS, SLICES = 20, 64
+#: Sketches of so many tasks are added first, then their sums.
+SKETCH_FAN_IN = 256
+#: Classes that a task remembers so as not to repeat itself; beyond it, it forgets them and may repeat some.
+MAX_SEEN = 1 << 20
+#: Members of one side of a place at which maps are compared; larger places are split into blocks.
+BLOCK_MEMBERS = 512
 #: Candidate sets in one prefix tree.
 TREE = 256
 #: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
@@ -46,7 +55,9 @@ MAX_WANTED = 500_000
 #: Words of 64 bits in the largest parity map; sets of more shingles than half its bits get a looser bound.
 MAP_WORDS = 1024
 #: Rounds in which each class is held against one leader, before the rest is paired.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Rounds of label spreading after each; the components of all links are followed to their end.
+LABEL_ROUNDS = 2
 
 
 def required_overlap(n: int, m: int, threshold: float) -> int:
@@ -126,86 +137,93 @@ def parity_map(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _may_differ(a: str, b: str, n: Column, m: Column, threshold: float) -> Column:
-    """Whether parity maps a and b differ in few enough bits for sets of n and m; the larger map folds onto the smaller."""
-    num, den = _ratio(threshold)
-    words = F.least(F.size(a), F.size(b))
+class Seen(set):
+    """Classes that a task has met, of bounded number."""
+
+    def new(self, value: int) -> bool:
+        if value in self:
+            return False
+        if len(self) >= MAX_SEEN:
+            self.clear()
+        self.add(value)
+        return True
 
-    def folded(name: str) -> Column:
-        half = F.zip_with(F.slice(name, F.lit(1), words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
-        return F.when(F.size(name) > words, half).otherwise(F.col(name))
 
-    bits = F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    # sizes that differ by more than one doubling are no candidates, so one fold is enough
-    return (F.greatest(F.size(a), F.size(b)) > 2 * words) | (bits.cast("long") * (num + den) <= (n + m).cast("long") * (den - num))
+MEASURED = "kind int, doc_id long, print long, n long, class long, map array<long>, counts binary"
 
 
 def _measure(width: int):
-    """Rows (kind 0: doc_id, n, class) per document, and at the end the task's sketch (kind 1) in slices.
+    """Rows (kind 0: doc_id, print, n, class) per document, and at the end the task's sketch (kind 1) in slices.
 
-    The first row of a class in the task also has its parity map.
+    The first row of a class in the task also has its parity map. ``print`` is passed through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        seen: set[int] = set()
+        seen, task = Seen(), TaskContext.get().partitionId() // SKETCH_FAN_IN
+        names = ["kind", "doc_id", "print", "n", "class", "map", "counts"]
         for batch in batches:
             sizes, classes, maps = [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(2), width):
                 sizes.append(len(s))
                 classes.append(fingerprint(s) if len(s) else None)
-                maps.append(parity_map(s) if len(s) and classes[-1] not in seen else None)
-                seen.add(classes[-1])
+                maps.append(parity_map(s) if len(s) and seen.new(classes[-1]) else None)
                 np.add.at(sketch, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(n, pa.binary())],
-                names=["kind", "doc_id", "n", "class", "map", "counts"],
-            )
+            columns = [pa.array([0] * n, pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(maps, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
             slices = [x.tobytes() for x in np.split(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), SLICES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(slices, pa.binary())],
-                names=["kind", "doc_id", "n", "class", "map", "counts"],
-            )
+            columns = [pa.array([1] * SLICES, pa.int32()), pa.array([task] * SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(slices, pa.binary())], names=names)
 
     return run
 
 
-def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64)
-            sums[k] = sums[k] + part if k in sums else part
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["n", "counts"]
-        )
+def _sum_slices(kind):
+    """Rows (n, counts), the counts as numbers of ``kind``, added up per n in 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(counts.as_buffer(), dtype=kind).astype(np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["n", "counts"]
+            )
+
+    return run
 
 
 def _frequency_classes(measured: DataFrame) -> np.ndarray:
-    """The sketch as 8-bit logarithmic classes, 8 to the octave; its size does not depend on the input."""
-    slices = measured.where("kind = 1").select("n", "counts").repartition(SLICES // 4, "n")
-    rows = slices.mapInArrow(_sum_slices, "n long, counts binary").collect()
+    """The sketch as 8-bit logarithmic classes of what a counter holds beyond the median, 8 to the octave.
+
+    Added up as a tree: over the slices and groups of ``SKETCH_FAN_IN`` tasks, then over the slices. The size
+    of the sketch does not depend on the input.
+    """
+    slices = measured.where("kind = 1").select("n", "counts", "doc_id").repartition("n", "doc_id")
+    once = slices.select("n", "counts").mapInArrow(_sum_slices(np.uint32), "n long, counts binary")
+    rows = once.repartition(SLICES, "n").mapInArrow(_sum_slices(np.int64), "n long, counts binary").collect()
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.int64)
     for r in rows:
         counts[r["n"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.minimum(255, 8 * np.log2(np.maximum(counts.ravel(), 1))).astype(np.uint8)
+    beyond = np.maximum(counts.ravel() - int(np.median(counts)), 1)
+    return np.minimum(255, 8 * np.log2(beyond)).astype(np.uint8)
 
 
 def _prefixes(width: int, threshold: float, classes):
     """Rows (key, class, size << 32 | place) of the rarest shingles of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             keys, owners, places, held = [], [], [], 0
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
-                if not n or (owner := fingerprint(s)) in seen:
+                if not n or not seen.new(owner := fingerprint(s)):
                     continue
-                seen.add(owner)
                 keys.append(ordered_keys(s, classes.value)[::-1][: n - required_prefix(n, threshold) + 1])
                 p = len(keys[-1])
                 owners.append(np.full(p, owner))
@@ -232,18 +250,62 @@ def required_prefix(n: int, threshold: float) -> int:
 
 
 def _full_sets(width: int, classes):
+    """(class, keys) of every text given, each class once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             owners, sets = [], []
-            for s, expected in zip(shingle_sets(batch.column(0), width), batch.column(1).to_pylist(), strict=True):
-                if len(s) and fingerprint(s) == expected:
-                    owners.append(expected)
+            for s in shingle_sets(batch.column(0), width):
+                if len(s) and seen.new(owner := fingerprint(s)):
+                    owners.append(owner)
                     sets.append(ordered_keys(s, classes.value).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(sets, pa.binary())], names=["class", "keys"])
 
     return run
 
 
+def _compare_maps(threshold: float):
+    """Rows sorted by (place, kind): members with n and map (kind 0), then pairs a, b (kind 1) -> pairs whose maps may belong to similar sets."""
+    num, den = _ratio(threshold)
+
+    def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+        (n, x), (m, y) = (a, b) if len(a[1]) <= len(b[1]) else (b, a)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        return int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (n + m) * (den - num)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, {}
+        for batch in batches:
+            left, right = [], []
+            place, kind, a, b = (batch.column(i).to_pylist() for i in range(4))
+            for i, at in enumerate(place):
+                if at != group:
+                    group, members = at, {}
+                if kind[i] == 0:
+                    members[a[i]] = b[i], np.array(batch.column(4)[i].as_py(), dtype=np.int64).view(np.uint64)
+                elif may_link(members[a[i]], members[b[i]]):
+                    left.append(a[i])
+                    right.append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def pairs_within_bound(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct pairs (a, b, place), those whose parity maps differ in few enough bits.
+
+    The members of a place, cut into blocks of bounded size, meet with its pairs; each brings its map once.
+    """
+    members = pairs.select("place", F.explode(F.array("a", "b")).alias("class")).distinct().join(maps, "class")
+    rows = members.select("place", F.lit(0).alias("kind"), F.col("class").alias("a"), F.col("n").alias("b"), "map").unionByName(
+        pairs.select("place", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("map"))
+    )
+    rows = rows.repartition("place").sortWithinPartitions("place", "kind")
+    return rows.mapInArrow(_compare_maps(threshold), "a long, b long")
+
+
 def _verify(threshold: float):
     """Rows sorted by (a, part, b), the probe's own row first (b null): links (a, b) that hold."""
 
@@ -278,21 +340,17 @@ def _verify(threshold: float):
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct candidate pairs (a, b), those whose sets reach the threshold."""
+    """Of distinct candidate pairs (a, b) of a written table, those whose sets reach the threshold; a set may be given more than once."""
     parts = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    dealt = (
-        pairs.join(parts, "a")
-        .withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / TREE)).cast("long"))
-        .select("a", "part", "b")
+    dealt = pairs.join(parts, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / TREE)).cast("long").alias("part"), "b"
     )
-    members = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "part", "b", "keys")
-    probes = (
-        dealt.select("a", "part")
-        .distinct()
-        .join(sets.withColumnRenamed("class", "a"), "a")
-        .select("a", "part", F.lit(None).cast("long").alias("b"), "keys")
-    )
-    rows = members.unionByName(probes).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    members = dealt.select(F.col("b").alias("class"), "a", "part", "b")
+    probes = dealt.select(F.col("a").alias("class"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    roles = members.unionByName(probes)
+    few = pairs.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+    rows = sets.join(F.broadcast(roles) if few else roles, "class").select("a", "part", "b", "keys")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify(threshold), "a long, b long")
 
 
@@ -318,25 +376,39 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) for every row of ``docs``, exact for the threshold.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space. Null or blank texts have no shingles and
-    link with nothing; rows that repeat a key with another text are texts of their own; a null key is never
-    the smallest of its component, and a component of null keys alone has none. An empty table gives an empty
-    result. Classes of equal sets are told by 64-bit fingerprints, shingles by 56 bits of hash and their
-    frequency class.
+    link with nothing; rows that repeat a key with another text are texts of their own; a row with a null key
+    links like any other, but its key is never the smallest of its component, and a component of null keys alone
+    has none. An empty table gives an empty result. Classes of equal sets are told by 64-bit fingerprints,
+    shingles by 56 bits of hash and their frequency class.
+    """
+    rows, classes = _components(docs, key, text, width, threshold)
+    found = spread_lookup(rows, classes.select("class", "smallest"), "class", F.coalesce("doc_id", F.lit(0)), how="left")
+    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, key: str, text: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Tables of rows (doc_id, print, n, class) and of classes (class, component, smallest).
+
+    The second holds the classes that are linked or have several rows. ``print`` is a hash of the text.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    pairs_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    measured = work.table("measured", pairs_in.mapInArrow(_measure(width), "kind int, doc_id long, n long, class long, map array<long>, counts binary"))
-    rows = measured.where("kind = 0").select("doc_id", "n", "class")
-    classes = spark.sparkContext.broadcast(_frequency_classes(measured))
+    bound_arrow_batches(spark)
+    pairs_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    measured = work.table("measured", pairs_in.mapInArrow(_measure(width), MEASURED))
+    rows = measured.where("kind = 0").select("doc_id", "print", "n", "class")
+    frequencies = spark.sparkContext.broadcast(_frequency_classes(measured))
 
+    # one exchange by key serves the distinct members, their neighbours in size, and the keys with equal members
     by_key = Window.partitionBy("key")
-    prefixes = pairs_in.select("text").mapInArrow(_prefixes(width, threshold, classes), "key long, class long, size_place long")
     in_size = by_key.orderBy("size_place")
+    prefixes = pairs_in.select("text").mapInArrow(_prefixes(width, threshold, frequencies), "key long, class long, size_place long")
     shared = (
         prefixes.withColumn("low", F.min("class").over(by_key))
         .withColumn("high", F.max("class").over(by_key))
         .where("low <> high")
+        .groupBy("key", "class")
+        .agg(F.min("size_place").alias("size_place"))
         .withColumn("smaller", F.lag("size_place").over(in_size))
         .withColumn("larger", F.lead("size_place").over(in_size))
         .where(_near_size("smaller", "size_place", threshold) | _near_size("size_place", "larger", threshold))
@@ -345,18 +417,18 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .agg(F.min("size_place").alias("size_place"))
     )
     shared = work.table("shared", shared.select("key", "class", *_unpacked("size_place", "")))
-
-    sharing = shared.select("class").distinct()
-    maps = measured.where("map IS NOT NULL").select("class", "map").dropDuplicates(["class"]).join(sharing, "class", "left_semi")
-    maps = work.table("maps", maps)
+    maps = measured.where("map IS NOT NULL").select("class", "n", "map").join(shared.select("class").distinct(), "class", "left_semi")
+    maps = work.table("maps", maps.dropDuplicates(["class"]))
 
     by_class = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    def sets_of(name: str, classes_in: DataFrame) -> DataFrame:
-        """The sets of some classes, each from the text of its smallest row."""
-        wanted = work.table(f"{name}-rows", by_class.join(classes_in, "class", "left_semi").select("doc_id", "class"))
-        few = wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED
-        texts = pairs_in.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "class")
-        return work.table(name, texts.mapInArrow(_full_sets(width, classes), "class long, keys binary"))
+
+    def sets_of(name: str, wanted: DataFrame) -> DataFrame:
+        """The sets of some classes, each from the text of its smallest row, or of rows without a key."""
+        chosen = work.table(f"{name}-rows", by_class.join(wanted, "class", "left_semi").select("doc_id", "class"))
+        few = chosen.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+        ids, owners = (F.broadcast(x) if few else x for x in (chosen.select(F.col("doc_id").alias("id")).distinct(), chosen.select("class")))
+        texts = pairs_in.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        return work.table(name, texts.mapInArrow(_full_sets(width, frequencies), "class long, keys binary").join(owners, "class", "left_semi"))
 
     def sides(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -367,103 +439,144 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = shared.join(linked.select(F.col("node").alias("class"), "component", "members"), "class", "left")
         return found.withColumn("component", F.coalesce("component", "class")).withColumn("members", F.coalesce("members", F.lit(1)))
 
+    def maps_of(name: str, pairs: DataFrame) -> DataFrame:
+        wanted = work.table(f"{name}-classes", sides(pairs))
+        few = wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+        return maps.join(F.broadcast(wanted) if few else wanted, "class", "left_semi")
+
     linked = links = sets = tested = None
+
+    def verified(name: str, pairs: DataFrame) -> DataFrame:
+        nonlocal sets, links, tested
+        new = sides(pairs) if tested is None else sides(pairs).join(sides(tested), "class", "left_anti")
+        fetched = sets_of(f"{name}-sets", new)
+        sets = fetched if sets is None else sets.unionByName(fetched)
+        proved = work.table(f"{name}-links", verify_pairs(pairs, sets, threshold))
+        links = proved if links is None else links.unionByName(proved)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        return proved
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        if tested is None:
+            return pairs
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.join(done, (F.least(pairs.a, pairs.b) == done.a) & (F.greatest(pairs.a, pairs.b) == done.b), "left_anti")
+
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS)
     for k in range(LEADER_ROUNDS):
         # the largest component leads, at every shingle and in every round by another class
+        state = work.table(f"state-{k}", named(linked))
         turns = [F.xxhash64("component", F.lit(k)).alias("turn"), "component", F.xxhash64("class", "key", F.lit(k)).alias("class_turn")]
-        leader = F.min(F.struct((-F.col("members")).alias("rank"), *turns, "class", "n", "place")).over(by_key)
-        leads = (
-            named(linked)
-            .withColumn("lead", leader)
-            .select("class", "n", "place", "component", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("component", "class", "n", "place")])
-            .where((F.col("component") != F.col("lead_component")) & _can_reach("", "lead_", threshold))
-            .select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"), "class", "n", "lead_n")
+        leaders = (
+            state.groupBy("key")
+            .agg(
+                F.min(F.struct((-F.col("members")).alias("rank"), *turns, "class", "n", "place")).alias("lead"),
+                (F.min("component") < F.max("component")).alias("open"),
+                F.count("*").alias("size"),
+            )
+            .where("open")
+            .select("key", "size", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("component", "class", "n", "place")])
         )
-        leads = leads.distinct() if tested is None else leads.distinct().join(tested, ["a", "b"], "left_anti")
-        leads = (
-            leads.join(maps.select(F.col("class").alias("a"), F.col("map").alias("a_map")), "a")
-            .join(maps.select(F.col("class").alias("b"), F.col("map").alias("b_map")), "b")
-            .where(_may_differ("a_map", "b_map", F.col("n"), F.col("lead_n"), threshold))
-            .select("a", "b", "class")
+        pairs = (
+            state.join(leaders, "key")
+            .where((F.col("component") != F.col("lead_component")) & _can_reach("", "lead_", threshold))
+            .groupBy(F.col("lead_class").alias("a"), F.col("class").alias("b"))
+            .agg(F.max(F.struct("size", "key")).alias("meet"))
+            .select("a", "b", "meet.*")
+            .select("a", "b", F.xxhash64("key", "a", F.pmod(F.xxhash64("b"), blocks)).alias("place"))
         )
-        # one leader for each class and round, so links stay as few as classes
-        leads = leads.groupBy("class").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
+        pairs = work.table(f"pairs-{k}", untested(pairs))
+        bounded = pairs_within_bound(pairs, maps_of(f"maps-{k}", pairs), threshold)
+        # one leader for each class and round, so links stay as few as classes; of (x, y) and (y, x), one
+        leads = bounded.groupBy("b").agg(F.min("a").alias("a")).groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        leads = leads.agg(F.max("a").alias("a")).select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
         leads = work.table(f"leads-{k}", leads)
+        work.drop(f"state-{k}", f"pairs-{k}", f"maps-{k}-classes")
         if not leads.limit(1).count():
-            tested = leads if tested is None else tested
             break
-        new = sides(leads) if tested is None else sides(leads).join(sides(tested), "class", "left_anti")
-        fetched = sets_of(f"sets-{k}", new)
-        sets = fetched if sets is None else sets.unionByName(fetched)
-        proved = work.table(f"links-{k}", verify_pairs(leads, sets, threshold))
-        links = proved if links is None else links.unionByName(proved)
-        tested = leads if tested is None else tested.unionByName(leads)
-        linked = connected_components(links, work, f"led-{k}")
+        verified(f"leads-{k}", leads)
+        # what is linked but not yet named alike only costs pairs that are tested in vain
+        linked = connected_components(links, work, f"led-{k}", LABEL_ROUNDS)
         members = work.table(f"members-{k}", linked.groupBy("component").agg(F.count("*").cast("int").alias("members")))
         linked = checked_lookup(linked, members, "component", F.col("node"))
-    open_keys = work.table(
-        "open",
-        named(linked).withColumn("low", F.min("component").over(by_key))
-        .withColumn("high", F.max("component").over(by_key))
-        .where("low <> high")
-        .select("key", "class", "n", "place", "component")
-        .join(maps, "class"),
+
+    state = work.table("state", named(linked))
+    open_keys = (
+        state.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        .where("low < high")
+        .select("key", "size")
     )
-    kept = ("class", "n", "place", "component", "map")
-    left = open_keys.select("key", *[F.col(c).alias(f"a_{c}") for c in kept])
-    right = open_keys.select("key", *[F.col(c).alias(f"b_{c}") for c in kept])
+    opened = work.table("open", state.join(open_keys, "key").select("key", "size", "class", "n", "place", "component"))
+    left = opened.select("key", F.struct("size", "key").alias("meet"), *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "place", "component")])
+    right = opened.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "place", "component")])
     rest = (
         left.join(right, "key")
         .where((F.col("a_component") < F.col("b_component")) & _can_reach("a_", "b_", threshold))
-        .where(_may_differ("a_map", "b_map", F.col("a_n"), F.col("b_n"), threshold))
-        .select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
+        .groupBy(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+        .agg(F.max("meet").alias("meet"))
+        .select("a", "b", "meet.*")
+        .select("a", "b", F.xxhash64("key", F.pmod(F.xxhash64("a"), blocks), F.pmod(F.xxhash64("b"), blocks)).alias("place"))
     )
-    rest = work.table("rest", rest)
+    rest = work.table("rest", untested(rest))
     if rest.limit(1).count():
-        fetched = sets_of("rest-sets", sides(rest).join(sides(tested), "class", "left_anti"))
-        sets = fetched if sets is None else sets.unionByName(fetched)
-        more = work.table("more", verify_pairs(rest, sets, threshold))
-        links = more if links is None else links.unionByName(more)
-        if more.limit(1).count():
-            linked = connected_components(links, work, "all")
+        bounded = work.table("rest-bounded", pairs_within_bound(rest, maps_of("rest-maps", rest), threshold))
+        if bounded.limit(1).count():
+            verified("rest", bounded)
+    if links is not None:
+        linked = connected_components(links, work, "all")
     if linked is None:
         linked = spark.createDataFrame([], "node long, component long")
 
     grouped = by_class.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
         "class", "doc_id", "copies", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked")
     )
-    smallest = grouped.where("linked").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    named_classes = (
-        grouped.where("linked OR copies > 1")
-        .join(smallest, "component", "left")
-        .select("class", F.coalesce("smallest", "doc_id").alias("component_id"))
-    )
-    named_classes = work.table("classes", named_classes)
-    return checked_lookup(rows, named_classes, "class", F.coalesce("doc_id", F.lit(0))).select(
-        F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    grouped = work.table("grouped", grouped.where("linked OR copies > 1"))
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    classes = work.table("classes", grouped.join(smallest, "component").select("class", "component", "smallest"))
+    work.keep("measured", "classes")
+    return rows, classes
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
-    """Keep the row with the smallest key of every component, once; rows with a null key stay.
+    """Keep one row of every component: one with its smallest key (null last), ties by text.
 
-    Rows that repeat a key are kept once if their key is its component's smallest.
+    Texts are told apart by key and text, so a row that shares its key with a near copy but has another text
+    stays or goes by its own text. Of rows that repeat the key and text that stay, one is kept, whichever values
+    its other columns have. Rows without words stay, all of them.
     """
     work = Workspace(docs.sparkSession, "near-copies")
-    found = work.table("components", similar_components(docs, key, text, width, threshold))
-    low = distinct_name(docs, "_low")
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(low)).distinct()
-    kept = docs.join(gone, docs[key] == gone[low], "left_anti")
-    if found.groupBy(key).count().where("count > 1").limit(1).count():
-        once = Window.partitionBy(key).orderBy(F.xxhash64(text))
-        kept = kept.withColumn(low, F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(once))).where(F.col(low) == 1).drop(low)
-    return kept
+    rows, classes = _components(docs, key, text, width, threshold)
+    held = spread_lookup(rows.where("class IS NOT NULL"), classes.select("class", "component"), "class", F.coalesce("doc_id", F.lit(0)), how="left")
+    texts = work.table(
+        "texts",
+        held.withColumn("component", F.coalesce("component", "class")).groupBy("component", "doc_id", "print").agg(F.count("*").alias("rows")),
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")
+    stays = texts.groupBy("component").agg(F.min(rank).alias("stays"), F.sum("rows").alias("all")).where("all > 1")
+    judged = texts.join(stays, "component").select(
+        "doc_id", "print", "rows", F.col("stays").eqNullSafe(rank).alias("stay")
+    )
+    judged = work.table("judged", judged)
+
+    low, mark = distinct_name(docs, "_low"), distinct_name(docs, "_print")
+    marked = docs.withColumn(mark, F.xxhash64(text))
+
+    def beside(found: DataFrame, how: str) -> DataFrame:
+        named = found.select(F.col("doc_id").alias(low), F.col("print").alias(f"{low}_print"))
+        few = named.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+        same = F.col(key).cast("long").eqNullSafe(F.col(low)) & (F.col(mark) == F.col(f"{low}_print"))
+        return marked.join(F.broadcast(named) if few else named, same, how)
+
+    alone = beside(judged.where("NOT stay OR rows > 1"), "left_anti").drop(mark)
+    repeated = judged.where("stay AND rows > 1")
+    if not repeated.limit(1).count():
+        return alone
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = beside(repeated, "left_semi").groupBy(key, mark).agg(F.any_value(row).alias(low)).select(f"{low}.*")
+    return alone.unionByName(once)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_components(docs)
-
-
