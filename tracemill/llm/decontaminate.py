@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.workspace import Shipped
+from tracemill.functions.workspace import Shipped, bound_arrow_batches
 
 #: The automaton of so many item words takes under 1 GB; larger benchmarks are dealt into parts of at most so many.
 MAX_ITEM_WORDS = 1_000_000
@@ -163,6 +163,7 @@ def build_automata(benchmark: DataFrame, item: str = "item_id", text: str = "tex
     The driver holds one part at a time. Null texts have no words; items that repeat an id count as one item
     where any of them occurs, and so do the pieces of an item beyond the bound.
     """
+    bound_arrow_batches(benchmark.sparkSession)
     most = max(MAX_ITEM_WORDS, window)
     sent, part, held = [], [], 0
     for r in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():

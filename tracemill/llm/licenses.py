@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import bound_arrow_batches
+
 #: Lower-case A-Z; words hold no ASCII character but letters and digits.
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPLIT)
@@ -223,6 +225,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     Null and blank texts have no words and no notices; rows repeat as they come; an empty table gives an empty
     result.
     """
+    bound_arrow_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     scanned = docs.select(F.col(key), F.col(text)).mapInArrow(
         _scan(phrases, notices, chars_per_error), f"key {kind}, n_words long, phrases {PLACES}, notices {MATCHES}"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.workspace import Shipped
+from tracemill.functions.workspace import Shipped, bound_arrow_batches
 from tracemill.llm.boosting import Boosted, calibrate, fit_boosted
 
 #: The strict kinds, in the order in which spans at one place are listed.
@@ -313,6 +313,7 @@ def find_personal_data(docs: DataFrame, model: PiiModel | None = None, key: str
 
     Null and empty texts have no spans; rows repeat as they come; an empty table gives an empty result.
     """
+    bound_arrow_batches(docs.sparkSession)
     sent = Shipped(docs.sparkSession, model or train_pii_model())
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(_scan(sent), f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
@@ -345,6 +346,7 @@ def _redact(model, place: int):
 
 def redact_personal_data(docs: DataFrame, model: PiiModel | None = None, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; other rows and all other columns as they are."""
+    bound_arrow_batches(docs.sparkSession)
     sent = Shipped(docs.sparkSession, model or train_pii_model())
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
     return docs.mapInArrow(_redact(sent, docs.columns.index(text)), schema)

@@ -22,19 +22,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.workspace import Shipped, distinct_name
+from tracemill.functions.workspace import Shipped, bound_arrow_batches, distinct_name
 from tracemill.llm.hashing import ASCII_SPACE, buffers, mix, portions, word_hashes, word_spans
 
 #: Dimensions of the vectors of a word's form, and entries that are not zero in an index vector.
 DIMENSIONS, ENTRIES = 96, 4
 #: Rows and dimensions of the table of context vectors, words to each side that are context, and parts it is added in.
-CONTEXT_ROWS, CONTEXT_DIMENSIONS, REACH, PARTS = 1 << 13, 48, 2, 16
+CONTEXT_ROWS, CONTEXT_DIMENSIONS, REACH, PARTS = 1 << 12, 32, 2, 16
 #: Tables of so many tasks are added first, then their sums.
 FAN_IN = 64
 #: Labelled rows that the network is trained on, at most; those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 20_000
 #: Words whose index vectors are held at a time.
-CHUNK_WORDS, CONTEXT_CHUNK_WORDS = 100_000, 400_000
+CHUNK_WORDS, CONTEXT_CHUNK_WORDS = 64_000, 64_000
 THRESHOLD = 0.7
 N_FEATURES = CONTEXT_DIMENSIONS + DIMENSIONS + 5
 
@@ -118,8 +118,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """(CONTEXT_ROWS, CONTEXT_DIMENSIONS) float32: unit context vectors from the texts of all ``docs``.
 
-    What the driver reads has the size of the table (3 MB), whatever the input.
+    What the driver reads has the size of the table (1 MB), whatever the input.
     """
+    bound_arrow_batches(docs.sparkSession)
     found = docs.select(F.col(text)).mapInArrow(_contexts, "part int, group int, sums binary")
     once = found.repartition("part", "group").select("part", "sums").mapInArrow(_added, "part int, sums binary")
     table = np.zeros((PARTS, CONTEXT_ROWS * CONTEXT_DIMENSIONS // PARTS))
@@ -283,6 +284,7 @@ def _score(model, place: int):
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 appended (a column of that name is replaced); empty texts too."""
+    bound_arrow_batches(docs.sparkSession)
     kept = docs.drop(score)
     sent = Shipped(docs.sparkSession, model)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept.schema], T.StructField(score, T.DoubleType())])
