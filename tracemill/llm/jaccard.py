@@ -15,9 +15,10 @@
 
 In both a pair must first pass a bound on its difference: each class has a parity map, one bit per 2^k values of
 the hash telling whether an odd number of its shingles falls there. Maps of two sets differ in at most as many
-bits as the sets differ in shingles, so a pair whose maps differ too much cannot be similar. Pairs are made of
-ids alone; each is then dealt to the one of its shingles that most pairs meet at, so a map travels once for
-such a place and not once for every pair.
+bits as the sets differ in shingles, so a pair whose maps differ too much cannot be similar. Classes and leaders
+are paired by ids alone and meet their maps at the one of their shingles where most pairs meet. Members of the
+shingles that stay open are cut into blocks with their maps, any two of a shingle's blocks meet in a task, and only
+pairs that pass every bound are made.
 
 Verification stores the candidates of one class in a prefix tree of sets ordered from the most frequent
 shingle on, walks it once with that class's set, counts the overlap of a shared branch once, and leaves a
@@ -47,7 +48,7 @@ SKETCH_FAN_IN = 256
 #: Classes that a task remembers so as not to repeat itself; beyond it, it forgets them and may repeat some.
 MAX_SEEN = 1 << 20
 #: Members of one side of a place at which maps are compared; larger places are split into blocks.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 1024
 #: Candidate sets in one prefix tree.
 TREE = 256
 #: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
@@ -55,9 +56,9 @@ MAX_WANTED = 500_000
 #: Words of 64 bits in the largest parity map; sets of more shingles than half its bits get a looser bound.
 MAP_WORDS = 1024
 #: Rounds in which each class is held against one leader, before the rest is paired.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Rounds of label spreading after each; the components of all links are followed to their end.
-LABEL_ROUNDS = 2
+LABEL_ROUNDS = 3
 
 
 def required_overlap(n: int, m: int, threshold: float) -> int:
@@ -265,16 +266,19 @@ def _full_sets(width: int, classes):
     return run
 
 
+def _may_link(n: int, x: np.ndarray, m: int, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether parity maps x and y differ in few enough bits for sets of n and m."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (n + m) * (den - num)
+
+
 def _compare_maps(threshold: float):
     """Rows sorted by (place, kind): members with n and map (kind 0), then pairs a, b (kind 1) -> pairs whose maps may belong to similar sets."""
     num, den = _ratio(threshold)
 
-    def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
-        (n, x), (m, y) = (a, b) if len(a[1]) <= len(b[1]) else (b, a)
-        while len(y) > len(x):
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-        return int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (n + m) * (den - num)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, {}
         for batch in batches:
@@ -285,7 +289,7 @@ def _compare_maps(threshold: float):
                     group, members = at, {}
                 if kind[i] == 0:
                     members[a[i]] = b[i], np.array(batch.column(4)[i].as_py(), dtype=np.int64).view(np.uint64)
-                elif may_link(members[a[i]], members[b[i]]):
+                elif _may_link(*members[a[i]], *members[b[i]], num, den):
                     left.append(a[i])
                     right.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -306,6 +310,66 @@ def pairs_within_bound(pairs: DataFrame, maps: DataFrame, threshold: float) -> D
     return rows.mapInArrow(_compare_maps(threshold), "a long, b long")
 
 
+def _pair_members(threshold: float):
+    """Rows sorted by meeting (two blocks of one key): distinct pairs of classes of different components that may be similar.
+
+    A pair has to pass the bounds by size and by place in the prefix, then that of the parity maps; only pairs
+    that pass are made. A meeting's members are at most two blocks.
+    """
+    num, den = _ratio(threshold)
+
+    def pairs(rows: list[tuple]) -> set[tuple[int, int]]:
+        block, owner, component, n, place = (np.array([r[k] for r in rows]) for k in range(5))
+        maps = [r[5] for r in rows]
+        alone, found = block.min() == block.max(), set()
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            most = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+            fits = (low * den >= high * num) & (most * (num + den) >= (n[i] + n[j]) * num) & (component[i] != component[j])
+            if not alone:
+                fits &= block[i] != block[j]
+            for k in j[fits].tolist():
+                if _may_link(int(n[i]), maps[i], int(n[k]), maps[k], num, den):
+                    a, b = int(owner[i]), int(owner[k])
+                    found.add((min(a, b), max(a, b)))
+        return found
+
+    def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting, held = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for i, (at, *row) in enumerate(zip(*columns, strict=True)):
+                if at != meeting:
+                    if len(held) > 1:
+                        yield batch_of(pairs(held))
+                    meeting, held = at, []
+                held.append((*row, np.array(batch.column(6)[i].as_py(), dtype=np.int64).view(np.uint64)))
+        if len(held) > 1:
+            yield batch_of(pairs(held))
+
+    return run
+
+
+def pairs_of_open_keys(opened: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) that may be similar, of members (key, size, class, n, place, component) that share a key.
+
+    A key's members are cut into blocks by the hash of their class and every two blocks meet once, so a member is
+    repeated once per block of its key and no task holds more than two blocks.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS)
+    own, other = F.pmod(F.xxhash64("class"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    met = opened.select("key", "class", "component", "n", "place", own.alias("block"), other.alias("other"))
+    rows = met.select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "block", "class", "component", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")
+    ).join(maps.select("class", "map"), "class")
+    rows = rows.select("meeting", "block", "class", "component", "n", "place", "map").repartition("meeting").sortWithinPartitions("meeting")
+    return rows.mapInArrow(_pair_members(threshold), "a long, b long").distinct()
+
+
 def _verify(threshold: float):
     """Rows sorted by (a, part, b), the probe's own row first (b null): links (a, b) that hold."""
 
@@ -508,21 +572,9 @@ def _components(docs: DataFrame, key: str, text: str, width: int, threshold: flo
         .select("key", "size")
     )
     opened = work.table("open", state.join(open_keys, "key").select("key", "size", "class", "n", "place", "component"))
-    left = opened.select("key", F.struct("size", "key").alias("meet"), *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "place", "component")])
-    right = opened.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "place", "component")])
-    rest = (
-        left.join(right, "key")
-        .where((F.col("a_component") < F.col("b_component")) & _can_reach("a_", "b_", threshold))
-        .groupBy(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
-        .agg(F.max("meet").alias("meet"))
-        .select("a", "b", "meet.*")
-        .select("a", "b", F.xxhash64("key", F.pmod(F.xxhash64("a"), blocks), F.pmod(F.xxhash64("b"), blocks)).alias("place"))
-    )
-    rest = work.table("rest", untested(rest))
+    rest = work.table("rest", untested(pairs_of_open_keys(opened, maps, threshold)))
     if rest.limit(1).count():
-        bounded = work.table("rest-bounded", pairs_within_bound(rest, maps_of("rest-maps", rest), threshold))
-        if bounded.limit(1).count():
-            verified("rest", bounded)
+        verified("rest", rest)
     if links is not None:
         linked = connected_components(links, work, "all")
     if linked is None:
