@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some can be held against."""
 
-from tracemill.llm import chat, decontaminate, jaccard, licenses, mixing, pii, quality_model, quality_rules, url_rules, warc
+from tracemill.llm import alignment, chat, decontaminate, jaccard, licenses, mixing, neighbours, pii, quality_model, quality_rules, url_rules, warc, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality_model": quality_model.op8_quality_model,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_chat_prefix": chat.op10_chat_prefix,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_neighbours": neighbours.op12_neighbours,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
