@@ -521,3 +521,49 @@ def test_pipeline_edges(spark, tmp_path):
         assert set(frame.columns) <= set(out.columns)
         ids = {r["doc_id"] for r in out.collect()}
         assert ids <= {r[0] for r in rows} and (name == "none") == (not ids)
+
+
+def test_mixing_draws_rows_by_themselves_and_right_on_the_mean(spark):
+    """Sizes all differ: rows do not move with others of their source, and sums meet the target over many seeds."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS source", "repeat('w ', CAST(id + 1 AS INT)) AS text")
+    copies = {r["doc_id"]: (r["mix_copies"], r["mix_target"] / r["mix_source_size"]) for r in mixing.mix_sources(docs).collect()}
+    more = docs.unionByName(spark.createDataFrame([(1000, "b", "w")], "doc_id long, source string, text string"))
+    moved = {r["doc_id"]: (r["mix_copies"], r["mix_target"] / r["mix_source_size"]) for r in mixing.mix_sources(more).collect()}
+    changed = [d for d in copies if moved[d][0] != copies[d][0]]
+    assert all(abs(moved[d][1] - copies[d][1]) < 0.001 for d in copies) and len(changed) <= 3
+    sums, draws = {}, 12
+    for seed in range(draws):
+        for r in mixing.mix_sources(docs, seed=seed).selectExpr("source", "mix_size * mix_copies AS taken", "mix_target").groupBy("source").agg({"taken": "sum", "mix_target": "max"}).collect():
+            sums.setdefault(r["source"], []).append((r["sum(taken)"], r["max(mix_target)"]))
+    for found in sums.values():
+        assert sum(t for t, _ in found) / draws == pytest.approx(found[0][1], rel=0.06)
+
+
+def test_keys_named_like_results(spark):
+    text = "call me at +1 (555) 010-9999 under the mit license"
+    docs = spark.createDataFrame([(1, text, 1, 1)], "n_words long, text string, spans long, notices long")
+    found = licenses.scan_licenses(docs, key="n_words").collect()
+    assert [(r["n_words"], r["_n_words"]) for r in found] == [(1, 11)]
+    assert [r["notices"] for r in licenses.scan_licenses(docs, key="notices").collect()] == [1]
+    assert [(r["spans"], len(r["_spans"])) for r in pii.find_personal_data(docs, key="spans").collect()] == [(1, 1)]
+    bench = spark.createDataFrame([("i", "under the mit license")], "item_id string, text string")
+    assert [(r["n_words"], r["_n_words"], r["items"]) for r in decontaminate.find_contamination(docs, bench, key="n_words").collect()] == [(1, 11, ["i"])]
+
+
+def test_benchmark_items_without_id_are_not_the_empty_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), ("", "four five six"), (None, "five six")], "item_id string, text string")
+    found = {r["doc_id"]: r["items"] for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found == {1: [None], 2: ["", None], 3: ["", None]}
+
+
+def test_damaged_gzip_members_are_passed_over(spark, tmp_path):
+    none = dict.fromkeys(warc.COLUMNS)
+    members = [warc.gzip_member(warc.record_bytes(none | {"record_type": "resource", "record_id": f"urn:r:{k}", "target_uri": f"http://a/{k}", "payload": b"x" * 300 + bytes([k]), "payload_bytes": 301, "payload_digest": "0"})) for k in range(4)]
+    broken = bytearray(members[1])
+    broken[30:60] = bytes(30)
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + bytes(broken) + members[2] + members[3])
+    warc.register(spark)
+    for payload in ("true", "false"):
+        rows = spark.read.format("warc").option("payload", payload).load(str(tmp_path)).collect()
+        assert {"urn:r:0", "urn:r:2", "urn:r:3"} <= {r["record_id"] for r in rows} <= {f"urn:r:{k}" for k in range(4)}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.workspace import Shipped, bound_arrow_batches
+from tracemill.llm.text import keyed
 
 #: The automaton of so many item words takes under 1 GB; larger benchmarks are dealt into parts of at most so many.
 MAX_ITEM_WORDS = 1_000_000
@@ -157,6 +158,10 @@ def item_pieces(words: list[bytes], window: int, most: int) -> Iterator[list[byt
         yield words[at : at + most]
 
 
+def _by_item(entry: tuple[str | None, list[bytes]]) -> tuple:
+    return entry[0] is None, entry[0] or "", entry[1]
+
+
 def build_automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> list[Shipped]:
     """One automaton per part of at most ``MAX_ITEM_WORDS`` item words, sent to the executors; at least one.
 
@@ -169,12 +174,12 @@ def build_automata(benchmark: DataFrame, item: str = "item_id", text: str = "tex
     for r in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():
         for piece in item_pieces(item_words(r["text"]), window, most):
             if held + len(piece) > most:
-                sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part), window)))
+                sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part, key=_by_item), window)))
                 part, held = [], 0
-            part.append((r["item"] or "", piece))
+            part.append((r["item"], piece))
             held += len(piece)
     if part or not sent:
-        sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part), window)))
+        sent.append(Shipped(benchmark.sparkSession, SuffixAutomaton(sorted(part, key=_by_item), window)))
     return sent
 
 
@@ -236,7 +241,7 @@ def _scan(automata):
                     batch.column(0),
                     pa.array([n for n, _, _ in rows], pa.int64()),
                     pa.array([spans for _, spans, _ in rows], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([sorted(items) for _, _, items in rows], pa.list_(pa.string())),
+                    pa.array([sorted(items, key=lambda i: (i is None, i or "")) for _, _, items in rows], pa.list_(pa.string())),
                 ],
                 names=["key", "n_words", "spans", "items"],
             )
@@ -247,15 +252,14 @@ def _scan(automata):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: key, n_words, spans of hit words ([first, last + 1) pairs) and the items found.
 
-    Null and blank texts have no words and no hits; rows repeat as they come; with no items nothing is hit.
+    Null and blank texts have no words and no hits; rows repeat as they come; with no items nothing is hit. Items
+    without an id are one item, a null at the end of ``items``. A result column that has the key's name gets an
+    underscore in front.
     """
     automata = build_automata(benchmark, text="text", window=window)
     kind = docs.schema[key].dataType.simpleString()
-    return (
-        docs.select(F.col(key), F.col(text))
-        .mapInArrow(_scan(automata), f"key {kind}, n_words long, spans array<array<long>>, items array<string>")
-        .withColumnRenamed("key", key)
-    )
+    found = docs.select(F.col(key), F.col(text)).mapInArrow(_scan(automata), f"key {kind}, n_words long, spans array<array<long>>, items array<string>")
+    return keyed(found, key)
 
 
 def cut_spans(text: str, spans: list[list[int]]) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.workspace import bound_arrow_batches
+from tracemill.llm.text import keyed
 
 #: Lower-case A-Z; words hold no ASCII character but letters and digits.
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -223,14 +224,14 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     """Per row of ``docs``: key, n_words, exact ``phrases`` with places, and fuzzy ``notices`` with word spans.
 
     Null and blank texts have no words and no notices; rows repeat as they come; an empty table gives an empty
-    result.
+    result. A result column that has the key's name gets an underscore in front.
     """
     bound_arrow_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     scanned = docs.select(F.col(key), F.col(text)).mapInArrow(
         _scan(phrases, notices, chars_per_error), f"key {kind}, n_words long, phrases {PLACES}, notices {MATCHES}"
     )
-    return scanned.withColumnRenamed("key", key)
+    return keyed(scanned, key)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

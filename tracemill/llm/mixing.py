@@ -69,41 +69,30 @@ def mix_sources(
     """Add ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` to every row.
 
     Sizes are word counts; sources are ordered by code point, null last, and null is a source of its own. A
-    source's rate is its target over its size; a row is copied ``floor(rate)`` times, and once more with the
-    fraction as probability, by hash and alike in every rerun: rows that share their size with others of the source
-    draw by the hash of their key under the seed; those alone in their size, which are the long ones, share one
-    draw per source, spaced evenly by size, so that their sum stays near its mean. Rows that repeat key and text are
-    drawn alike. Null texts and null keys count as any other (size 0; one draw for all null keys). An empty table
-    gives an empty result; columns of the four names are replaced, all others of ``docs`` stay.
+    source's rate is its target over its size; a row is copied ``floor(rate)`` times, and once more if the hash of
+    its key under the seed falls below the fraction, whatever the other rows are, so reruns agree. A source's sum
+    is right on the mean and strays from it as a sum of independent draws does: by long rows more than by many.
+    Rows that repeat a key are drawn alike. Null texts and null keys count as any other (size 0; one draw for all
+    null keys). An empty table gives an empty result; columns of the four names are replaced, all others of
+    ``docs`` stay.
     """
     work = Workspace(docs.sparkSession, "mixing")
     own = F.col(source).cast("string")
     named = F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit("")).alias("name"))
-    cells = docs.select(own.alias("source"), word_count(F.col(text)).alias("size")).groupBy("source", "size").agg(F.count("*").alias("rows"))
-    cells = work.table("cells", cells)
-    sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).cast("long").alias("source_size"))
+    sizes = docs.select(own.alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = work.table("rates", source_targets(sizes, weights, max_rate).withColumn("rate", rate))
-
-    # the distinct sizes of a source that one row has, in order: no more rows than there are word counts
-    fraction = F.col("rate") - F.floor("rate")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("size"))
-    alone = cells.where("rows = 1").select("source", "size", place.alias("place"))
-    spaced = F.floor(F.col("place") * fraction + F.col("start")) > F.floor((F.col("place") - 1) * fraction + F.col("start"))
-    starts = rates.select("source", "rate", _draw(F.coalesce("source", F.lit("")), seed).alias("start"))
-    same = F.col("a.source").eqNullSafe(F.col("r.source"))
-    singles = alone.alias("a").join(starts.alias("r"), same).select(F.col("a.source").alias("source"), "size", spaced.alias("taken"))
+    key_of = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
 
     rows = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    by, cell, rated, taken = (distinct_name(rows, c) for c in ("_by", "_cell", "_rate", "_taken"))
-    key_of = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    rates = rates.select(key_of.alias(by), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias(rated))
-    singles = singles.select(F.struct(key_of.alias("by"), F.col("size").alias("size")).alias(cell), F.col("taken").alias(taken))
-    rows = rows.withColumns({by: named, "mix_size": word_count(F.col(text))}).withColumn(cell, F.struct(F.col(by).alias("by"), F.col("mix_size").alias("size")))
-    found = checked_lookup(checked_lookup(rows, work.table("by-source", rates), by, F.col(key)), work.table("singles", singles), cell, F.col(key))
+    by, rated = (distinct_name(rows, c) for c in ("_by", "_rate"))
+    rates = source_targets(work.table("sizes", sizes), weights, max_rate).select(
+        key_of.alias(by), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), rate.alias(rated)
+    )
+    rows = rows.withColumns({by: named, "mix_size": word_count(F.col(text))})
+    found = checked_lookup(rows, work.table("by-source", rates), by, F.col(key))
     whole = F.floor(rated).cast("int")
-    extra = F.coalesce(F.col(taken), _draw(F.col(key), seed) < F.col(rated) - whole)
-    return found.withColumn("mix_copies", whole + extra.cast("int")).drop(by, cell, rated, taken)
+    extra = _draw(F.col(key), seed) < F.col(rated) - whole
+    return found.withColumn("mix_copies", whole + extra.cast("int")).drop(by, rated)
 
 
 def emit_copies(mixed: DataFrame, copy: str = "copy_no") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tracemill.functions.workspace import Shipped, bound_arrow_batches
 from tracemill.llm.boosting import Boosted, calibrate, fit_boosted
+from tracemill.llm.text import keyed
 
 #: The strict kinds, in the order in which spans at one place are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -311,12 +312,13 @@ def _scan(model):
 def find_personal_data(docs: DataFrame, model: PiiModel | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key and its spans with kind, place, score and whether a strict format proves it.
 
-    Null and empty texts have no spans; rows repeat as they come; an empty table gives an empty result.
+    Null and empty texts have no spans; rows repeat as they come; an empty table gives an empty result. A key
+    named ``spans`` keeps its name, and the spans are ``_spans``.
     """
     bound_arrow_batches(docs.sparkSession)
     sent = Shipped(docs.sparkSession, model or train_pii_model())
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_scan(sent), f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
+    return keyed(docs.select(F.col(key), F.col(text)).mapInArrow(_scan(sent), f"key {kind}, spans {SPANS}"), key)
 
 
 def redact(text: str, spans) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, and the letters that are lower-cased.
@@ -24,5 +24,11 @@ def word_count(text: Column) -> Column:
     return F.size(parts).cast("long") - blank - tail
 
 
+def keyed(found: DataFrame, key: str) -> DataFrame:
+    """``found`` with its first column named ``key``; a result column of that very name gets an underscore in front."""
+    first, *others = found.columns
+    return found.select(F.col(first).alias(key), *[F.col(c).alias(f"_{c}" if c == key else c) for c in others])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)

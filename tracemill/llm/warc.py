@@ -165,6 +165,14 @@ class Bytes:
     def give_back(self, n: int) -> None:
         self.at -= n
 
+    def place(self) -> int:
+        """Where in the file the next byte is."""
+        return self.file.tell() - len(self.buffer) + self.at
+
+    def go(self, place: int) -> None:
+        self.file.seek(place)
+        self.buffer, self.at = b"", 0
+
     def skip(self, n: int) -> None:
         held = len(self.buffer) - self.at
         if n <= held:
@@ -294,9 +302,9 @@ def records(file, wanted, payload: bool) -> Iterator[dict]:
         if start[:2] == b"\x1f\x8b":
             yield from member_records(source, start, wanted, payload)
         elif start.startswith(b"WARC/"):
-            place = source.file.tell() - len(source.buffer) + source.at
+            place = source.place()
             yield from block_records(source, wanted, payload)
-            if source.file.tell() - len(source.buffer) + source.at == place:
+            if source.place() == place:
                 return  # the file ends in these headers
         else:
             source.skip(1)  # stray bytes between records
@@ -323,7 +331,11 @@ def member_records(source: Bytes, start: bytes, wanted, payload: bool) -> Iterat
         header, packed, full = sizes
         for size in (header + min(packed, 2048), header + packed):
             member = Member(Bytes(io.BytesIO(source.peek(size))))
-            if (end := head_end(member)) is None:
+            try:
+                end = head_end(member)
+            except zlib.error:
+                break
+            if end is None:
                 continue
             fields = parse_headers(member.take(end)[:-4])
             row = header_row(fields)
@@ -337,9 +349,23 @@ def member_records(source: Bytes, start: bytes, wanted, payload: bool) -> Iterat
                 yield row
             source.skip(header + packed + 8)
             return
+    place = source.place()
     member = Member(source)
-    yield from block_records(member, wanted, payload)
-    member.finish()
+    try:
+        yield from block_records(member, wanted, payload)
+        member.finish()
+    except zlib.error:  # a damaged member; its records before the damage are told
+        source.go(place + 3)
+        next_member(source)
+
+
+def next_member(source: Bytes) -> None:
+    """Pass on to what looks like the next gzip member, or to the end."""
+    while data := source.peek(READ_BYTES):
+        if (at := data.find(b"\x1f\x8b\x08")) >= 0:
+            source.skip(at)
+            return
+        source.skip(max(1, len(data) - 2))
 
 
 def holds(f: Filter, row: dict) -> bool:
