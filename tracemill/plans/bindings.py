@@ -130,6 +130,20 @@ def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*kept).unionByName(memories(spark, sf_dir).select(*kept)).withColumn("active", F.lit(True))
 
 
+def note_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes as memories: the source is the project, the label the quality, one half without one."""
+    rated = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("rated"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").join(rated, "doc_id", "left")
+    return d.select(
+        F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"),
+        F.col("source").alias("project"),
+        "text",
+        F.col("doc_id").alias("ord"),
+        F.coalesce("rated", F.lit(0.5)).alias("quality"),
+        (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("created_at"),
+    )
+
+
 #: The same, as common table expressions.
 CTE = {
     "recalls": """recalls AS (SELECT event_id AS id, ts AS timestamp, 'p' || (user_id % 7) AS project,
@@ -161,6 +175,9 @@ CTE = {
        WHEN regexp_matches(text, '(?i)(always use|never use|never do|important:|note:|pattern:|best practice|lesson learned|rule of thumb|should always|should never)') THEN 'lesson'
        WHEN contains(text, '```') AND length(text) > 200 THEN 'snippet' ELSE 'extract' END AS mem_type
   FROM chunks WHERE role = 'assistant' AND token_count >= 15)""",
+    "note_memories": """note_memories AS (SELECT 'd:' || doc_id AS id, source AS project, text, doc_id AS ord, coalesce(rated, 0.5) AS quality,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at
+  FROM documents LEFT JOIN (SELECT doc_id, CAST(max(quality) AS DOUBLE) AS rated FROM labels GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL)""",
     "artifacts": """artifacts AS (SELECT id, kind, project, text, token_count, created_at FROM chunks
   UNION ALL SELECT id, kind, project, text, token_count, created_at FROM notes)""",
 }
