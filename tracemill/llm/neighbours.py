@@ -309,6 +309,8 @@ def search(index: Index, asked: DataFrame, work: Workspace, k: int = NEIGHBOURS)
     counts = {r["leaf"]: r["count"] for r in index.classes.groupBy("leaf").count().collect()}
     bins, sizes = bins_of(np.array([counts.get(leaf, 0) for leaf in range(index.tree.leaves)]))
     kinds = f"{_ddl(asked)}, visits array<struct<bin: int, leaves: array<int>>>"
+    # few bytes, but many steps a question: an explicit number keeps adaptive execution from walking them all in one task
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "class_id")
     walked = work.table("walked", asked.mapInArrow(_walked(_send(spark, (index.tree, bins)), index.visits), kinds))
     drawn = {r["bin"]: r["count"] for r in walked.select(F.explode("visits.bin").alias("bin")).groupBy("bin").count().collect()}
 
