@@ -24,8 +24,8 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
-    """Small Arrow batches for the session, whose executors then need less memory; what the user has set stays."""
+def bound_arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Small Arrow batches for the session, whose executors then need less memory beside the heap; what the user has set stays."""
     if int(spark.conf.get(ARROW_ROWS, "10000")) == 10000:
         spark.conf.set(ARROW_ROWS, str(rows))
         spark.conf.set(ARROW_BYTES, str(size))
@@ -132,8 +132,8 @@ def spread_lookup(
     """Join ``rows`` with a table of one row per key, splitting only keys with more than ``per_part`` rows.
 
     Keys are counted first (the counts combine before their shuffle). The hot ones, at most one per ``per_part``
-    rows, are broadcast; only their rows draw a salt and only their table rows are repeated. ``rows`` should be
-    written or otherwise cheap to read twice.
+    rows, are counted too: up to ``MAX_BROADCAST_ROWS`` of them are broadcast, more are joined. Only their rows draw
+    a salt and only their table rows are repeated. ``rows`` should be written or otherwise cheap to read twice.
     """
     parts, salt = distinct_name(rows, "_parts"), distinct_name(rows, "_salt")
     hot = (
@@ -142,9 +142,10 @@ def spread_lookup(
         .where(F.col(parts) > per_part)
         .select(key, F.ceil(F.col(parts) / per_part).cast("int").alias(parts))
     )
+    hot = F.broadcast(hot) if hot.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else hot
     n = F.coalesce(F.col(parts), F.lit(1))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(parts)
-    right = table.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    left = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(parts)
+    right = table.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
     return left.join(right, [key, salt], how).drop(salt)
 
 
