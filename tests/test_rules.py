@@ -1,8 +1,11 @@
 """The engine's rules on small fixtures with answers worked out by hand or by plain Python."""
 
+import hashlib
 import json
 import math
 import random
+import re
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -172,8 +175,48 @@ def test_verdicts(spark):
     rows = spark.createDataFrame(turns, "session_id long, role string, t int, text string").withColumn("ts", F.timestamp_seconds("t"))
     served = [(1, 1, 1, 3, "Alpha beta gamma delta"), (2, 1, 1, 6, "Alpha beta gamma delta"), (3, 1, 2, 3, "Alpha beta gamma delta"), (4, 1, 3, 3, "some other words here"), (5, 1, 4, 0, "a b c d"), (6, 1, 1, 3, "")]
     pending = spark.createDataFrame(served, "recall_id long, artifact_id long, session_id long, s int, text string").withColumn("since", F.timestamp_seconds("s"))
+    got = {r["recall_id"]: (r["outcome"], r["method"]) for r in evaluation.feedback_verdicts(pending, rows, semantic=False).collect()}
+    # nobody answered in session 4, so what it was served is unused; an empty text stays pending, and so would a silent session
+    assert got == {1: ("used", "ngram"), 2: ("unused", ""), 3: ("rejected", "phrase"), 4: ("unused", ""), 5: ("unused", "")}
+    silent = pending.withColumn("session_id", F.lit(99).cast("long"))
+    assert evaluation.feedback_verdicts(silent, rows).count() == 0
+
+
+def test_verdicts_equal_a_walk_over_later_answers(spark):
+    pick = random.Random(8)
+    words = ["the", "cache", "uses", "a", "lock", "per", "key", "and", "retries", "it"]
+    line = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    start = datetime(2024, 1, 1)
+    turns = [(k % 3, pick.choice(["user", "assistant", "assistant", "system"]), None if k % 11 == 0 else start + timedelta(hours=pick.randrange(80)), pick.choice([line(9), line(4) + "\n" + line(5), line(5) + "  " + line(3), ""])) for k in range(60)]
+    served = [(k, 1, k % 4, start + timedelta(hours=pick.randrange(80)), pick.choice([line(4), line(7).title(), line(3), "other words stand here entirely"])) for k in range(80)]
+    rows = spark.createDataFrame(turns, "session_id long, role string, ts timestamp, text string")
+    pending = spark.createDataFrame(served, "recall_id long, artifact_id long, session_id long, since timestamp, text string")
     got = {r["recall_id"]: (r["outcome"], r["method"]) for r in evaluation.feedback_verdicts(pending, rows).collect()}
-    assert got == {1: ("used", "ngram"), 2: ("unused", ""), 3: ("rejected", "phrase"), 4: ("unused", "")}
+
+    def bag(text):
+        counts = [0] * 16
+        for t in re.split("[^a-z0-9_]+", text.lower()):
+            if t:
+                counts[int(hashlib.sha256(t.encode()).hexdigest()[-1], 16)] += 1
+        return counts
+
+    want = {}
+    for k, _, session, since, text in served:
+        after = [t.lower() for s, role, ts, t in turns if s == session and role == "assistant" and (ts is None or ts >= since)]
+        if session == 3:
+            continue  # it says nothing at all
+        own = text.lower().split()
+        grams = [" ".join(own[i : i + 3]) for i in range(len(own) - 2)]
+        hits = sum(any(g in t for t in after) for g in grams)
+        a, b = bag(text), bag(" ".join(after))
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        if len(own) >= 4 and hits >= max(1, math.ceil(len(grams) * 0.1)):
+            want[k] = ("used", "ngram")
+        elif len(own) >= 4 and norm and round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 9) >= 0.45:
+            want[k] = ("used", "semantic")
+        else:
+            want[k] = ("unused", "")
+    assert got == want and len(set(want.values())) == 3
 
 
 def test_ranking_metrics(spark):
@@ -261,9 +304,12 @@ def test_transcripts(spark, tmp_path):
     assert transcripts.scan(spark, str(tmp_path), seen).count() == 0
     wire = [{"timestamp": 1.5, "message": {"type": "TurnBegin", "payload": {"user_input": "please look at the failing test of the day"}}}, {"message": {"type": "Other"}},
             {"timestamp": 2.5, "message": {"type": "ContentPart", "payload": {"type": "text", "text": "The root cause was a missing import here."}}}, {"message": {"type": "ContentPart", "payload": {"type": "think"}}}]
+    blocks = [{"type": "text", "text": "please fix the reader of long lines"}, {"type": "image_url", "image_url": {"url": "data:base64,AAAA"}}, "and its tests too", {"type": "text", "text": 7}]
+    wire += [{"timestamp": 3.5, "message": {"type": "TurnBegin", "payload": {"user_input": blocks}}}, {"message": {"type": "TurnBegin", "payload": {"user_input": {"no": "list"}}}}]
     (home / "w.txt").write_text("\n".join([*map(json.dumps, wire), "{broken"]))
     found = transcripts.parse_wire(transcripts.scan(spark, str(tmp_path)).where("session_id = 'w'")).collect()
-    assert sorted((r["ord"], r["role"]) for r in found) == [(0, "user"), (2, "assistant")]
+    assert sorted((r["ord"], r["role"]) for r in found) == [(0, "user"), (2, "assistant"), (4, "user")]
+    assert [r["text"] for r in found if r["ord"] == 4] == ["please fix the reader of long lines\nand its tests too"]
 
 
 def test_merge_journal_and_projects(spark):

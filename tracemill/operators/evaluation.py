@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.retrieval import dot, hash_counts, normalized
+
 
 #: Phrases with which a user rejects, and an assistant contradicts, what was recalled.
 REJECTIONS = (
@@ -20,43 +22,89 @@ CONTRADICTIONS = (
 )
 
 
+#: Least words of a text that can be used, the share of its trigrams that shows it, and the least likeness.
+MIN_WORDS, MATCH_SHARE, SEMANTIC = 4, 0.1, 0.45
+HEX = "0123456789abcdef"
+
+
 def says_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, p: a | text.contains(p), phrases, F.lit(False))
 
 
-def feedback_verdicts(pending: DataFrame, turns: DataFrame) -> DataFrame:
+def later_bags(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(recall_id, artifact_id, bag) per row of (recall_id, artifact_id, session_id, since): summed word counts of later answers.
+
+    answers: session_id, at, counts (an array of one length). Counts add up, so every row needs one running sum and no
+    pair with an answer: sums of days are added up per session, and only a day's rows are put in order in one place.
+    """
+    size = len(HEX)
+    parts = lambda prefix: [F.col(f"{prefix}{k}") for k in range(size)]
+    said = answers.select("session_id", F.col("at").alias("t"), F.lit(0).alias("asks"), *[F.get("counts", F.lit(k)).cast("long").alias(f"c{k}") for k in range(size)])
+    points = asked.select("session_id", F.col("since").alias("t"), F.lit(1).alias("asks"), *[F.lit(0).cast("long").alias(f"c{k}") for k in range(size)]).distinct()
+    rows = said.unionByName(points).withColumn("day", F.to_date("t"))
+    days = rows.groupBy("session_id", "day").agg(*[F.sum(c).alias(f"d{k}") for k, c in enumerate(parts("c"))])
+    after = Window.partitionBy("session_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("session_id", "day", *[F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"d{k}") for k, c in enumerate(parts("d"))])
+    within = Window.partitionBy("session_id", "day").orderBy(F.desc("t"))  # with its peers: answers of the same time count
+    sums = rows.select("session_id", "day", "t", "asks", *[F.sum(c).over(within).alias(f"w{k}") for k, c in enumerate(parts("c"))]).where("asks = 1")
+    bags = sums.join(days, ["session_id", "day"]).select("session_id", F.col("t").alias("since"), F.array(*[w + d for w, d in zip(parts("w"), parts("d"), strict=True)]).alias("bag"))
+    return asked.select("recall_id", "artifact_id", "session_id", "since").join(bags, ["session_id", "since"]).drop("session_id", "since")
+
+
+def phrases_used(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(recall_id, artifact_id) whose text (of four words or more) has a tenth of its word trigrams in later answers.
+
+    asked: recall_id, artifact_id, session_id, since, text; answers: session_id, at, answer, lower-cased. A trigram
+    stands in a text if its middle word stands between two spaces there, after its first and before its last. So
+    answers are cut at spaces and kept once per session with the latest time, and meet the trigrams on the middle
+    word and the letters beside it: no answer is held against every recall.
+    """
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    rows = asked.withColumn("w", w).where(F.size("w") >= MIN_WORDS)
+    word = lambda k: F.get("w", F.col("i") + k)
+    ours = rows.select("recall_id", "artifact_id", "session_id", "since", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i"))
+    ours = ours.select("recall_id", "artifact_id", "session_id", "since", (F.size("w") - 2).alias("n"), "i", word(0).alias("a"), word(1).alias("b"), word(2).alias("c"))
+    ours = ours.withColumns({"x": F.right("a", F.lit(1)), "y": F.left("c", F.lit(1))})
+    cut = answers.select("session_id", "at", F.split("answer", " ").alias("s")).where(F.size("s") >= 3)
+    token = lambda k: F.get("s", F.col("j") + k)
+    theirs = cut.select("session_id", "at", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 3)).alias("j")).select("session_id", "at", token(0).alias("p"), token(1).alias("b"), token(2).alias("q"))
+    theirs = theirs.where("p <> '' AND b <> '' AND q <> ''").groupBy("session_id", "p", "b", "q").agg(F.max("at").alias("at"))
+    theirs = theirs.withColumns({"x": F.right("p", F.lit(1)), "y": F.left("q", F.lit(1))})
+    met = ours.join(theirs, ["session_id", "b", "x", "y"]).where((F.col("at") >= F.col("since")) & F.col("p").endswith(F.col("a")) & F.col("q").startswith(F.col("c")))
+    found = met.groupBy("recall_id", "artifact_id", "n").agg(F.countDistinct("i").alias("found"))
+    return found.where(F.col("found") >= F.greatest(F.lit(1), F.ceil(F.col("n") * MATCH_SHARE))).select("recall_id", "artifact_id")
+
+
+def feedback_verdicts(pending: DataFrame, turns: DataFrame, semantic: bool = True) -> DataFrame:
     """(recall_id, artifact_id, outcome, method) of pending verdicts (recall_id, artifact_id, session_id, since, text).
 
     Only turns (session_id, role, ts, text) of the recall's session at or after it count; turns without a time
-    always do. A rejection by the user or a contradiction by the assistant outranks use; use is shared word
-    trigrams with what the assistant wrote. Rejections and contradictions are looked up by the last time that a
-    session holds one, so only use compares texts: each pending row with the assistant's turns of its session.
+    always do. A rejection by the user or a contradiction by the assistant outranks use. Use is shared word trigrams
+    with what the assistant wrote, or else the likeness of the memory to all of that together. What was served and
+    not used is unused, also where nobody answered; rows stay pending only if their session says nothing at all, or
+    their text is empty.
     """
-    lower = turns.withColumn("text", F.lower(F.col("text")))
+    lower = turns.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull()).withColumn("text", F.lower(F.col("text")))
     endless = F.coalesce("ts", F.to_timestamp(F.lit("9999-01-01 00:00:00")))
     last = lower.groupBy("session_id").agg(
         F.max(F.when((F.col("role") == "user") & says_any(F.col("text"), REJECTIONS), endless)).alias("rejected"),
         F.max(F.when((F.col("role") == "assistant") & says_any(F.col("text"), CONTRADICTIONS), endless)).alias("contradicted"),
-        F.max(F.when(F.col("role") == "assistant", endless)).alias("said"),
     )
     asked = pending.where(F.coalesce("text", F.lit("")) != "")
-    answers = lower.where("role = 'assistant'").select("session_id", F.col("ts").alias("at"), F.col("text").alias("answer"))
-    later = asked.join(answers, "session_id").where(F.col("at").isNull() | (F.col("at") >= F.col("since")))
-    # trigrams are numbered, so what several turns hold together counts each once
-    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    held = F.filter(F.transform(grams, lambda g, i: F.when(F.col("answer").contains(g), i)), lambda i: i.isNotNull())
-    used = (
-        later.withColumn("w", w).where(F.size("w") >= 4)
-        .select("recall_id", "artifact_id", (F.size("w") - 2).alias("n"), F.explode(held).alias("gram"))
-        .groupBy("recall_id", "artifact_id", "n").agg(F.countDistinct("gram").alias("found"))
-        .where(F.col("found") >= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))).select("recall_id", "artifact_id", F.lit(True).alias("used"))
-    )
-    rows = asked.join(last, "session_id", "left").join(used, ["recall_id", "artifact_id"], "left")
-    against = F.coalesce((F.col("rejected") >= F.col("since")) | (F.col("contradicted") >= F.col("since")), F.col("rejected") >= F.col("since"), F.col("contradicted") >= F.col("since"), F.lit(False))
-    outcome = F.when(against, "rejected").when(F.col("used"), "used").otherwise("unused")
-    method = F.when(against, "phrase").when(F.col("used"), "ngram").otherwise("")
-    return rows.where("said IS NOT NULL OR rejected IS NOT NULL").select("recall_id", "artifact_id", outcome.alias("outcome"), method.alias("method"))
+    answers = lower.where("role = 'assistant'").select("session_id", endless.alias("at"), F.col("text").alias("answer"))
+    used = phrases_used(asked, answers).withColumn("used", F.lit(True))
+    rows = asked.join(last, "session_id").join(used, ["recall_id", "artifact_id"], "left")
+    alike = F.lit(False)
+    if semantic:
+        bags = later_bags(asked, answers.select("session_id", "at", hash_counts(F.col("answer")).alias("counts")))
+        rows = rows.join(bags, ["recall_id", "artifact_id"], "left").withColumn("_own", normalized(hash_counts(F.col("text"))))
+        words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+        near = F.round(dot(F.col("_own"), normalized(F.col("bag"))), 9) >= SEMANTIC
+        alike = F.coalesce((words >= MIN_WORDS) & near, F.lit(False))
+    against = F.coalesce(F.col("rejected") >= F.col("since"), F.lit(False)) | F.coalesce(F.col("contradicted") >= F.col("since"), F.lit(False))
+    outcome = F.when(against, "rejected").when(F.col("used") | alike, "used").otherwise("unused")
+    method = F.when(against, "phrase").when(F.col("used"), "ngram").when(alike, "semantic").otherwise("")
+    return rows.select("recall_id", "artifact_id", outcome.alias("outcome"), method.alias("method"))
 
 
 def ranking_metrics(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.operators import evaluation as V
 from tracemill.plans import bindings as B
 from tracemill.plans import retrieval_queries as R
+from tracemill.plans import upkeep_queries as U_SQL
 
 
 def verdicts(s, d):
@@ -72,11 +73,13 @@ j AS (SELECT p.id, p.w, t.role, lower(t.text) AS said, {_REJECT} AS rej, {_CONTR
 f AS (SELECT id, bool_or(role = 'user' AND rej) AS rejected, bool_or(role = 'assistant' AND con) AS contradicted FROM j GROUP BY id),
 g AS (SELECT id, len(any_value(w)) - 2 AS n, count(DISTINCT k) AS found FROM (SELECT id, w, k, said FROM (SELECT id, w, said, unnest(range(1, len(w) - 1)) AS k FROM j WHERE role = 'assistant' AND len(w) >= 4)
   WHERE contains(said, array_to_string(w[k:k + 2], ' '))) GROUP BY id),
-talk AS (SELECT session_id FROM chunks t WHERE role = 'assistant' OR (role = 'user' AND {_REJECT}) GROUP BY 1),
-o AS (SELECT p.id, coalesce(rejected, false) OR coalesce(contradicted, false) AS against, coalesce(found >= greatest(1, ceil(n * 0.1)), false) AS used
-  FROM p JOIN talk USING (session_id) LEFT JOIN f USING (id) LEFT JOIN g USING (id))
-SELECT id AS recall_id, id AS artifact_id, CASE WHEN against THEN 'rejected' WHEN used THEN 'used' ELSE 'unused' END AS outcome,
-  CASE WHEN against THEN 'phrase' WHEN used THEN 'ngram' ELSE '' END AS method FROM o"""),
+v AS (SELECT id, n, {U_SQL._VEC.format('du')} AS u, {U_SQL._VEC.format('da')} AS a FROM (SELECT p.id, any_value(len(p.w)) AS n, any_value({U_SQL._DIGITS.format("array_to_string(p.w, ' ')")}) AS du,
+  {U_SQL._DIGITS.format("string_agg(j.said, ' ')")} AS da FROM p JOIN j USING (id) WHERE j.role = 'assistant' GROUP BY p.id)),
+x AS (SELECT id, n >= 4 AND round(coalesce(list_sum(list_transform(range(1, 17), lambda i: u[i] * a[i])) / nullif(sqrt(list_sum(list_transform(u, lambda k: k * k))) * sqrt(list_sum(list_transform(a, lambda k: k * k))), 0), 0), 9) >= 0.45 AS alike FROM v),
+o AS (SELECT p.id, coalesce(rejected, false) OR coalesce(contradicted, false) AS against, coalesce(found >= greatest(1, ceil(n * 0.1)), false) AS used, coalesce(alike, false) AS alike
+  FROM p LEFT JOIN f USING (id) LEFT JOIN g USING (id) LEFT JOIN x USING (id))
+SELECT id AS recall_id, id AS artifact_id, CASE WHEN against THEN 'rejected' WHEN used OR alike THEN 'used' ELSE 'unused' END AS outcome,
+  CASE WHEN against THEN 'phrase' WHEN used THEN 'ngram' WHEN alike THEN 'semantic' ELSE '' END AS method FROM o"""),
     "ranking_metrics": B.with_tables("chunks", f", {_METRICS} SELECT query_id, recall, ndcg FROM metrics WHERE strategy = 'dense'"),
     "eval_suite": B.with_tables("chunks", f""", {_METRICS}, sent AS (SELECT strategy, query_id, sum(token_count) AS tokens_sent
   FROM (SELECT 'dense' AS strategy, query_id, id, rank FROM dense UNION ALL SELECT 'lexical', query_id, id, rank FROM lexical) JOIN chunks USING (id) WHERE rank <= 10 GROUP BY ALL),

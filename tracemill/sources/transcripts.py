@@ -86,13 +86,25 @@ def parse_transcripts(lines: DataFrame, filter_noise: bool = True) -> DataFrame:
     return as_chunks(rows, "transcript", filter_noise)
 
 
+def input_text(value: Column) -> Column:
+    """What a user typed: a string, or the strings and text blocks of a list by line, without images and empty parts; else ''."""
+    typed = F.schema_of_variant(value)
+    text = lambda b: F.try_variant_get(b, "$.text", "variant")
+    block = lambda b: F.when(F.schema_of_variant(b) == "STRING", b.cast("string")).when(
+        (F.try_variant_get(b, "$.type", "string") == "text") & (F.schema_of_variant(text(b)) == "STRING"), F.try_variant_get(b, "$.text", "string")
+    )
+    listed = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), block), lambda t: F.coalesce(t, F.lit("")) != "")
+    return F.when(typed == "STRING", value.cast("string")).otherwise(F.coalesce(F.array_join(listed, "\n"), F.lit("")))
+
+
 def parse_wire(lines: DataFrame, filter_noise: bool = True) -> DataFrame:
     """Chunks of a wire log: ``TurnBegin`` is the user, a text ``ContentPart`` the assistant; other and malformed lines go."""
     rows = lines.withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL")
     get = lambda path: F.try_variant_get("v", path, "string")
     kind = get("$.message.type")
     role = F.when(kind == "TurnBegin", "user").when((kind == "ContentPart") & (get("$.message.payload.type") == "text"), "assistant")
-    text = F.when(kind == "TurnBegin", get("$.message.payload.user_input")).otherwise(get("$.message.payload.text"))
+    given = F.try_variant_get("v", "$.message.payload.user_input", "variant")
+    text = F.when(kind == "TurnBegin", input_text(given)).otherwise(get("$.message.payload.text"))
     at = F.timestamp_seconds(F.try_variant_get("v", "$.timestamp", "double"))
     return as_chunks(rows.select("session_id", "project", "ord", role.alias("role"), text.alias("text"), at.alias("ts")).where("role IS NOT NULL AND text IS NOT NULL"), "wire", filter_noise)
 
