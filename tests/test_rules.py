@@ -322,16 +322,56 @@ def test_merge_journal_and_projects(spark):
     assert {r["session_id"]: r["project"] for r in transcripts.path_project(asked, paths).collect()} == {"1": "app", "2": "tool", "3": None}
 
 
-def test_streamed_sessions_equal_batch(spark):
-    times = [(1, 0), (1, 10), (1, 500), (2, 3), (1, 505), (2, 900)]
-    events = spark.createDataFrame(times, "session_id long, t long").select("session_id", F.timestamp_seconds("t").alias("ts"))
-    work, found = Workspace(spark, "test"), []
-    stream = sessions.stream_of(spark, events, work, "events", files=1)
-    sessions.run_available(sessions.sessions_by_gap(stream, 100.0), work, "s", "update", lambda batch, n: found.extend(batch.collect()))
-    last = {}
-    for r in found:
-        last[r["session_id"], r["session_no"]] = max(last.get((r["session_id"], r["session_no"]), 0), r["events"])
-    assert last == {(1, 0): 2, (1, 1): 2, (2, 0): 1, (2, 1): 1}
+def arriving(spark, frame, work, name, pieces):
+    """A stream of one file a batch, the files in the order of ``pieces``."""
+    for piece in pieces:
+        spark.createDataFrame(piece, frame).coalesce(1).write.mode("append").parquet(work.path(name))
+    return spark.readStream.schema(frame).option("maxFilesPerTrigger", 1).parquet(work.path(name))
+
+
+def test_streamed_sessions_in_any_order_equal_runs_of_time(spark):
+    pick = random.Random(3)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [(pick.randrange(4), at(pick.randrange(3000))) for _ in range(160)] + [(7, at(100)), (7, at(130)), (7, at(161))]
+    shuffled = sorted(rows, key=lambda r: r[1] + timedelta(minutes=pick.randrange(300)))  # up to five hours late
+    end = [(-1, at(100_000))]
+    pieces = [shuffled[i : i + 30] for i in range(0, len(shuffled), 30)] + [end, [(0, at(5))]]  # the last comes far too late
+    work = Workspace(spark, "t-sessions")
+    stream = arriving(spark, "session_id long, ts timestamp", work, "events", pieces)
+    found = sessions.run_appended(sessions.sessions_by_gap(stream, 1800.0, "6 hours"), work, "runs").where("session_id >= 0").collect()
+    want = []
+    for key in sorted({k for k, _ in rows}):
+        run = []
+        for t in sorted(t for k, t in rows if k == key):
+            if run and t - run[-1] > timedelta(minutes=30):
+                want.append((key, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+        want.append((key, run[0], run[-1], len(run)))
+    assert sorted(map(tuple, found)) == sorted(want) and (7, at(100), at(130), 2) in want
+
+
+def test_session_context_in_any_order_equals_the_batch_form(spark):
+    pick = random.Random(6)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [(pick.randrange(3), at(m), f"q{m:03d}", f"question {m}", pick.random() < 0.6, pick.sample(["a", "b", "c", "d", "e"], pick.randrange(4))) for m in pick.sample(range(600), 60)]
+    shuffled = sorted(rows, key=lambda r: r[1] + timedelta(minutes=pick.randrange(200)))
+    kind = "session_id long, ts timestamp, id string, query string, sparse boolean, hits array<string>"
+    pieces = [shuffled[i : i + 13] for i in range(0, len(shuffled), 13)] + [[(None, at(3), "none", "x", True, ["a"]), (-1, at(50_000), None, None, None, None)]]
+    work = Workspace(spark, "t-context")
+    with sessions.rocks_state(spark):
+        found = sessions.run_appended(sessions.session_context(arriving(spark, kind, work, "asked", pieces), "5 hours"), work, "context").where("session_id >= 0")
+    got = {r["id"]: (r["session_id"], r["enriched"], sorted(r["fresh"]), r["known"]) for r in found.collect()}
+    batch = {r["id"]: (r["session_id"], r["enriched"], sorted(r["fresh"]), r["known"]) for r in sessions.session_context_batch(spark.createDataFrame(rows, kind)).collect()}
+    want = {}
+    for key in range(3):
+        asked, served = [], set()
+        for _, _, own, query, sparse, hits in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            fresh = [h for h in hits if h not in served]
+            want[own] = (key, " | ".join([*asked[-2:], query]) if sparse else query, sorted(fresh), len(hits) - len(fresh))
+            asked.append(query)
+            served |= set(fresh)
+    assert batch == want and got == want
 
 
 def test_spread_lookup_and_components(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.workspace import Workspace
@@ -9,8 +10,10 @@ from tracemill.operators import compress as P
 from tracemill.operators import curation as C
 from tracemill.operators import distill as D
 from tracemill.operators.retrieval import embed
+from tracemill.operators.upkeep import SPARSE
 from tracemill.plans import bindings as B
 from tracemill.plans import curation_queries as C_SQL
+from tracemill.plans import upkeep_queries as U_SQL
 from tracemill.sources import transcripts as T
 from tracemill.streaming import sessions as S
 
@@ -73,33 +76,42 @@ def _events(s, d):
     return B.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value", F.col("user_id").alias("session_id"), "event_id")
 
 
-def streamed_counts(s, d):
-    work, found = Workspace(s, "stream"), {}
-    stream = S.window_counts(S.stream_of(s, _events(s, d).select("ts", "kind", "value"), work, "events"), "1 day", "3650 days")
+def _arriving(s, frame, work, name, files=6):
+    """Rows as a stream of small batches: in time order but for up to a day, and a last row far ahead that lets all before it be told."""
+    late = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.xxhash64(*frame.columns), F.lit(1440)).cast("int"))
+    end = frame.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    last = end.select(*[F.col("ts") if c == "ts" else F.lit(-1 if c == "session_id" else None).cast(frame.schema[c].dataType).alias(c) for c in frame.columns])
+    return S.stream_of(s, frame.unionByName(last), work, name, files, late, 1)
 
-    def keep(batch, number):
-        found["table"] = work.table(f"counts-{number}", batch)
 
-    S.run_available(stream, work, "counts", "complete", keep)
-    return found["table"].select(F.col("start").cast("string").alias("start"), "kind", "events", F.round("total", 4).alias("total"))
+def streamed_counts(s, d):
+    work = Workspace(s, "stream")
+    stream = S.window_counts(_arriving(s, _events(s, d).select("ts", "kind", "value"), work, "events"), "1 day", "2 days")
+    found = S.run_appended(stream, work, "counts").where("kind IS NOT NULL")
+    return found.select(F.col("start").cast("string").alias("start"), "kind", "events", F.round("total", 4).alias("total"))
 
 
 def streamed_sessions(s, d):
-    """Sessions of the users' events in time order, one batch per day range, as the last version of each."""
+    """Sessions of the users' events, told as they close."""
     work = Workspace(s, "stream")
-    e = _events(s, d).select("session_id", "ts")
-    stream = S.stream_of(s, e, work, "events", files=1)
-    found = []
+    stream = S.sessions_by_gap(_arriving(s, _events(s, d).select("session_id", "ts"), work, "events"), 86400.0, "2 days")
+    found = S.run_appended(stream, work, "sessions").where("session_id >= 0")
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("first_at")) - 1
+    return found.select("session_id", number.cast("long").alias("session_no"), "events")
 
-    def keep(batch, number):
-        found.append(work.table(f"sessions-{number}", batch))
 
-    S.run_available(S.sessions_by_gap(stream, 86400.0), work, "sessions", "update", keep)
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    best = rows.groupBy("session_id", "session_no").agg(F.max(F.struct("events", "first_at", "last_at")).alias("v"))
-    return best.select("session_id", "session_no", "v.events")
+def questions(s, d):
+    """User turns as questions of their session; what they were served is a few ids made from turn and text."""
+    c = B.chunks(s, d).where("role = 'user'")
+    hits = F.array(F.concat(F.lit("a"), (F.length("text") % 3).cast("string")), F.concat(F.lit("b"), (F.col("ord") % 4).cast("string")))
+    return c.select("session_id", F.col("created_at").alias("ts"), "id", F.col("text").alias("query"), (C.complexity(F.col("text")) < SPARSE).alias("sparse"), hits.alias("hits"))
+
+
+def streamed_context(s, d):
+    work = Workspace(s, "stream")
+    with S.rocks_state(s):
+        found = S.run_appended(S.session_context(_arriving(s, questions(s, d), work, "questions"), "2 days"), work, "context")
+    return found.where("session_id >= 0").select("id", F.sha2("enriched", 256).alias("enriched_sha256"), F.array_join(F.sort_array("fresh"), ",").alias("fresh"), "known")
 
 
 def streamed_upsert(s, d):
@@ -124,6 +136,7 @@ QUERIES = {
     "stream_window_counts": streamed_counts,
     "stream_sessions": streamed_sessions,
     "stream_upsert": streamed_upsert,
+    "stream_context": streamed_context,
 }
 
 _NOISE, _SIGNAL = C_SQL.NOISE_SQL, C_SQL.CUE_SQL
@@ -157,5 +170,10 @@ SELECT session_id, id, ord FROM t WHERE total <= 500 UNION ALL SELECT session_id
     "stream_window_counts": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
     "stream_sessions": """SELECT user_id AS session_id, no AS session_no, count(*) AS events FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS no
   FROM (SELECT user_id, ts, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 86400000000)::INT, 0) AS fresh FROM events)) GROUP BY ALL""",
+    "stream_context": B.with_tables("chunks", rf""", q AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, lag(text, 2) OVER w AS b2, lag(text, 1) OVER w AS b1 FROM chunks WHERE role = 'user'
+  WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)), m AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::DOUBLE AS n FROM q),
+h AS (SELECT session_id, id, hit, row_number() OVER (PARTITION BY session_id, hit ORDER BY created_at, id) AS k FROM (SELECT session_id, id, created_at, unnest(['a' || (length(text) % 3), 'b' || (ord % 4)]) AS hit FROM chunks WHERE role = 'user')),
+g AS (SELECT id, coalesce(string_agg(hit, ',' ORDER BY hit) FILTER (WHERE k = 1), '') AS fresh, count(*) FILTER (WHERE k > 1) AS known FROM h GROUP BY id)
+SELECT id, sha256(CASE WHEN {U_SQL._COMPLEX} >= 0.35 THEN text ELSE concat_ws(' | ', b2, b1, text) END) AS enriched_sha256, fresh, known FROM m JOIN g USING (id)"""),
     "stream_upsert": "SELECT user_id AS session_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1",
 }
