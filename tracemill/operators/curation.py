@@ -43,6 +43,8 @@ SECRETS = {
 #: Tokens of this shape whose entropy reaches the threshold count as secrets too.
 ENTROPY_TOKEN, ENTROPY_THRESHOLD = r"[A-Za-z0-9_/+\-]{20,}", 4.0
 PLACEHOLDER = "[REDACTED]"
+#: Words of which the general pattern needs one.
+KEY_WORDS = ("key", "token", "secret", "password")
 
 
 def strip_reminders(text: Column) -> Column:
@@ -99,11 +101,23 @@ def _named(kind: str):
 def secrets(text: Column) -> Column:
     """array<struct<kind, match>> in order of the patterns, then tokens of high entropy that no match before holds."""
     body = F.coalesce(text, F.lit(""))
-    named = [
-        F.transform(F.regexp_extract_all(body, F.lit(p), F.lit(g)), _named(k))
-        for k, (p, g) in SECRETS.items()
-    ]
-    dense = F.filter(F.regexp_extract_all(body, F.lit(ENTROPY_TOKEN), F.lit(0)), lambda t: entropy(t) >= ENTROPY_THRESHOLD)
+    # a run starts where none of its characters stands before, so the search passes on at once inside words
+    tokens = F.regexp_extract_all(body, F.lit(rf"(?<!{ENTROPY_TOKEN.removesuffix('{20,}')}){ENTROPY_TOKEN}"), F.lit(0))
+    none = F.array().cast("array<string>")
+    lower = F.lower(body)
+    # what a match of a dear pattern can't be without, found by plain search
+    needs = {
+        "aws_secret": F.exists(tokens, lambda t: F.length(t) >= 40),
+        "connection_string": body.contains("://"),
+        "generic_key": reduce(lambda a, w: a | lower.contains(w), KEY_WORDS[1:], lower.contains(KEY_WORDS[0])),
+    }
+    named = []
+    for kind, (pattern, group) in SECRETS.items():
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
+        named.append(F.transform(F.when(needs[kind], found).otherwise(none) if kind in needs else found, _named(kind)))
+    # as many distinct characters as the threshold asks for come before the sum over them
+    enough = lambda t: F.size(F.array_distinct(F.split(t, ""))) >= 2**ENTROPY_THRESHOLD
+    dense = F.filter(tokens, lambda t: F.when(enough(t), entropy(t) >= ENTROPY_THRESHOLD).otherwise(False))
     return F.aggregate(
         dense,
         F.concat(*named),
