@@ -14,12 +14,13 @@ from tracemill.operators.upkeep import SPARSE
 from tracemill.plans import bindings as B
 from tracemill.plans import curation_queries as C_SQL
 from tracemill.plans import upkeep_queries as U_SQL
+from tracemill.sources import incremental as N
 from tracemill.sources import transcripts as T
 from tracemill.streaming import sessions as S
 
 
-def transcript_lines(s, d):
-    """``conversations`` written as one transcript file per conversation, then scanned."""
+def transcript_records(s, d):
+    """(project, session, turn, value): ``conversations`` as the JSON records of a transcript."""
     c = B.table(s, d, "conversations")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     block = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
@@ -32,12 +33,41 @@ def transcript_lines(s, d):
     head = [F.col("role").alias("type"), own.alias("uuid"), before.alias("parentUuid"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")]
     given = F.when(F.col("turn") % 4 == 0, F.struct(F.lit("recalled context").alias("content")))
     line = F.when(F.col("role") == "assistant", F.to_json(F.struct(*head, said.alias("message")))).otherwise(F.to_json(F.struct(*head, asked.alias("message"), given.alias("attachment"))))
-    rows = c.select(F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.col("conv_id").alias("session"), "turn", line.alias("value"))
+    return c.select(F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.col("conv_id").alias("session"), "turn", line.alias("value"))
+
+
+def write_transcripts(rows, home):
+    """Records as one folder a session; sessions that are written again are replaced, others stay."""
+    dealt = rows.repartition("project", "session").sortWithinPartitions("project", "session", "turn").drop("turn")
+    dealt.write.partitionBy("project", "session").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(home)
+
+
+def transcript_lines(s, d):
+    """``conversations`` written as one transcript file per conversation, then scanned."""
     home = Workspace(s, "transcripts").path("files")
-    rows.repartition("project", "session").sortWithinPartitions("project", "session", "turn").drop("turn").write.partitionBy("project", "session").text(home)
+    write_transcripts(transcript_records(s, d), home)
     return T.scan(s, home)
 
 
+CHUNK = "session_id string, project string, id string, kind string, source string, ord long, role string, text string, token_count long, created_at timestamp"
+
+
+def incremental(s, d):
+    """The same transcripts in three cycles: openings with a broken line, then whole sessions where they go on, then nothing new."""
+    work = Workspace(s, "incremental")
+    rows, files, home = transcript_records(s, d), work.path("files"), work.path("home")
+    opening = rows.where("turn < 2")
+    write_transcripts(opening.unionByName(opening.where("turn = 0").select("project", "session", F.lit(1000).cast("long").alias("turn"), F.lit("{broken").alias("value"))), files)
+    N.ingest_cycle(s, files, home)
+    longer = rows.groupBy("project", "session").agg(F.max("turn").alias("last")).where("last >= 2").select("project", "session")
+    write_transcripts(rows.join(longer, ["project", "session"], "left_semi"), files)
+    N.ingest_cycle(s, files, home)
+    N.ingest_cycle(s, files, home)
+    found, dead = N.ingested(s, home, CHUNK), N.dead_letters(s, home)
+    broken = dead.groupBy(F.regexp_extract("unit", "session=([^/]+)$", 1).alias("session_id")).agg(F.count("*").alias("broken"))
+    return found.join(broken, "session_id", "left").select("id", "project", "role", F.sha2("text", 256).alias("text_sha256"), F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
+
+
 def ingested(s, d):
     found = T.parse_transcripts(transcript_lines(s, d))
     return found.select("id", "project", "role", "token_count", "created_at", F.sha2("text", 256).alias("text_sha256"))
@@ -123,6 +153,7 @@ def streamed_upsert(s, d):
 
 QUERIES = {
     "transcript_ingest": ingested,
+    "incremental_ingest": incremental,
     "session_usage": lambda s, d: T.session_usage(transcript_lines(s, d)).select("session_id", "project", "assistant_turns", "input_tokens", "output_tokens", "cache_read_tokens", "tool_calls", "recall_turns"),
     "compress_logs": lambda s, d: P.compress_logs(payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
     "compress_text": lambda s, d: P.compress_texts(payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
@@ -140,13 +171,16 @@ QUERIES = {
 }
 
 _NOISE, _SIGNAL = C_SQL.NOISE_SQL, C_SQL.CUE_SQL
-ORACLE_SQL = {
-    "transcript_ingest": f"""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS sid, 'p' || (conv_id % 5) AS project, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, turn, conv_id, role,
+_INGEST = f"""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS sid, 'p' || (conv_id % 5) AS project, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, turn, conv_id, role,
   regexp_replace(trim(regexp_replace(coalesce(text, ''), '(?s)<system-reminder>.*?</system-reminder>', '', 'g')), '^$', '') AS text FROM conversations),
 u AS (SELECT *, row_number() OVER (PARTITION BY sid, text ORDER BY ord) AS copy, greatest(1, length(text) // 4) AS token_count FROM r WHERE role IN ('user', 'assistant') AND text <> ''),
 s AS (SELECT *, {_SIGNAL} + CASE WHEN contains(text, '```') AND token_count >= 40 THEN 1.0::DOUBLE ELSE 0.0 END AS cues FROM u WHERE copy = 1)
 SELECT sid || ':' || ord AS id, project, role, token_count, to_timestamp(1704067200 + conv_id * 3600 + turn * 60) AT TIME ZONE 'UTC' AS created_at, sha256(text) AS text_sha256 FROM s
-WHERE NOT {_NOISE} AND CASE WHEN role = 'user' THEN token_count >= 6 ELSE cues > 0 OR token_count >= 100 END""",
+WHERE NOT {_NOISE} AND CASE WHEN role = 'user' THEN token_count >= 6 ELSE cues > 0 OR token_count >= 100 END"""
+ORACLE_SQL = {
+    "transcript_ingest": _INGEST,
+    "incremental_ingest": _INGEST.replace("token_count, to_timestamp(1704067200 + conv_id * 3600 + turn * 60) AT TIME ZONE 'UTC' AS created_at, sha256(text) AS text_sha256",
+        "sha256(text) AS text_sha256, ((SELECT max(turn) FROM conversations b WHERE b.conv_id = s.conv_id) < 2 AND EXISTS (FROM conversations b WHERE b.conv_id = s.conv_id AND turn = 0))::BIGINT AS broken"),
     "session_usage": """SELECT CAST(conv_id AS VARCHAR) AS session_id, 'p' || (conv_id % 5) AS project, count(*) AS assistant_turns, sum(length(text))::BIGINT AS input_tokens,
   sum(length(text) % 50)::BIGINT AS output_tokens, 7 * count(*) AS cache_read_tokens, count(*) AS tool_calls,
   count(*) FILTER (WHERE EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.role <> 'assistant' AND b.turn % 4 = 0)) AS recall_turns
