@@ -49,6 +49,8 @@ SKETCH_FAN_IN = 256
 MAX_SEEN = 1 << 20
 #: Members of one side of a place at which maps are compared; larger places are split into blocks.
 BLOCK_MEMBERS = 1024
+#: Pairs of a meeting that a task passes on together.
+PAIRS_AT_ONCE = 1 << 16
 #: Candidate sets in one prefix tree.
 TREE = 256
 #: So many (row, class) pairs, 8 MB, may be broadcast to pick texts from the input; beyond it they are shuffled.
@@ -318,10 +320,11 @@ def _pair_members(threshold: float):
     """
     num, den = _ratio(threshold)
 
-    def pairs(rows: list[tuple]) -> set[tuple[int, int]]:
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A class stands in a meeting once, so no pair comes twice; pairs are passed on as they gather."""
         block, owner, component, n, place = (np.array([r[k] for r in rows]) for k in range(5))
         maps = [r[5] for r in rows]
-        alone, found = block.min() == block.max(), set()
+        alone, found, held = block.min() == block.max(), [], 0
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -329,14 +332,19 @@ def _pair_members(threshold: float):
             fits = (low * den >= high * num) & (most * (num + den) >= (n[i] + n[j]) * num) & (component[i] != component[j])
             if not alone:
                 fits &= block[i] != block[j]
-            for k in j[fits].tolist():
-                if _may_link(int(n[i]), maps[i], int(n[k]), maps[k], num, den):
-                    a, b = int(owner[i]), int(owner[k])
-                    found.add((min(a, b), max(a, b)))
-        return found
-
-    def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            near = owner[np.array([k for k in j[fits].tolist() if _may_link(int(n[i]), maps[i], int(n[k]), maps[k], num, den)], dtype=np.int64)]
+            if len(near):
+                found.append(np.stack([np.minimum(near, owner[i]), np.maximum(near, owner[i])]))
+                held += len(near)
+            if held >= PAIRS_AT_ONCE:
+                yield batch_of(found)
+                found, held = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting, held = None, []
@@ -345,11 +353,11 @@ def _pair_members(threshold: float):
             for i, (at, *row) in enumerate(zip(*columns, strict=True)):
                 if at != meeting:
                     if len(held) > 1:
-                        yield batch_of(pairs(held))
+                        yield from pairs(held)
                     meeting, held = at, []
                 held.append((*row, np.array(batch.column(6)[i].as_py(), dtype=np.int64).view(np.uint64)))
         if len(held) > 1:
-            yield batch_of(pairs(held))
+            yield from pairs(held)
 
     return run
 
