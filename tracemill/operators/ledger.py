@@ -243,10 +243,6 @@ def liveness(savings: DataFrame, enabled: bool, started_at: str | None) -> DataF
     return counts.withColumn("state", state)
 
 
-#: Fixed value: requests from which on a summary counts as scored.
-MIN_REQUESTS = 20
-
-
 def corpus_summary(store: DataFrame) -> DataFrame:
     return store.groupBy("kind").agg(
         F.count("*").alias("artifacts"), F.sum("token_count").alias("tokens"), F.countDistinct("project").alias("projects"), F.max("created_at").cast("string").alias("newest")

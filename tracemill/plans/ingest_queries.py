@@ -79,13 +79,13 @@ def payloads(s, d):
 
 def search_payloads(s, d):
     """Documents as search results: every line with a file and a number."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("src/f"), (i % 3).cast("string"), F.lit(".py:"), i.cast("string"), F.lit(":"), F.substring(x, F.lit(1), F.lit(20))))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("src/f"), (i % 3).cast("string"), F.lit(".py:"), i.cast("string"), F.lit(":"), x))
     return payloads(s, d).select("id", F.array_join(lines, "\n").alias("text"))
 
 
 def json_payloads(s, d):
     """Conversations as JSON arrays of their turns."""
-    turn = F.struct("turn", "role", F.substring("text", 1, 40).alias("text"))
+    turn = F.struct("turn", "role", "text")
     return B.table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(turn))).alias("text"))
 
 
@@ -158,7 +158,7 @@ QUERIES = {
     "compress_logs": lambda s, d: P.compress_logs(payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
     "compress_text": lambda s, d: P.compress_texts(payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
     "compress_search": lambda s, d: P.compress_search(search_payloads(s, d)).select("id", F.sha2("compressed", 256).alias("compressed_sha256")),
-    "compress_json": lambda s, d: json_payloads(s, d).select("id", P.compress_json(F.col("text")).alias("compressed")),
+    "compress_json": lambda s, d: json_payloads(s, d).select("id", F.sha2(P.compress_json(F.col("text")), 256).alias("compressed_sha256")),
     "compress_payloads": lambda s, d: P.compress_payloads(mixed_payloads(s, d)).groupBy("content_type").agg(
         F.count("*").alias("payloads"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after")
     ),

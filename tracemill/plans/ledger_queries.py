@@ -38,7 +38,8 @@ def _attribution(spark, sf):
 
 def _settled(spark, sf):
     v = B.verdicts(spark, sf)
-    decided = v.where("recall_id % 4 = 0").select("recall_id", "artifact_id", F.lit("used").alias("outcome"))
+    turn = F.col("artifact_id") % 3
+    decided = v.select("recall_id", "artifact_id", F.when(turn == 0, "used").when(turn == 1, "unused").otherwise("rejected").alias("outcome"))
     return L.settle(v, decided).groupBy("outcome").agg(F.count("*").alias("verdicts"), F.sum("recall_id").alias("ids"))
 
 
@@ -176,7 +177,7 @@ ORACLE_SQL = {
     "quality_leaderboard": _q("verdicts", "SELECT * FROM quality ORDER BY judged DESC, quality DESC, artifact_id LIMIT 50", _QUALITY),
     "verdict_shares": with_tables("verdicts", "SELECT count(*) AS verdicts, count(*) FILTER (WHERE outcome <> 'pending') AS judged, " + ", ".join(
         f"round(count(*) FILTER (WHERE outcome = '{o}') / (count(*) FILTER (WHERE outcome <> 'pending'))::DOUBLE, 6) AS {o}_share" for o in ("used", "unused", "rejected")) + " FROM verdicts"),
-    "verdict_settlement": with_tables("verdicts", """SELECT CASE WHEN outcome = 'pending' AND recall_id % 4 = 0 THEN 'used' ELSE outcome END AS outcome,
+    "verdict_settlement": with_tables("verdicts", """SELECT CASE WHEN outcome <> 'pending' THEN outcome WHEN artifact_id % 3 = 0 THEN 'used' WHEN artifact_id % 3 = 1 THEN 'unused' ELSE 'rejected' END AS outcome,
   count(*) AS verdicts, sum(recall_id) AS ids FROM verdicts GROUP BY 1"""),
     "quality_decay": _q("verdicts", f"""SELECT artifact_id, quality, round(d, 12) AS decayed, d < 0.03 AS retired FROM (
   SELECT *, quality * power(0.5e0, greatest(0, floor(date_diff('day', last_recalled::DATE, DATE '{AS_OF_LEDGER[:10]}') / 14e0))) AS d FROM quality)""", _QUALITY),

@@ -80,6 +80,7 @@ def fresh(s, d):
 
 QUERIES = {
     "scoped_topk": in_project,
+    "artifacts_in_scope": lambda s, d: R.in_scope(B.artifacts(s, d), "p1", "2024-01-01 06:00:00", "2024-01-20 00:00:00", ("session_chunk", "note")).select("id", "kind", "project"),
     "unserved_hits": fresh,
     "mmr_rerank": lambda s, d: R.mmr(
         R.ranked(scored(s, d), "score", 32).join(R.embed(B.chunks(s, d)).select("id", "vector"), "id").select("query_id", "id", "score", "vector"), 8
@@ -133,6 +134,8 @@ _TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc
 
 _MEM = _EMBEDDED.format("m", "id, kind, project", "text", "store")
 ORACLE_SQL = {
+    "artifacts_in_scope": B.with_tables("chunks notes artifacts", """SELECT id, kind, project FROM artifacts WHERE project IN ('p1', '_global')
+  AND created_at BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-20 00:00:00' AND kind IN ('session_chunk', 'note')"""),
     "scoped_topk": B.with_tables("chunks memories", f""", store AS (SELECT id, kind, project, text FROM chunks UNION ALL SELECT id, kind, project, text FROM memories), {_MEM}, {_ASKED},
 near AS (SELECT query_id, vq.project AS asked, vm.id, vm.kind, vm.project, round(list_dot_product(vm.vector, vq.vector), 9) AS similarity FROM vm, vq
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 400),
