@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.retrieval import dot, hash_counts, normalized
+from tracemill.operators.retrieval import digit_counts, dot, hash_digits, normalized
 
 
 #: Phrases with which a user rejects, and an assistant contradicts, what was recalled.
@@ -34,12 +34,12 @@ def says_any(text: Column, phrases: tuple[str, ...]) -> Column:
 def later_bags(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """(recall_id, artifact_id, bag) per row of (recall_id, artifact_id, session_id, since): summed word counts of later answers.
 
-    answers: session_id, at, counts (an array of one length). Counts add up, so every row needs one running sum and no
+    answers: session_id, at, digits (the buckets of its words). Counts add up, so every row needs one running sum and no
     pair with an answer: sums of days are added up per session, and only a day's rows are put in order in one place.
     """
     size = len(HEX)
     parts = lambda prefix: [F.col(f"{prefix}{k}") for k in range(size)]
-    said = answers.select("session_id", F.col("at").alias("t"), F.lit(0).alias("asks"), *[F.get("counts", F.lit(k)).cast("long").alias(f"c{k}") for k in range(size)])
+    said = answers.select("session_id", F.col("at").alias("t"), F.lit(0).alias("asks"), *[(F.length("digits") - F.length(F.translate("digits", d, ""))).cast("long").alias(f"c{k}") for k, d in enumerate(HEX)])
     points = asked.select("session_id", F.col("since").alias("t"), F.lit(1).alias("asks"), *[F.lit(0).cast("long").alias(f"c{k}") for k in range(size)]).distinct()
     rows = said.unionByName(points).withColumn("day", F.to_date("t"))
     days = rows.groupBy("session_id", "day").agg(*[F.sum(c).alias(f"d{k}") for k, c in enumerate(parts("c"))])
@@ -96,8 +96,11 @@ def feedback_verdicts(pending: DataFrame, turns: DataFrame, semantic: bool = Tru
     rows = asked.join(last, "session_id").join(used, ["recall_id", "artifact_id"], "left")
     alike = F.lit(False)
     if semantic:
-        bags = later_bags(asked, answers.select("session_id", "at", hash_counts(F.col("answer")).alias("counts")))
-        rows = rows.join(bags, ["recall_id", "artifact_id"], "left").withColumn("_own", normalized(hash_counts(F.col("text"))))
+        # exploded, so that a text is hashed once and not for each of its counts
+        once = lambda text: F.explode(F.array(hash_digits(F.col(text))))
+        bags = later_bags(asked, answers.select("session_id", "at", once("answer").alias("digits")))
+        own = asked.select("recall_id", "artifact_id", once("text").alias("_digits"))
+        rows = rows.join(bags, ["recall_id", "artifact_id"], "left").join(own, ["recall_id", "artifact_id"], "left").withColumn("_own", normalized(digit_counts(F.col("_digits"))))
         words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
         near = F.round(dot(F.col("_own"), normalized(F.col("bag"))), 9) >= SEMANTIC
         alike = F.coalesce((words >= MIN_WORDS) & near, F.lit(False))

@@ -43,9 +43,16 @@ def hash_counts(text: Column, dim: int = DIM) -> Column:
     """Bag of words over ``dim`` = 16 buckets: the last hex digit of each term's SHA-256."""
     if dim != 16:
         raise ValueError("the hash embedding has 16 dimensions")
-    digits = F.transform(terms(text), lambda t: F.right(F.sha2(t, 256), F.lit(1)))
-    joined = F.array_join(digits, "")
-    return F.array(*[F.length(joined) - F.length(F.translate(joined, d, "")) for d in "0123456789abcdef"])
+    return digit_counts(hash_digits(text))
+
+
+def hash_digits(text: Column) -> Column:
+    """The bucket of every term, one hex digit each."""
+    return F.array_join(F.transform(terms(text), lambda t: F.right(F.sha2(t, 256), F.lit(1))), "")
+
+
+def digit_counts(digits: Column) -> Column:
+    return F.array(*[F.length(digits) - F.length(F.translate(digits, d, "")) for d in "0123456789abcdef"])
 
 
 def normalized(counts: Column) -> Column:
