@@ -93,6 +93,14 @@ def test_entropy_and_redaction(spark):
     assert (row[1]["text"], row[1]["redactions"], row[2]["text"], row[2]["redactions"]) == ("nothing here", 0, None, 0)
 
 
+def test_words_of_a_question_end_as_in_its_sql(spark):
+    """Word edges are ASCII ones: 'nan' stands before 'é', a path's end before 'ü', an identifier after 'ö'."""
+    plain, error, path, own = column(spark, ["zzz", "nané", "x .abü", "öa.b.c"], curation.complexity)
+    assert error == pytest.approx(plain + 0.15)
+    assert path == pytest.approx(0.45 * 4 / 40 + 0.1)
+    assert own == pytest.approx(0.45 / 37 + 0.2 / 3 + 0.2)
+
+
 def test_complexity(spark):
     cases = {"Thanks!": 0.0, "": 0.0, "   ": 0.0, "fix it": 0.45 * 4 / 40, "why?": 0.45 / 37 + 0.1, "fix my_var in src/a.py Error": 0.45 * 25 / 61 + 0.2 / 3 + 0.2 + 0.15}
     got = column(spark, list(cases), curation.complexity)

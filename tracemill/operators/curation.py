@@ -206,9 +206,10 @@ def split_at_headings(rows: DataFrame, key: str, text: str = "text") -> DataFram
 
 
 #: What counts as identifier, path, question and error in a query, and queries that need no context.
-IDENTIFIER = r"[A-Z][a-z]+[A-Z]|[a-z]+_[a-z]+|[A-Z]{2,}|\b\w+\.\w+\.\w+|\w+::\w+"
-QUERY_PATH = r"[a-zA-Z0-9_\-]+/|\.\w{1,5}\b"
-ERROR_WORD = r"(?i)(Error|Exception|Traceback|FAIL|panic|segfault|undefined|NaN|null|nil)\b"
+#: Edges of words are those of ASCII, as ``\w`` is: what ``\b`` takes for a letter differs between Java versions.
+IDENTIFIER = r"[A-Z][a-z]+[A-Z]|[a-z]+_[a-z]+|[A-Z]{2,}|(?<!\w)\w+\.\w+\.\w+|\w+::\w+"
+QUERY_PATH = r"[a-zA-Z0-9_\-]+/|\.\w{1,5}(?!\w)"
+ERROR_WORD = r"(?i)(Error|Exception|Traceback|FAIL|panic|segfault|undefined|NaN|null|nil)(?!\w)"
 TRIVIAL = (
     "yes", "no", "ok", "okay", "sure", "thanks", "thank you", "ty", "looks good", "lgtm", "continue", "go ahead", "do it", "proceed",
     "correct", "right", "yep", "yup", "nope", "agreed", "sounds good", "perfect", "great", "nice", "cool", "done", "got it", "k",
