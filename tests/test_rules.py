@@ -93,6 +93,13 @@ def test_entropy_and_redaction(spark):
     assert (row[1]["text"], row[1]["redactions"], row[2]["text"], row[2]["redactions"]) == ("nothing here", 0, None, 0)
 
 
+def test_digits_of_a_text_are_hashed_once(spark):
+    from tracemill.plans import catalog
+
+    plan = catalog.QUERIES["hash_embed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
 def test_words_of_a_question_end_as_in_its_sql(spark):
     """Word edges are ASCII ones: 'nan' stands before 'é', a path's end before 'ü', an identifier after 'ö'."""
     plain, error, path, own = column(spark, ["zzz", "nané", "x .abü", "öa.b.c"], curation.complexity)

@@ -48,7 +48,7 @@ def hash_counts(text: Column, dim: int = DIM) -> Column:
 
 def hash_digits(text: Column) -> Column:
     """The bucket of every term, one hex digit each."""
-    return F.array_join(F.transform(terms(text), lambda t: F.right(F.sha2(t, 256), F.lit(1))), "")
+    return F.array_join(F.transform(terms(text), lambda t: F.substring(F.sha2(t, 256), 64, 1)), "")
 
 
 def digit_counts(digits: Column) -> Column:
