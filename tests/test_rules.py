@@ -100,6 +100,13 @@ def test_digits_of_a_text_are_hashed_once(spark):
     assert plan.count("sha2(") == 1
 
 
+def test_payloads_are_judged_once(spark):
+    rows = spark.createDataFrame([(1, "[1, 2]", None), (2, "plain words", None)], "id int, text string, path string")
+    found = compress.compress_payloads(rows)
+    assert "_stripped" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["content_type"] for r in found.collect()} == {1: "json", 2: "text"}
+
+
 def test_words_of_a_question_end_as_in_its_sql(spark):
     """Word edges are ASCII ones: 'nan' stands before 'é', a path's end before 'ü', an identifier after 'ö'."""
     plain, error, path, own = column(spark, ["zzz", "nané", "x .abü", "öa.b.c"], curation.complexity)
