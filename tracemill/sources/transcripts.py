@@ -1,7 +1,9 @@
-"""Session transcripts as JSON lines, one file per session, to artifacts, usage and wire logs.
+"""Session transcripts as JSON lines, one file per session or bundled, to artifacts, usage and wire logs.
 
 A file's records are one row until they are split, so a session's lines keep their numbers; sessions spread over
-tasks. Parsing is JSON functions of Spark on the raw lines.
+tasks. Hundreds of thousands of small files cost the driver a listing, a task's share and a rename each, so
+transcripts in such numbers are kept as bundles, whose lines tell the file and the number they have there. Parsing is
+JSON functions of Spark on the raw lines.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from tracemill.functions.workspace import Workspace
 from tracemill.operators import curation as C
 
 BLOCKS = "array<struct<type:string,text:string>>"
+#: A line of a bundle: its transcript and when that was collected, its number in it, and itself.
+BUNDLED, BUNDLED_TIME = "file string, modified timestamp, ord int, line string", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def scan(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:
@@ -27,15 +31,35 @@ def scan(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataF
     if seen is not None:
         known = seen.groupBy("file").agg(F.max("modified").alias("_known"))
         rows = rows.join(known, "file", "left").where(F.col("_known").isNull() | (F.col("modified") > F.col("_known"))).drop("_known")
+    return rows.select(*_named(), F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
+
+
+def _named() -> list[Column]:
+    """file, session_id, project and modified of rows of (file, modified)."""
     part = lambda name: F.nullif(F.regexp_extract("file", rf"/{name}=([^/]+)/", 1), F.lit(""))
-    named = rows.select(
-        "file",
-        F.coalesce(part("session"), F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1)).alias("session_id"),
-        F.coalesce(part("project"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).alias("project"),
-        "modified",
-        F.posexplode(F.split("value", "\n")).alias("ord", "line"),
-    )
-    return named.where(F.trim("line") != "")
+    session = F.coalesce(part("session"), F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1))
+    project = F.coalesce(part("project"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    return [F.col("file"), session.alias("session_id"), project.alias("project"), F.col("modified")]
+
+
+def write_bundles(rows: DataFrame, path: str) -> None:
+    """Add transcripts (project, session, turn, value) to the bundles under ``path``: JSON lines, as many files as tasks.
+
+    A session is collected whole, so its lines stand in one bundle; collected again, it replaces what it was.
+    """
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    file = F.concat(F.lit("/project="), name("project"), F.lit("/session="), name("session"), F.lit("/transcript.jsonl"))
+    order = Window.partitionBy("project", "session").orderBy("turn")
+    lines = rows.select(file.alias("file"), F.current_timestamp().alias("modified"), (F.row_number().over(order) - 1).alias("ord"), F.col("value").alias("line"))
+    lines.write.mode("append").option("timestampFormat", BUNDLED_TIME).json(path)
+
+
+def scan_bundles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The columns of ``scan`` from bundles: of every session, the lines that were collected last."""
+    rows = spark.read.schema(BUNDLED).option("timestampFormat", BUNDLED_TIME).option("mode", "FAILFAST").json(path)
+    last = F.max("modified").over(Window.partitionBy("project", "session_id"))
+    lines = rows.select(*_named(), "ord", "line").withColumn("_last", last)
+    return lines.where((F.col("modified") == F.col("_last")) & (F.trim("line") != "")).drop("_last")
 
 
 def flat_text(content: Column) -> Column:
