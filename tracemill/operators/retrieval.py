@@ -29,8 +29,10 @@ BM25_K1, BM25_B = 1.2, 0.75
 DIM = 16
 #: Bytes of question vectors that one scan holds at a time; more questions are dealt into blocks.
 MAX_QUESTION_BYTES = 16 << 20
-#: Asked terms that may be broadcast to the texts; beyond it they meet in a shuffle.
-MAX_ASKED_TERMS = 200_000
+#: Asked terms, and pairs of a term and a question, that may be broadcast to the texts; beyond it they meet in a shuffle.
+MAX_ASKED_TERMS, MAX_ASKED_PAIRS = 200_000, 2_000_000
+#: Scores that a task holds at a time, of rows and questions and of their terms.
+SCORES_AT_A_TIME = 4_000_000
 EDGE_TYPES = ("fixes", "supersedes", "part_of", "derived_from")
 
 
@@ -55,13 +57,23 @@ def digit_counts(digits: Column) -> Column:
     return F.array(*[F.length(digits) - F.length(F.translate(digits, d, "")) for d in "0123456789abcdef"])
 
 
-def normalized(counts: Column) -> Column:
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+def norm_of(counts: Column) -> Column:
+    return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def over_norm(counts: Column, norm: Column) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
+def normalized(counts: Column) -> Column:
+    return over_norm(counts, norm_of(counts))
+
+
 def embed(rows: DataFrame, text: str = "text") -> DataFrame:
-    return rows.withColumn("_counts", hash_counts(F.col(text))).withColumn("vector", normalized(F.col("_counts"))).drop("_counts")
+    """``rows`` with ``vector``; digits and norm have columns of their own, or they would be made once an entry."""
+    counted = rows.withColumn("_digits", hash_digits(F.col(text))).withColumn("_counts", digit_counts(F.col("_digits")))
+    sized = counted.withColumn("_norm", norm_of(F.col("_counts")))
+    return sized.withColumn("vector", over_norm(F.col("_counts"), F.col("_norm"))).drop("_digits", "_counts", "_norm")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -156,12 +168,15 @@ def bm25_topk(queries: DataFrame, store: DataFrame, k: int, text: str = "text",
     """Top k rows per question by BM25 over all rows; terms of a question count once.
 
     Only asked terms are counted in the texts: they are counted first and sent to the texts within
-    ``MAX_ASKED_TERMS``, else they meet them in a shuffle. Postings combine before the shuffle; those of a common
-    term, and the questions that ask it, are split by ``spread_lookup``.
+    ``MAX_ASKED_TERMS`` and ``MAX_ASKED_PAIRS``, else they meet them in a shuffle. Postings combine before the
+    shuffle and are then dealt by row, so all scores of a row are added up in one task, which passes on what can be
+    among a question's best k. Where the asked terms are too many to send, the postings of a common term, and the questions that
+    ask it, are split by ``spread_lookup`` and every sum is shuffled.
     """
     work = Workspace(store.sparkSession, "bm25")
     asked = work.table("asked", queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).groupBy("term").agg(F.collect_set("query_id").alias("askers")))
-    few = asked.limit(MAX_ASKED_TERMS + 1).count() <= MAX_ASKED_TERMS
+    sent = asked.agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.size("askers")), F.lit(0)).alias("pairs")).first()
+    few = sent["terms"] <= MAX_ASKED_TERMS and sent["pairs"] <= MAX_ASKED_PAIRS
     words = asked.select("term")
     split = store.select("id", terms(F.col(text)).alias("t"))
     size = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_length"))
@@ -170,6 +185,8 @@ def bm25_topk(queries: DataFrame, store: DataFrame, k: int, text: str = "text",
     terms_asked = index.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term")
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avg_length")))
+    if few:
+        return ranked(_row_scores(index, terms_asked, size, idf, tf, k, digits), "bm25", k)
     scores = (
         spread_lookup(index, terms_asked, "term", F.col("id")).join(F.broadcast(size))
         .select(F.explode("askers").alias("query_id"), "id", (idf * tf).alias("part"))
@@ -178,6 +195,51 @@ def bm25_topk(queries: DataFrame, store: DataFrame, k: int, text: str = "text",
     return ranked(scores, "bm25", k)
 
 
+def _row_scores(index: DataFrame, terms_asked: DataFrame, size: DataFrame, idf: Column, tf: Column, k: int, digits: int) -> DataFrame:
+    """(query_id, id, bm25) of all pairs that can be among a question's best k; a row's terms meet in one task.
+
+    The asked terms and who asks them are at hand there; nothing is shuffled for each question.
+    """
+    spark = index.sparkSession
+    held = terms_asked.select("term", "df", "askers").toArrow()
+    askers = held["askers"].combine_chunks()
+    starts = np.concatenate(([0], np.cumsum(askers.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    coded = askers.flatten().dictionary_encode()
+    sent = spark.sparkContext.broadcast((coded.dictionary, starts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)))
+    numbered = spark.createDataFrame(list(enumerate(held["term"].to_pylist())), "number int, term string").join(terms_asked.select("term", "df"), "term")
+    weights = index.join(F.broadcast(numbered), "term").join(F.broadcast(size)).select("id", "number", (idf * tf).alias("weight"))
+    rows = weights.groupBy("id").agg(F.collect_list(F.struct("number", "weight")).alias("t")).select("id", F.col("t.number").alias("numbers"), F.col("t.weight").alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, asking = sent.value
+        many, width = np.diff(starts), len(ids)
+        best = np.zeros(width)
+        for batch in batches:
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            term, weight = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            reach = np.concatenate(([0], np.cumsum(many[term])))[ends]  # scores of terms up to each row
+            low = 0
+            while low < len(ends):
+                done = reach[low - 1] if low else 0
+                high = min(int(np.searchsorted(reach, done + SCORES_AT_A_TIME, "right")), low + max(1, SCORES_AT_A_TIME // width))
+                high = max(low + 1, high)
+                first = ends[low - 1] if low else 0
+                t, w = term[first : ends[high - 1]], weight[first : ends[high - 1]]
+                row = np.repeat(np.arange(high - low), np.diff(ends[low:high], prepend=first))
+                n = many[t]
+                question = asking[np.repeat(starts[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                scores = np.bincount(np.repeat(row, n) * width + question, np.repeat(w, n), (high - low) * width).reshape(-1, width)
+                if len(scores) > k:
+                    best = np.maximum(best, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+                # what may be rounded to the same as the k-th best stays
+                at, question = np.nonzero((scores > 0) & (scores >= best - 2 * 10.0**-digits))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(question)), batch.column(0).take(pa.array(at + low)), pa.array(scores[at, question])], names=["query_id", "id", "bm25"])
+                low = high
+
+    kinds = f"query_id {terms_asked.schema['askers'].dataType.elementType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, bm25 double"
+    return rows.mapInArrow(run, kinds).withColumn("bm25", F.round("bm25", digits))
+
+
 def gated(lexical: DataFrame, dense: DataFrame) -> DataFrame:
     """Lexical candidates only of questions whose dense channel found something."""
     return lexical.join(dense.select("query_id").distinct(), "query_id", "left_semi")
