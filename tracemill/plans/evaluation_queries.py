@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.functions.workspace import Workspace
 from tracemill.operators import evaluation as V
 from tracemill.plans import bindings as B
 from tracemill.plans import retrieval_queries as R
@@ -17,19 +18,32 @@ def verdicts(s, d):
     return V.feedback_verdicts(pending, c.select("session_id", "role", F.col("created_at").alias("ts"), "text"))
 
 
-def relevant(s, d):
+def lexical_found(s, d):
+    """The lexical channel, written once: labels and what is held against them are both read from it."""
+    return Workspace(s, "found").table("lexical", R.lexical(s, d))
+
+
+def relevant(lexical):
     """The five best of the lexical channel stand in for labels."""
-    return R.lexical(s, d).where("rank <= 5")
+    return lexical.where("rank <= 5")
 
 
 def metrics(s, d):
-    return V.ranking_metrics(R.dense(s, d), relevant(s, d), 10)
+    return V.ranking_metrics(R.dense(s, d), relevant(lexical_found(s, d)), 10)
+
+
+def compared(s, d):
+    lexical = lexical_found(s, d)
+    labels = relevant(lexical)
+    return V.win_tie_loss(V.ranking_metrics(R.dense(s, d), labels, 10), V.ranking_metrics(lexical, labels, 10), "ndcg")
 
 
 def suite(s, d):
-    labels, tokens = relevant(s, d), B.chunks(s, d).select("id", "token_count")
+    lexical = lexical_found(s, d)
+    dense = Workspace(s, "found").table("dense", R.dense(s, d))
+    labels, tokens = relevant(lexical), B.chunks(s, d).select("id", "token_count")
     out = None
-    for name, found in (("dense", R.dense(s, d)), ("lexical", R.lexical(s, d))):
+    for name, found in (("dense", dense), ("lexical", lexical)):
         sent = found.where("rank <= 10").join(tokens, "id").groupBy("query_id").agg(F.sum("token_count").alias("tokens_sent"))
         rows = V.ranking_metrics(found, labels, 10).join(sent, "query_id", "left").select(
             F.lit(name).alias("strategy"), "query_id", "recall", "ndcg", F.coalesce("tokens_sent", F.lit(0)).alias("tokens_sent"), (F.col("query_id") % 17).cast("double").alias("latency_ms")
@@ -42,7 +56,7 @@ QUERIES = {
     "feedback_verdicts": verdicts,
     "ranking_metrics": metrics,
     "eval_suite": suite,
-    "win_tie_loss": lambda s, d: V.win_tie_loss(metrics(s, d), V.ranking_metrics(R.lexical(s, d), relevant(s, d), 10), "ndcg"),
+    "win_tie_loss": compared,
     "eval_cases": lambda s, d: V.eval_cases(B.chunks(s, d)),
 }
 
