@@ -46,3 +46,15 @@ def test_lexical_in_blocks_equals_the_shuffle(spark, monkeypatch, blocks):
     monkeypatch.undo()
     assert R.bm25_topk(queries.where("query = ''"), store, 4).collect() == []
     assert R.bm25_topk(queries, store.where("text IS NULL"), 4).collect() == []
+
+
+@pytest.mark.parametrize("within", [None, "project"])
+def test_dense_in_narrow_blocks_of_questions(spark, monkeypatch, within):
+    """A block of rows meets a bounded number of questions at a time; with all, a task's scores grow with their number."""
+    vectors = [(i, [float((i * k) % 13 - 6) for k in range(1, 5)], f"p{i % 3}") for i in range(60)]
+    store = spark.createDataFrame(vectors, "id long, vector array<double>, project string")
+    queries = store.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in R.dense_topk(queries, store, 5, within=within).collect())
+    whole = rows()
+    monkeypatch.setattr(R, "BATCH_QUESTIONS", 7)
+    assert len(whole) == 150 and rows() == whole

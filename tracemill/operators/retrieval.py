@@ -137,25 +137,29 @@ def _block_scores(block: DataFrame, rows: DataFrame, k: int, floor: float | None
                 continue
             flat = np.asarray(vectors.flatten()).reshape(len(vectors), -1)
             for low in range(0, len(flat), BATCH_ROWS):
-                scores = flat[low : low + BATCH_ROWS] @ matrix.T
-                if metric != "cosine":
-                    scores = 1 - np.sqrt(np.maximum(0.0, 2 - 2 * scores))
-                scores = np.round(scores, digits)
-                if keys is not None:
-                    scores[batch.column(2).to_numpy(zero_copy_only=False)[low : low + BATCH_ROWS, None] != keys[None, :]] = -np.inf
-                if len(scores) > k:
-                    best = np.maximum(best, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
-                row, question = np.nonzero((scores >= best) & (scores > -np.inf))
-                yield pa.RecordBatch.from_arrays(
-                    [numbers.take(pa.array(question)), batch.column(0).take(pa.array(row + low)), pa.array(scores[row, question])], names=["query_id", "id", "similarity"]
-                )
+                part = flat[low : low + BATCH_ROWS]
+                own = None if keys is None else batch.column(2).to_numpy(zero_copy_only=False)[low : low + BATCH_ROWS, None]
+                for first in range(0, len(matrix), BATCH_QUESTIONS):
+                    some = slice(first, first + BATCH_QUESTIONS)
+                    scores = part @ matrix[some].T
+                    if metric != "cosine":
+                        scores = 1 - np.sqrt(np.maximum(0.0, 2 - 2 * scores))
+                    scores = np.round(scores, digits)
+                    if keys is not None:
+                        scores[own != keys[None, some]] = -np.inf
+                    if len(scores) > k:
+                        best[some] = np.maximum(best[some], np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+                    row, question = np.nonzero((scores >= best[some]) & (scores > -np.inf))
+                    yield pa.RecordBatch.from_arrays(
+                        [numbers.take(pa.array(question + first)), batch.column(0).take(pa.array(row + low)), pa.array(scores[row, question])], names=["query_id", "id", "similarity"]
+                    )
 
     kinds = f"query_id {block.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, similarity double"
     return rows.mapInArrow(run, kinds)
 
 
-#: Rows that are multiplied with the questions at a time.
-BATCH_ROWS = 2048
+#: Rows and questions that are multiplied at a time, whatever the number of questions.
+BATCH_ROWS, BATCH_QUESTIONS = 2048, 512
 
 
 def postings(store: DataFrame, text: str = "text") -> DataFrame:
