@@ -262,6 +262,13 @@ def test_compression(spark):
     assert column(spark, ["a/b.PY", "x.json?y", "n.md", "Makefile", None], compress.content_type_of_path) == ["source", "json", "text", None, None]
 
 
+def test_flags_of_a_log_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "a\nerror")], "id long, text string").repartition(2)
+    plan = compress.compress_logs(rows)._jdf.queryExecution().optimizedPlan().toString()
+    flagged = [line for line in plan.split("\n") if "RLIKE" in line]
+    assert len(flagged) == 1 and "filter(sequence" not in flagged[0]
+
+
 def test_payload_types_and_dispatch(spark):
     log = "\n".join(f"2024-01-01 10:00:{i:02d} INFO step {i}" for i in range(40))
     code = "import os\nfrom x import y\n\ndef f():\n    return 1"

@@ -31,9 +31,13 @@ FAILURE = re.compile("error|fail|exception|fatal|critical", re.IGNORECASE)
 
 
 def _staged(payloads: DataFrame, steps) -> DataFrame:
-    """Each step's column after the other, so that what a later one looks up element by element is made once."""
+    """Each step's column after the other, so that what a later one looks up element by element is made once.
+
+    Exploded from an array of one: the optimizer would put a plain column that is named once into the function that
+    names it, where it is made again for every element.
+    """
     for name, column in steps:
-        payloads = payloads.withColumn(name, column)
+        payloads = payloads.withColumn(name, F.explode(F.array(column)))
     return payloads
 
 
